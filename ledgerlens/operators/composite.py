@@ -302,9 +302,12 @@ def pivot_metrics(comp: DataFrame, scope: Sequence[str] = (), value: str = "perc
 
 
 def composites(tape: DataFrame, cfg: CapConfig = CapConfig(), scope: Sequence[str] = (),
-               cell_df: DataFrame | None = None) -> DataFrame:
+               cell_df: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Composite change series ``(scope, ProcessingDateKey, ca, oa, deals)``."""
+    from ..session import cut_lineage
     c = cell_df if cell_df is not None else cells(tape, scope)
+    if materialize and cell_df is None:
+        c = cut_lineage(c)
     return pivot_metrics(composite_parts(c, scope, cfg)["composite"], scope)
 
 

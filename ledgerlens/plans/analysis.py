@@ -17,6 +17,7 @@ from ..config import RESULT_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators import series as S
 from ..operators.filters import FilterSpec, apply_filters
+from ..session import cut_lineage
 
 DATE = "ProcessingDateKey"
 
@@ -32,11 +33,25 @@ def capped_vs_uncapped_from_cells(cell_df: DataFrame, scope: Sequence[str] = (),
     return out.select(*scope, *RESULT_COLUMNS)
 
 
+def reduced_cells(tape: DataFrame, spec: FilterSpec | None = None, scope: Sequence[str] = (),
+                  materialize: bool = True) -> DataFrame:
+    """Filter + cell aggregate, then cut the lineage.
+
+    The cells feed several branches (cap, period index, totals); pruning
+    makes those branches differ, so without a cut the scan and its joins
+    would run once per branch.  A reliable checkpoint in the session's
+    checkpoint folder runs the full-size work exactly once and survives
+    executor loss; the checkpointed frame is banks x months.
+    """
+    c = C.cells(apply_filters(tape, spec), scope)
+    return cut_lineage(c) if materialize else c
+
+
 def capped_vs_uncapped(tape: DataFrame, spec: FilterSpec | None = None,
-                       cfg: CapConfig = CapConfig(), scope: Sequence[str] = ()) -> DataFrame:
+                       cfg: CapConfig = CapConfig(), scope: Sequence[str] = (),
+                       materialize: bool = True) -> DataFrame:
     """``RESULT_SCHEMA`` rows per period (and scope)."""
-    cell_df = C.cells(apply_filters(tape, spec), scope)
-    return capped_vs_uncapped_from_cells(cell_df, scope, cfg)
+    return capped_vs_uncapped_from_cells(reduced_cells(tape, spec, scope, materialize), scope, cfg)
 
 
 def cap_sensitivity(tape: DataFrame, caps: Sequence[float], spec: FilterSpec | None = None,
@@ -47,7 +62,7 @@ def cap_sensitivity(tape: DataFrame, caps: Sequence[float], spec: FilterSpec | N
     the (parameter-sized) list of caps, which then rides through every
     window as the ``cap_value`` scope key.
     """
-    cell_df = C.cells(apply_filters(tape, spec))
+    cell_df = reduced_cells(tape, spec)
     fanned = cell_df.withColumn("cap_value", F.explode(F.array(*[F.lit(float(c)) for c in caps])))
     scoped = CapConfig(cell_weight=cfg.cell_weight, max_mom=F.col("cap_value"),
                        max_mom_high=cfg.max_mom_high, high_breach_perc=cfg.high_breach_perc,

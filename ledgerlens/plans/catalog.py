@@ -173,3 +173,293 @@ def q_composite(spark, tape):
 def q_composite_nan(spark, tape):
     """W9 with the NaN semantics."""
     return C.composite_parts(C.cells(apply_filters(tape, SBA)), (), CapConfig(missing="nan"))["composite"]
+
+
+# ============================================================ series
+from ..operators import series as S  # noqa: E402
+from ..operators import aggregates as AG  # noqa: E402
+from ..operators import filters as FL  # noqa: E402
+from ..operators import projections as P  # noqa: E402
+from ..functions import scalars as X  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources.tape import TIE_BREAK  # noqa: E402
+from . import report as R  # noqa: E402
+from . import templates as TP  # noqa: E402
+
+_TOT_A2 = """tot AS (
+  SELECT ProcessingDateKey,
+    CAST(COALESCE(SUM(CommitmentAmt), 0) AS DECIMAL(38,2)) AS CommitmentAmt,
+    COUNT(CommitmentAmt) AS Deals,
+    CAST(COALESCE(SUM(OutstandingAmt), 0) AS DECIMAL(38,2)) AS OutstandingAmt
+  FROM tape GROUP BY ProcessingDateKey)"""
+
+_LAGS = """lagged AS (
+  SELECT *, LAG(ProcessingDateKey) OVER w AS pk, LAG(CommitmentAmt) OVER w AS CommitmentAmtPrior,
+    LAG(OutstandingAmt) OVER w AS OutstandingAmtPrior, LAG(Deals) OVER w AS DealsPrior
+  FROM tot WINDOW w AS (ORDER BY ProcessingDateKey))"""
+
+
+def _chg(cur, prior, style="core"):
+    if style == "core":
+        return (f"CASE WHEN {prior} IS NULL OR {prior} = 0 THEN NULL "
+                f"ELSE CAST({cur} AS DOUBLE) / CAST({prior} AS DOUBLE) - 1 END")
+    if style == "view":
+        return (f"CASE WHEN {prior} > 0 THEN (CAST({cur} AS DOUBLE) - CAST({prior} AS DOUBLE)) "
+                f"/ CAST({prior} AS DOUBLE) END")
+    return (f"CASE WHEN {prior} IS NULL OR {prior} = 0 THEN NULL ELSE (CAST({cur} AS DOUBLE) - "
+            f"CAST({prior} AS DOUBLE)) / CAST({prior} AS DOUBLE) END")
+
+
+_DIFFS = ("ca_diff", "oa_diff", "deals_diff")
+
+
+@register("period_totals", O.with_tape(_TOT_A2) + "\nSELECT * FROM tot")
+def q_period_totals(spark, tape):
+    """A2: uncapped totals, non-NULL-amount deals, empty sums 0."""
+    return S.period_totals(tape)
+
+
+@register("with_prior", O.with_tape(_TOT_A2, _LAGS) + """
+SELECT ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt, pk AS ProcessingDateKeyPrior,
+  CommitmentAmtPrior, OutstandingAmtPrior, DealsPrior FROM lagged""")
+def q_with_prior(spark, tape):
+    """LAG of key and metrics."""
+    return S.with_prior(S.period_totals(tape))
+
+
+@register("join_prior", O.with_tape(_TOT_A2, _LAGS) + """
+SELECT ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt, COALESCE(pk, 0) AS ProcessingDateKeyPrior,
+  CommitmentAmtPrior, OutstandingAmtPrior, DealsPrior FROM lagged""")
+def q_join_prior(spark, tape):
+    """Prior-period left self-join."""
+    return S.join_prior(S.period_totals(tape))
+
+
+@register("pop_core", O.with_tape(_TOT_A2, _LAGS) + f"""
+SELECT ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt, COALESCE(pk, 0) AS ProcessingDateKeyPrior,
+  CommitmentAmtPrior, OutstandingAmtPrior, DealsPrior,
+  {_chg('CommitmentAmt', 'CommitmentAmtPrior')} AS ca_diff,
+  {_chg('OutstandingAmt', 'OutstandingAmtPrior')} AS oa_diff,
+  {_chg('Deals', 'DealsPrior')} AS deals_diff FROM lagged""", _DIFFS)
+def q_pop_core(spark, tape):
+    """W2 core variant."""
+    return S.pop_change(S.period_totals(tape), "core")
+
+
+_TOT_VIEW = """tot AS (
+  SELECT ProcessingDateKey, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS CommitmentAmt,
+    COUNT(*) AS Deals, CAST(SUM(OutstandingAmt) AS DECIMAL(38,2)) AS OutstandingAmt
+  FROM tape WHERE CommitmentAmt IS NOT NULL GROUP BY ProcessingDateKey)"""
+
+_VIEW_SELECT = f"""
+SELECT CAST(ProcessingDateKey AS VARCHAR) AS ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt,
+  COALESCE(CAST(pk AS VARCHAR), '0') AS ProcessingDateKeyPrior,
+  COALESCE(CommitmentAmtPrior, CAST(0 AS DECIMAL(38,2))) AS CommitmentAmtPrior,
+  COALESCE(OutstandingAmtPrior, CAST(0 AS DECIMAL(38,2))) AS OutstandingAmtPrior,
+  COALESCE(DealsPrior, 0) AS DealsPrior,
+  {_chg('CommitmentAmt', 'CommitmentAmtPrior', 'view')} AS ca_diff,
+  {_chg('OutstandingAmt', 'OutstandingAmtPrior', 'view')} AS oa_diff,
+  {_chg('Deals', 'DealsPrior', 'view')} AS deals_diff,
+  CAST(NULL AS DOUBLE) AS ca_model_diff, CAST(NULL AS DOUBLE) AS oa_model_diff,
+  CAST(NULL AS DOUBLE) AS deals_model_diff
+FROM lagged"""
+_VIEW_DBL = _DIFFS + ("ca_model_diff", "oa_model_diff", "deals_model_diff")
+
+
+@register("pop_view", O.with_tape(_TOT_VIEW, _LAGS) + _VIEW_SELECT, _VIEW_DBL)
+def q_pop_view(spark, tape):
+    """W2 view variant (the ``aggregated_analytics`` view)."""
+    return FS.aggregated_analytics(tape)
+
+
+@register("pop_tsv", O.with_tape("""tot AS (
+  SELECT ProcessingDateKey, CAST(COALESCE(SUM(CommitmentAmt), 0) AS DECIMAL(38,2)) AS CommitmentAmt,
+    COUNT(BankID) AS Deals, CAST(COALESCE(SUM(OutstandingAmt), 0) AS DECIMAL(38,2)) AS OutstandingAmt
+  FROM tape WHERE ProcessingDateKey IS NOT NULL GROUP BY ProcessingDateKey)""", _LAGS) + f"""
+SELECT strftime(strptime(CAST(ProcessingDateKey AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS ProcessingDateKey,
+  CommitmentAmt, Deals, OutstandingAmt,
+  COALESCE(strftime(strptime(CAST(pk AS VARCHAR), '%Y%m%d'), '%Y-%m-%d'), '0') AS ProcessingDateKeyPrior,
+  COALESCE(CommitmentAmtPrior, CAST(0 AS DECIMAL(38,2))) AS CommitmentAmtPrior,
+  COALESCE(OutstandingAmtPrior, CAST(0 AS DECIMAL(38,2))) AS OutstandingAmtPrior,
+  COALESCE(DealsPrior, 0) AS DealsPrior,
+  COALESCE({_chg('CommitmentAmt', 'CommitmentAmtPrior', 'tsv')}, 0.0) AS ca_diff,
+  COALESCE({_chg('OutstandingAmt', 'OutstandingAmtPrior', 'tsv')}, 0.0) AS oa_diff,
+  COALESCE({_chg('Deals', 'DealsPrior', 'tsv')}, 0.0) AS deals_diff
+FROM lagged""", _DIFFS)
+def q_pop_tsv(spark, tape):
+    """W2 tsv variant (A3 totals, bank-count deals, NULLs -> 0)."""
+    return S.pop_change(S.period_totals(tape, deals="bank"), "tsv")
+
+
+@register("pop_seed", O.with_tape("""tot AS (
+  SELECT ProcessingDateKey, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS CommitmentAmt,
+    COUNT(*) AS Deals, CAST(SUM(OutstandingAmt) AS DECIMAL(38,2)) AS OutstandingAmt
+  FROM tape GROUP BY ProcessingDateKey)""", _LAGS) + f"""
+SELECT ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt, COALESCE(pk, 0) AS ProcessingDateKeyPrior,
+  CommitmentAmtPrior, OutstandingAmtPrior, DealsPrior,
+  round({_chg('CommitmentAmt', 'CommitmentAmtPrior')}, 6) AS ca_diff,
+  round({_chg('OutstandingAmt', 'OutstandingAmtPrior')}, 6) AS oa_diff,
+  round({_chg('Deals', 'DealsPrior')}, 6) AS deals_diff,
+  CAST(NULL AS DOUBLE) AS ca_model_diff, CAST(NULL AS DOUBLE) AS oa_model_diff,
+  CAST(NULL AS DOUBLE) AS deals_model_diff
+FROM lagged""", _VIEW_DBL)
+def q_pop_seed(spark, tape):
+    """W2 seed variant (A4 with COUNT(*), changes rounded to 6 places)."""
+    return S.pop_change(S.period_totals(tape, deals="rows"), "seed")
+
+
+@register("attach_by_position",
+          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), _TOT_A2,
+                      recursive=True) + """
+SELECT t.ProcessingDateKey, t.CommitmentAmt, t.Deals, t.OutstandingAmt, c.sba_date, c.ca AS sba_ca
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS pos FROM tot) t
+LEFT JOIN (SELECT ProcessingDateKey AS sba_date, ca, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS pos
+           FROM compw) c ON t.pos = c.pos""", ("sba_ca",))
+def q_attach_by_position(spark, tape):
+    """The SBA composite series (79 periods) paired by position with
+    the whole-tape totals (80 periods) - the last period is padded."""
+    comp = C.composites(apply_filters(tape, SBA)).select(F.col("ProcessingDateKey").alias("sba_date"),
+                                                        F.col("ca").alias("sba_ca"))
+    return S.attach_by_position(S.period_totals(tape), "ProcessingDateKey", comp, "sba_date",
+                                ["sba_date", "sba_ca"])
+
+
+@register("index_100", O.with_tape(_TOT_A2) + """
+SELECT ProcessingDateKey, CommitmentAmt, Deals, OutstandingAmt,
+  CASE WHEN rn = 1 THEN 100.0 WHEN b_ca IS NULL OR b_ca <= 0 THEN 100.0
+       ELSE CAST(CommitmentAmt AS DOUBLE) / CAST(b_ca AS DOUBLE) * 100 END AS commitmentIndex,
+  CASE WHEN rn = 1 THEN 100.0 WHEN b_oa IS NULL OR b_oa <= 0 THEN 100.0
+       ELSE CAST(OutstandingAmt AS DOUBLE) / CAST(b_oa AS DOUBLE) * 100 END AS outstandingIndex,
+  CASE WHEN rn = 1 THEN 100.0 WHEN b_d IS NULL OR b_d <= 0 THEN 100.0
+       ELSE CAST(Deals AS DOUBLE) / CAST(b_d AS DOUBLE) * 100 END AS dealsIndex
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS rn,
+        FIRST_VALUE(CommitmentAmt) OVER (ORDER BY ProcessingDateKey) AS b_ca,
+        FIRST_VALUE(OutstandingAmt) OVER (ORDER BY ProcessingDateKey) AS b_oa,
+        FIRST_VALUE(Deals) OVER (ORDER BY ProcessingDateKey) AS b_d FROM tot) x""",
+          ("commitmentIndex", "outstandingIndex", "dealsIndex"))
+def q_index_100(spark, tape):
+    """Base-100 index of the monthly totals."""
+    return S.index_100(S.period_totals(tape))
+
+
+def _summary_sql(metric):
+    return f"""
+SELECT '{metric}' AS metric, latest, previous,
+  CASE WHEN latest > previous THEN 'up' WHEN latest < previous THEN 'down' ELSE 'stable' END AS trend,
+  CASE WHEN previous IS NULL OR previous = 0 THEN 0.0 ELSE (latest - previous) / previous * 100 END AS change
+FROM (SELECT MAX(CASE WHEN rn = 1 THEN v END) AS latest, MAX(CASE WHEN rn = 2 THEN v END) AS previous
+      FROM (SELECT CAST({metric} AS DOUBLE) AS v,
+              ROW_NUMBER() OVER (ORDER BY ProcessingDateKey DESC) AS rn FROM tot WHERE {metric} IS NOT NULL) a
+      WHERE rn <= 2) b"""
+
+
+@register("metric_summary", O.with_tape(_TOT_A2) + "\nUNION ALL".join(
+    _summary_sql(m) for m in ("CommitmentAmt", "OutstandingAmt", "Deals")), ("latest", "previous", "change"))
+def q_metric_summary(spark, tape):
+    """Latest / previous / trend / % change of each monthly total."""
+    tot = S.period_totals(tape)
+    out = None
+    for m in ("CommitmentAmt", "OutstandingAmt", "Deals"):
+        one = S.metric_summary(tot, m)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ================================================================ filters
+_DETAIL = ", ".join(P.DETAIL_COLUMNS)
+
+
+def _detail_sql(where: str) -> str:
+    return O.with_tape() + f"\nSELECT {_DETAIL} FROM tape WHERE {where}"
+
+
+def _filter_query(name: str, spec: FilterSpec, doc: str):
+    def fn(spark, tape):
+        return P.detail_columns(apply_filters(tape, spec))
+    fn.__doc__ = doc
+    register(name, _detail_sql(O.spec_sql(spec)))(fn)
+
+
+_filter_query("filter_sba", FilterSpec.of(sba=["non-sba", "unknown"]),
+              "F1: Non-SBA (case-insensitive), unknown classes ignored, NULL ids dropped.")
+_filter_query("filter_lob", FilterSpec.of(lob=["11 - Commercial", "12", "3"]),
+              "F2: line-of-business ids from labels.")
+_filter_query("filter_in", FilterSpec.of(size_groups=["$1MM - $5MM", "$5MM - $10MM"],
+                                         risk_groups=["Pass", "Substandard"], banks=[3, "7", "11"],
+                                         regions="Pacific", naics=["PROMO", "SMALL", "LARGE"]),
+              "F3: IN on size, risk, bank (as text), region and NAICS group.")
+_filter_query("filter_all_sentinel", FilterSpec.of(regions=["All"], size_groups="All", risk_groups=[],
+                                                   banks=None, sba=["SBA"]),
+              "F4: 'All' / empty mean no filter (only the SBA class applies).")
+_filter_query("filter_ranges", FilterSpec.of(ranges=[{"min": 10000, "max": 20000, "label": "small"},
+                                                     {"min": 50000.5, "max": 60000, "label": "mid"},
+                                                     {"min": 90000, "max": 80000, "label": "bad"},
+                                                     {"min": 1, "max": 2, "label": "  "}]),
+              "F5: inclusive ranges OR-ed; inverted and unlabeled ranges skipped.")
+_filter_query("filter_dates", FilterSpec.of(dates=[
+    {"operator": "greaterThan", "startDate": "1997-01-31T00:00:00Z"},
+    {"operator": "lessThan", "startDate": "1999-12-31T10:00:00-05:00"},
+    {"operator": "between", "startDate": "1996-01-01"},
+    {"operator": "equals", "startDate": "not a date"}]),
+              "F6: >= and <= on the key; end-less between and bad dates skipped.")
+_filter_query("filter_dates_between", FilterSpec.of(dates=[
+    {"operator": "between", "startDate": "1998-01-31", "endDate": "1998-12-31T00:00:00Z"},
+    {"operator": "equals", "startDate": "1998-06-30"}]),
+              "F6: between AND equals.")
+_filter_query("filter_residual", FilterSpec.of(residual=True),
+              "F7: matured deals under 1000 outstanding dropped (NULL tests too).")
+_filter_query("filter_combined", FilterSpec.of(sba=["SBA", "Non-SBA"], lob=["1", "2", "12"],
+                                               regions=["Southwest", "Northeast"], residual=True,
+                                               ranges=[(1000, 60000, "r")]),
+              "F10: every predicate kind together.")
+_filter_query("filter_contradiction", FilterSpec.of(sba=["SBA"], lob=["1", "2"]),
+              "SBA with non-SBA ids: empty by construction.")
+
+
+@register("filter_nonblank", _detail_sql(
+    "RiskGroupDesc IS NOT NULL AND RiskGroupDesc <> 'NULL' AND trim(RiskGroupDesc) <> '' AND "
+    "CommitmentSizeGroup IS NOT NULL AND CommitmentSizeGroup <> 'NULL' AND trim(CommitmentSizeGroup) <> ''"))
+def q_filter_nonblank(spark, tape):
+    """non-blank dimension values."""
+    return P.detail_columns(tape.filter(FL.nonblank("RiskGroupDesc") & FL.nonblank("CommitmentSizeGroup")))
+
+
+@register("has_amount", _detail_sql("CommitmentAmt IS NOT NULL"))
+def q_has_amount(spark, tape):
+    """F8: rows with a commitment."""
+    return P.detail_columns(tape.filter(FL.has_amount()))
+
+
+@register("latest_period", _detail_sql("ProcessingDateKey = (SELECT MAX(ProcessingDateKey) FROM tape)"))
+def q_latest_period(spark, tape):
+    """rows of the latest period (scalar subquery)."""
+    return P.detail_columns(FL.latest_period(tape))
+
+
+# ============================================================ projections
+@register("project", O.with_tape() + "\nSELECT ProcessingDateKey AS processingdatekey, BankID AS bankid, "
+          "CommitmentAmt AS commitmentamt, Region AS REGION FROM tape")
+def q_project(spark, tape):
+    """Case-insensitive projection."""
+    return P.project(tape, ["processingdatekey", "bankid", "commitmentamt", "REGION"])
+
+
+@register("with_sba", O.with_tape() + f"\nSELECT {_DETAIL}, CASE WHEN LineofBusinessId = '12' THEN 'SBA' "
+          "ELSE 'Non-SBA' END AS SBA_Classification FROM tape")
+def q_with_sba(spark, tape):
+    """SBA classification column."""
+    return P.with_sba(P.detail_columns(tape))
+
+
+@register("canonicalise", O.with_tape() + "\nSELECT ProcessingDateKey, BankID, CommitmentAmt FROM tape")
+def q_canonicalise(spark, tape):
+    """P5: lower-case database names mapped back to canonical names."""
+    low = tape.select(*[F.col(c).alias(c.lower()) for c in ("ProcessingDateKey", "BankID", "CommitmentAmt")])
+    return P.canonicalise(low)
+
+
+@register("csv_composites", O.with_tape(_TOT_A2) + "\nSELECT ProcessingDateKey, CommitmentAmt AS ca, "
+          "OutstandingAmt AS oa, Deals AS deals FROM tot")
+def q_csv_composites(spark, tape):
+    """Series renamed from the totals."""
+    return P.csv_composites(S.period_totals(tape))

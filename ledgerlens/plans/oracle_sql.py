@@ -195,3 +195,56 @@ def rounded(sql: str, cols: Sequence[str], places: int = 6) -> str:
         return sql
     rep = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
+
+
+# ----------------------------------------------------------- filter specs
+def _q(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _in(col: str, vals) -> str:
+    return f"{col} IN ({', '.join(_q(v) for v in vals)})"
+
+
+def spec_sql(spec) -> str:
+    """SQL text of a ``FilterSpec`` (independent of the Spark predicate)."""
+    from ..operators.filters import iso_to_key, lob_id
+    parts = []
+    sba = []
+    for v in spec.sba:
+        c = str(v).lower()
+        if c == "sba":
+            sba.append("LineofBusinessId = '12'")
+        elif c == "non-sba":
+            sba.append("LineofBusinessId <> '12'")
+    if sba:
+        parts.append("(" + " OR ".join(sba) + ")")
+    if spec.lob:
+        parts.append(_in("LineofBusinessId", [lob_id(v) for v in spec.lob]))
+    for col, vals in (("CommitmentSizeGroup", spec.size_groups), ("RiskGroupDesc", spec.risk_groups),
+                      ("BankID", spec.banks), ("Region", spec.regions), ("NAICSGrpName", spec.naics)):
+        if vals:
+            parts.append(_in(col, vals))
+    rs = [f"(CommitmentAmt >= {float(r.min)!r} AND CommitmentAmt <= {float(r.max)!r})"
+          for r in spec.ranges if r.valid]
+    if rs:
+        parts.append("(" + " OR ".join(rs) + ")")
+    ds = []
+    for d in spec.dates:
+        a = iso_to_key(d.startDate)
+        if a is None:
+            continue
+        op = (d.operator or "").lower()
+        if op == "equals":
+            ds.append(f"ProcessingDateKey = {a}")
+        elif op == "greaterthan":
+            ds.append(f"ProcessingDateKey >= {a}")
+        elif op == "lessthan":
+            ds.append(f"ProcessingDateKey <= {a}")
+        elif op == "between" and d.endDate and iso_to_key(d.endDate) is not None:
+            ds.append(f"ProcessingDateKey BETWEEN {a} AND {iso_to_key(d.endDate)}")
+    parts += ds
+    if spec.residual:
+        parts.append(f"NOT (CurrentMaturityDateKey < ProcessingDateKey AND "
+                     f"CAST(OutstandingAmt AS DOUBLE) < {float(spec.residual_limit)!r})")
+    return " AND ".join(parts) if parts else "TRUE"

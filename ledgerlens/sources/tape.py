@@ -59,8 +59,25 @@ def _lookup(c: Column, pairs, default=None) -> Column:
     return expr.otherwise(default) if default is not None else expr
 
 
+# Column types of the driver tables we read (the data contract).
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+}
+
+
 def read_tables(spark: SparkSession, sf_dir: str, names=TAPE_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    """Parquet readers with the declared schemas (no footer inference)."""
+    return {n: spark.read.schema(TABLE_SCHEMAS[n]).parquet(f"{sf_dir}/{n}.parquet") if n in TABLE_SCHEMAS
+            else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
 def tape_from_tables(spark: SparkSession, sf_dir: str, with_tie_break: bool = True) -> DataFrame:
