@@ -463,3 +463,201 @@ def q_canonicalise(spark, tape):
 def q_csv_composites(spark, tape):
     """Series renamed from the totals."""
     return P.csv_composites(S.period_totals(tape))
+
+
+# ============================================================ aggregates (A5-A18), ordering
+_GQ_SPEC = FilterSpec.of(sba=["Non-SBA"], size_groups=["$1MM - $5MM", "$5MM - $10MM", "> $25MM"])
+_GQ_SQL = O.with_tape() + f"""
+SELECT ProcessingDateKey, LineofBusinessId, CommitmentSizeGroup, RiskGroupDesc, Region,
+  COUNT(*) AS RecordCount, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS TotalCommitment,
+  CASE WHEN COUNT(CommitmentAmt) = 0 THEN NULL
+       ELSE CAST(SUM(CommitmentAmt) AS DOUBLE) / CAST(COUNT(CommitmentAmt) AS DOUBLE) END AS AvgCommitment,
+  MIN(CommitmentAmt) AS MinCommitment, MAX(CommitmentAmt) AS MaxCommitment
+FROM tape WHERE {O.spec_sql(_GQ_SPEC)}
+GROUP BY ProcessingDateKey, LineofBusinessId, CommitmentSizeGroup, RiskGroupDesc, Region
+ORDER BY ProcessingDateKey DESC NULLS FIRST, TotalCommitment DESC NULLS FIRST, LineofBusinessId,
+  CommitmentSizeGroup, RiskGroupDesc, Region
+LIMIT 500"""
+
+
+@register("grouped_query", _GQ_SQL, ("AvgCommitment",))
+def q_grouped_query(spark, tape):
+    """A5: five-key grouped query, largest totals first, top 500."""
+    return AG.grouped_query(tape, _GQ_SPEC, 500)
+
+
+@register("result_totals", f"SELECT COUNT(*) AS totalRecords, CAST(COALESCE(SUM(TotalCommitment), 0) AS "
+          f"DECIMAL(38,2)) AS totalCommitment FROM (\n{_GQ_SQL}\n) g")
+def q_result_totals(spark, tape):
+    """Totals over the limited grouped result."""
+    return AG.result_totals(AG.grouped_query(tape, _GQ_SPEC, 500))
+
+
+@register("analytics_summary", O.with_tape() + """
+SELECT ProcessingDateKey, Region, LineofBusinessId, LineofBusiness, CommitmentSizeGroup, RiskGroupDesc,
+  COUNT(*) AS Deals, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS CommitmentAmt,
+  CAST(SUM(OutstandingAmt) AS DECIMAL(38,2)) AS OutstandingAmt,
+  CAST(SUM(CommitmentAmt) AS DOUBLE) / CAST(COUNT(CommitmentAmt) AS DOUBLE) AS AvgCommitmentAmt
+FROM tape WHERE CommitmentAmt IS NOT NULL
+GROUP BY ProcessingDateKey, Region, LineofBusinessId, LineofBusiness, CommitmentSizeGroup, RiskGroupDesc""",
+          ("AvgCommitmentAmt",))
+def q_analytics_summary(spark, tape):
+    """The analytics_summary view."""
+    return AG.analytics_summary(tape)
+
+
+@register("distinct_values", O.with_tape() + """
+SELECT DISTINCT Region FROM tape
+WHERE Region IS NOT NULL AND Region <> 'NULL' AND trim(Region) <> '' ORDER BY Region""")
+def q_distinct_values(spark, tape):
+    """Distinct regions (strict form)."""
+    return AG.distinct_values(tape, "Region")
+
+
+@register("lob_options", O.with_tape() + """
+SELECT LineofBusinessId AS id,
+  'LOB ' || LineofBusinessId || CASE WHEN LineofBusinessId = '12' THEN ' (SBA)' ELSE ' (Non-SBA)' END
+    AS display_name,
+  COUNT(*) AS record_count
+FROM tape WHERE LineofBusinessId IS NOT NULL AND LineofBusinessId <> 'NULL' AND trim(LineofBusinessId) <> ''
+GROUP BY LineofBusinessId ORDER BY LineofBusinessId""")
+def q_lob_options(spark, tape):
+    """LOB ids with record counts and labels."""
+    return AG.lob_options(tape)
+
+
+@register("lob_labels", O.with_tape() + """
+SELECT LineofBusinessId, LineofBusiness,
+  CASE WHEN LineofBusiness IS NOT NULL AND LineofBusiness <> '' THEN LineofBusinessId || ' - ' || LineofBusiness
+       ELSE LineofBusinessId END AS label
+FROM (SELECT DISTINCT LineofBusinessId, LineofBusiness FROM tape WHERE LineofBusinessId IS NOT NULL) d""")
+def q_lob_labels(spark, tape):
+    """Distinct (id, name) labels."""
+    return AG.lob_labels(tape)
+
+
+_OPT_SQL_PARTS = ["SELECT 'lineOfBusiness' AS dimension, CASE WHEN LineofBusiness IS NOT NULL AND "
+                  "LineofBusiness <> '' THEN LineofBusinessId || ' - ' || LineofBusiness ELSE "
+                  "LineofBusinessId END AS value FROM tape WHERE LineofBusinessId IS NOT NULL"]
+_OPT_SQL_PARTS += [f"SELECT '{k}', CAST({c} AS VARCHAR) FROM tape WHERE {c} IS NOT NULL"
+                   for k, c in AG.OPTION_DIMENSIONS]
+_OPT_SQL_PARTS += ["SELECT 'sbaClassification', 'SBA' FROM tape",
+                   "SELECT 'sbaClassification', 'Non-SBA' FROM tape"]
+
+
+@register("filter_options", O.with_tape() + "\nSELECT DISTINCT dimension, value FROM (\n"
+          + "\nUNION ALL ".join(_OPT_SQL_PARTS) + "\n) o ORDER BY dimension, value")
+def q_filter_options(spark, tape):
+    """A10: every filter option in one scan."""
+    return AG.filter_options(tape)
+
+
+@register("summary_stats", O.with_tape() + """
+SELECT COUNT(*) AS total_records, COUNT(DISTINCT ProcessingDateKey) AS unique_months,
+  MIN(ProcessingDateKey) AS earliest_date, MAX(ProcessingDateKey) AS latest_date,
+  CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
+  CAST(SUM(CommitmentAmt) AS DOUBLE) / CAST(COUNT(CommitmentAmt) AS DOUBLE) AS avg_commitment,
+  COUNT(DISTINCT Region) AS unique_regions, COUNT(DISTINCT LineofBusinessId) AS unique_lobs,
+  COUNT(DISTINCT BankID) AS unique_banks
+FROM tape WHERE CommitmentAmt IS NOT NULL""", ("avg_commitment",))
+def q_summary_stats(spark, tape):
+    """Whole-table statistics."""
+    return AG.summary_stats(tape)
+
+
+@register("latest_month_stats", O.with_tape() + """
+SELECT ProcessingDateKey, COUNT(*) AS deals, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
+  CAST(SUM(OutstandingAmt) AS DOUBLE) AS total_outstanding
+FROM tape WHERE ProcessingDateKey = (SELECT MAX(ProcessingDateKey) FROM tape) GROUP BY ProcessingDateKey""",
+          ("total_outstanding",))
+def q_latest_month_stats(spark, tape):
+    """Latest-period statistics."""
+    return AG.latest_month_stats(tape)
+
+
+@register("max_date", O.with_tape() + "\nSELECT MAX(ProcessingDateKey) AS max_date FROM tape")
+def q_max_date(spark, tape):
+    """A13."""
+    return AG.max_date(tape)
+
+
+@register("months_available", O.with_tape() + "\nSELECT COUNT(DISTINCT ProcessingDateKey) AS months_available "
+          "FROM tape")
+def q_months_available(spark, tape):
+    """A14."""
+    return AG.months_available(tape)
+
+
+@register("table_profile", O.with_tape() + "\nSELECT COUNT(*) AS row_count, MIN(ProcessingDateKey) AS min_date, "
+          "MAX(ProcessingDateKey) AS max_date FROM tape")
+def q_table_profile(spark, tape):
+    """A15."""
+    return AG.table_profile(tape)
+
+
+_ISO = "strftime(strptime(CAST({} AS VARCHAR), '%Y%m%d'), '%Y-%m-%d')"
+
+
+@register("bundle_summary", O.with_tape() + f"""
+SELECT CAST(COALESCE(SUM(CommitmentAmt), 0) AS DECIMAL(38,2)) AS total_commitment,
+  CAST(COALESCE(SUM(OutstandingAmt), 0) AS DECIMAL(38,2)) AS total_outstanding,
+  COUNT(*) AS total_deals, {_ISO.format('MAX(ProcessingDateKey)')} AS latest_period,
+  {_ISO.format('MIN(ProcessingDateKey)')} AS date_start, {_ISO.format('MAX(ProcessingDateKey)')} AS date_end,
+  COUNT(DISTINCT ProcessingDateKey) AS record_count
+FROM tape WHERE ProcessingDateKey IS NOT NULL""")
+def q_bundle_summary(spark, tape):
+    """TSV bundle summary."""
+    return R.dashboard_bundle(tape)["summary"]
+
+
+@register("bundle_options", O.with_tape() + "\nSELECT DISTINCT dimension, value FROM (\n" + "\nUNION ALL ".join(
+    f"SELECT '{k}' AS dimension, CAST({c} AS VARCHAR) AS value FROM tape WHERE {c} IS NOT NULL"
+    for k, c in (("lineOfBusiness", "LineofBusiness"), ("commitmentSizeGroup", "CommitmentSizeGroup"),
+                 ("riskGroup", "RiskGroupDesc"), ("bankId", "BankID"), ("region", "Region"),
+                 ("naicsGrpName", "NAICSGrpName"))) + "\n) o ORDER BY dimension, value")
+def q_bundle_options(spark, tape):
+    """E5: TSV-path filter options."""
+    return R.dashboard_bundle(tape)["filter_options"]
+
+
+@register("filter_breakdown", O.with_tape() + """
+SELECT LineofBusinessId, CommitmentSizeGroup, COUNT(*) AS Count FROM tape
+GROUP BY LineofBusinessId, CommitmentSizeGroup ORDER BY LineofBusinessId, CommitmentSizeGroup""")
+def q_filter_breakdown(spark, tape):
+    """Count by LOB x size group."""
+    return AG.filter_breakdown(tape)
+
+
+_DQ_SPEC = FilterSpec.of(regions=["Pacific", "Southeast"], sba=["Non-SBA"],
+                         ranges=[{"min": 20000, "max": 80000, "label": "mid"}])
+
+
+@register("detail_query", O.with_tape() + f"""
+SELECT {_DETAIL} FROM tape WHERE {O.spec_sql(_DQ_SPEC)}
+ORDER BY ProcessingDateKey DESC NULLS FIRST, CommitmentAmt DESC NULLS FIRST, {', '.join(TIE_BREAK)}
+LIMIT 1000""")
+def q_detail_query(spark, tape):
+    """O1: detail rows, newest and largest first, top 1000."""
+    return AG.detail_query(tape, _DQ_SPEC, 1000, TIE_BREAK)
+
+
+@register("detail_query_nulls_first", O.with_tape() + f"""
+SELECT {_DETAIL} FROM tape WHERE LineofBusinessId = '12'
+ORDER BY ProcessingDateKey DESC NULLS FIRST, CommitmentAmt DESC NULLS FIRST, {', '.join(TIE_BREAK)}
+LIMIT 50""")
+def q_detail_query_nulls_first(spark, tape):
+    """O1: NULL commitments sort first within a period (PostgreSQL order)."""
+    return AG.detail_query(tape, SBA, 50, TIE_BREAK)
+
+
+@register("analytics_series", O.with_tape(_TOT_VIEW, _LAGS) + _VIEW_SELECT, _VIEW_DBL)
+def q_analytics_series(spark, tape):
+    """O3: aggregated_analytics ordered by period (no limit)."""
+    return AG.analytics_series(FS.aggregated_analytics(tape))
+
+
+@register("latest_periods", O.with_tape(_TOT_VIEW, _LAGS) + _VIEW_SELECT + "\nORDER BY ProcessingDateKey DESC LIMIT 3",
+          _VIEW_DBL)
+def q_latest_periods(spark, tape):
+    """Latest three periods of the aggregated view."""
+    return AG.latest_periods(FS.aggregated_analytics(tape), 3)
