@@ -24,7 +24,7 @@ def key_to_date(key) -> Column:
     """``YYYYMMDD`` int/string -> DATE; ``0``/blank/invalid -> NULL."""
     s = F.trim(_c(key).cast("string"))
     return F.when((s == "") | (s == "0"), F.lit(None).cast("date")).otherwise(
-        F.try_to_date(s, F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date(s, "yyyyMMdd"))
+        F.try_to_date(s, "yyyyMMdd"))
 
 
 def date_to_key(d) -> Column:

@@ -202,15 +202,11 @@ def breach_limits(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = Ca
 
 
 # ------------------------------------------------------------------------ W8
-_STEP = T.StructType([
-    T.StructField("ProcessingDateKey", T.IntegerType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("perc_diff_raw", T.DoubleType()),
-    T.StructField("perc_diff", T.DoubleType()),
-    T.StructField("mod", T.DoubleType()),
-    T.StructField("prev_mod", T.DoubleType()),
-    T.StructField("inc", T.BooleanType()),
-])
+_OUT = T.ArrayType(T.StructType([
+    T.StructField("c", T.DoubleType()),      # clamped change (NULL when re-based)
+    T.StructField("m", T.DoubleType()),      # clamped value
+    T.StructField("pm", T.DoubleType()),     # previous clamped value when included
+]))
 
 
 def _clamp_fold(months: Column) -> Column:
@@ -219,20 +215,19 @@ def _clamp_fold(months: Column) -> Column:
     ``mod_t = mod_{t-1} * (1 + clamp(v_t / mod_{t-1} - 1, lo_t, hi_t))``
     when the bank's previous month is the scope's previous period and
     ``mod_{t-1} != 0``; otherwise the chain re-bases to ``v_t`` and the
-    bank is excluded from that period's composite.
+    bank is excluded from that period's composite.  The accumulator
+    carries only the three computed numbers per step; inputs are zipped
+    back afterwards.
     """
     zero = F.struct(F.lit(None).cast("int").alias("d"), F.lit(None).cast("double").alias("m"),
-                    F.array().cast(T.ArrayType(_STEP)).alias("out"))
+                    F.array().cast(_OUT).alias("out"))
 
     def step(acc, e):
-        ok = F.coalesce((acc["d"] == e["p"]) & (acc["m"] != 0), F.lit(False))
+        ok = (acc["d"] == e["p"]) & (acc["m"] != 0)
         chg = F.when(ok, F.greatest(F.least(F.try_divide(e["v"], acc["m"]) - 1, e["hi"]), e["lo"]))
         mod = F.when(ok, acc["m"] * (1 + chg)).otherwise(e["v"])
-        rec = F.struct(e["d"].alias("ProcessingDateKey"), e["v"].alias("value"),
-                       e["raw"].alias("perc_diff_raw"), chg.alias("perc_diff"), mod.alias("mod"),
-                       F.when(ok, acc["m"]).alias("prev_mod"), ok.alias("inc"))
-        return F.struct(e["d"].alias("d"), mod.alias("m"),
-                        F.concat(acc["out"], F.array(rec)).alias("out"))
+        rec = F.struct(chg.alias("c"), mod.alias("m"), F.when(ok, acc["m"]).alias("pm"))
+        return F.struct(e["d"].alias("d"), mod.alias("m"), F.concat(acc["out"], F.array(rec)).alias("out"))
 
     return F.aggregate(months, zero, step, lambda acc: acc["out"])
 
@@ -250,7 +245,14 @@ def capped_chain(raw: DataFrame, limits: DataFrame, scope: Sequence[str] = (),
                     F.col(value).cast("double").alias("v"), F.col("lim_max").alias("hi"),
                     F.col("lim_min").alias("lo"), F.col("perc_diff_raw").alias("raw"))
     g = j.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
-    return g.select(*scope, "metric", BANK, F.inline(_clamp_fold(F.col("_m"))))
+    g = g.select(*scope, "metric", BANK, F.arrays_zip(F.col("_m").alias("i"),
+                                                      _clamp_fold(F.col("_m")).alias("o")).alias("_z"))
+    z = g.select(*scope, "metric", BANK, F.explode("_z").alias("_e"))
+    return z.select(*scope, "metric", BANK,
+                    F.col("_e.i.d").alias("ProcessingDateKey"), F.col("_e.i.v").alias("value"),
+                    F.col("_e.i.raw").alias("perc_diff_raw"), F.col("_e.o.c").alias("perc_diff"),
+                    F.col("_e.o.m").alias("mod"), F.col("_e.o.pm").alias("prev_mod"),
+                    F.col("_e.o.pm").isNotNull().alias("inc"))
 
 
 # ------------------------------------------------------------------------ W9

@@ -185,3 +185,46 @@ def metric_summary(df: DataFrame, metric: str, scope: Sequence[str] = (), key: s
         F.try_divide(F.col("latest") - F.col("previous"), F.col("previous")) * 100)
     return g.select(*scope, F.lit(metric).alias("metric"), "latest", "previous",
                     trend.alias("trend"), change.alias("change"))
+
+
+# ------------------------------------------------------------------------ W13
+def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "OutstandingAmt"),
+               partitions: int | None = None) -> DataFrame:
+    """Record-level change against the previous record in ``order``.
+
+    ``(x_i - x_{i-1}) / x_{i-1}``, 0 for the first record and for a zero
+    prior; NULL when either value is NULL.  No single-task window: rows
+    are range-partitioned on ``order`` and checkpointed (stable partition
+    ids), the previous row is found inside each partition, and each
+    partition's first row takes the last row of the preceding non-empty
+    partition from a frame with one row per partition (broadcast; its
+    size is the partition count).
+    """
+    from ..session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = list(dict.fromkeys([*order, *metrics]))
+    ranged = df.select(*cols).repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy("_pid").orderBy(*order)
+    inpart = ranged.select("*", F.row_number().over(w).alias("_rn"),
+                           *[F.lag(m).over(w).alias(f"_p_{m}") for m in metrics])
+    last = ranged.groupBy("_pid").agg(F.max(F.struct(*order, *metrics)).alias("_last"))
+    wl = Window.orderBy("_pid")   # one row per partition
+    carry = last.select("_pid", *[F.lag(F.col(f"_last.{m}")).over(wl).alias(f"_c_{m}") for m in metrics],
+                        F.lag("_pid").over(wl).alias("_cpid"))
+    j = inpart.join(F.broadcast(carry), "_pid", "left")
+    out = j
+    for m in metrics:
+        first = (F.col("_rn") == 1)
+        prev = F.when(first, F.col(f"_c_{m}")).otherwise(F.col(f"_p_{m}")).cast("double")
+        is_global_first = first & F.col("_cpid").isNull()
+        x = F.col(m).cast("double")
+        change = (F.when(is_global_first, F.lit(0.0))
+                   .when(prev.isNull() | x.isNull(), F.lit(None).cast("double"))
+                   .when(prev == 0, F.lit(0.0))
+                   .otherwise(F.try_divide(x - prev, prev)))
+        short = {"CommitmentAmt": "ca_perc_diff", "OutstandingAmt": "oa_perc_diff", "Deals": "deals_perc_diff"}
+        out = out.withColumn(short.get(m, f"{m}_perc_diff"), change)
+    return out.drop("_pid", "_rn", *[f"_p_{m}" for m in metrics], *[f"_c_{m}" for m in metrics], "_cpid")

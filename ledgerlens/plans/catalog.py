@@ -661,3 +661,283 @@ def q_analytics_series(spark, tape):
 def q_latest_periods(spark, tape):
     """Latest three periods of the aggregated view."""
     return AG.latest_periods(FS.aggregated_analytics(tape), 3)
+
+
+# ============================================================ templates (E3, E4, S9, S10), E7, W12
+def _template_src_sql(templates: dict) -> str:
+    parts = []
+    for key, t in templates.items():
+        spec = FilterSpec.from_template(t.get("filters", {}))
+        parts.append(f"SELECT '{key}' AS template_id, * FROM tape WHERE {O.spec_sql(spec)}")
+    return "src AS (\n" + "\nUNION ALL ".join(parts) + ")"
+
+
+_E3_SQL = (O.with_tape(_template_src_sql(TP.TEMPLATES), O.composite_ctes("src", ["template_id"]), recursive=True)
+           + O.result_select(["template_id"]))
+
+
+@register("run_templates", _E3_SQL, E2_DBL)
+def q_run_templates(spark, tape):
+    """All eight templates in one scan."""
+    return TP.run_templates(tape)
+
+
+_CUSTOM = {"sba_classification": "Non-SBA", "region": "Pacific",
+           "commitment_size_groups": ["$1MM - $5MM", "$5MM - $10MM"], "risk_group_descriptions": None}
+
+
+@register("run_custom", O.with_tape(_template_src_sql({"Custom": {"filters": _CUSTOM}}),
+                                    O.composite_ctes("src", ["template_id"]), recursive=True)
+          + O.result_select(["template_id"]), E2_DBL)
+def q_run_custom(spark, tape):
+    """Ad-hoc named run."""
+    return TP.run_custom(tape, _CUSTOM, "Custom")
+
+
+_REPORT_VALUES = ", ".join(f"('{k}', '{t['name']}')" for k, t in TP.TEMPLATES.items())
+
+
+@register("run_report", O.with_tape(_template_src_sql(TP.TEMPLATES)) + f"""
+SELECT t.template_id, t.template_name, COALESCE(c.n, 0) AS row_count,
+  CASE WHEN c.n > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status
+FROM (VALUES {_REPORT_VALUES}) t(template_id, template_name)
+LEFT JOIN (SELECT template_id, COUNT(DISTINCT ProcessingDateKey) AS n FROM src GROUP BY template_id) c
+  ON t.template_id = c.template_id""")
+def q_run_report(spark, tape):
+    """Status and row count per template."""
+    return TP.run_report(TP.run_templates(tape), TP.template_frame(spark))
+
+
+_RUN_TS = "20240101_000000"
+
+
+def _pipeline_sql() -> str:
+    import json
+    vals = ", ".join(f"('{k}', '{t['name']}', '{json.dumps(t['filters'])}')" for k, t in TP.TEMPLATES.items())
+    ratio = lambda c: f"CAST(round({c}, 6) AS DECIMAL(10,6)) AS {c}"
+    return f"""SELECT m.template_name, strptime('{_RUN_TS}', '%Y%m%d_%H%M%S') AS run_timestamp, m.filter_params,
+  CAST(r.ProcessingDateKey AS BIGINT) AS processingdatekey,
+  CAST(r.CommitmentAmt AS DECIMAL(20,2)) AS commitmentamt, CAST(r.OutstandingAmt AS DECIMAL(20,2)) AS outstandingamt,
+  CAST(r.Deals AS INTEGER) AS deals, {ratio('ca_diff')}, {ratio('oa_diff')}, {ratio('deals_diff')},
+  {ratio('ca_model_diff')}, {ratio('oa_model_diff')}, {ratio('deals_model_diff')}
+FROM (\n{_E3_SQL}\n) r JOIN (VALUES {vals}) m(template_id, template_name, filter_params)
+  ON r.template_id = m.template_id"""
+
+
+@register("pipeline_results", _pipeline_sql())
+def q_pipeline_results(spark, tape):
+    """S6 + S9: results with template metadata, conformed to the results table."""
+    res = TP.with_run_metadata(TP.run_templates(tape), TP.template_frame(spark), _RUN_TS)
+    res = res.withColumn("run_timestamp", F.to_timestamp_ntz(F.col("run_timestamp"), F.lit("yyyyMMdd_HHmmss")))
+    return TP.to_pipeline_results(res, with_created_at=False)
+
+
+_CAPS = (0.05, 0.1, 0.2)
+
+
+@register("cap_sensitivity", O.with_tape(
+    "src AS (SELECT c.cap_value, t.* FROM tape t CROSS JOIN (VALUES "
+    + ", ".join(f"({O.dbl(c)})" for c in _CAPS) + ") c(cap_value))",
+    O.composite_ctes("src", ["cap_value"], hi="cap_value"), recursive=True)
+    + "\nSELECT cap_value, ProcessingDateKey, ca, oa, deals FROM compw", ("cap_value", "ca", "oa", "deals"))
+def q_cap_sensitivity(spark, tape):
+    """Composite for MoM caps 5 %, 10 %, 20 %."""
+    return A.cap_sensitivity(tape, _CAPS)
+
+
+_BANKS = [str(i) for i in range(25)]   # bank ids = nation keys of the driver's nation table
+
+
+def _wide_sql():
+    cols = []
+    for b in _BANKS:
+        w = f"BankID = '{b}'"
+        cols += [f'MAX(CASE WHEN {w} THEN value END) AS "{b}"',
+                 f'MAX(CASE WHEN {w} THEN perc_diff_raw END) AS "{b}_perc_diff_raw"',
+                 f'CAST(MAX(CASE WHEN {w} THEN CAST(inc AS INTEGER) END) AS BOOLEAN) AS "{b}_inc"',
+                 f'MAX(CASE WHEN {w} THEN perc_diff END) AS "{b}_perc_diff"',
+                 f'MAX(CASE WHEN {w} THEN mod_v END) AS "{b}_mod"']
+    return (O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True)
+            + f""",
+wide AS (SELECT ProcessingDateKey, {', '.join(cols)} FROM chain WHERE metric = 'ca' GROUP BY ProcessingDateKey)
+SELECT w.*, l.lim_max, l.lim_min, c.perc_diff FROM wide w
+JOIN lims l ON l.metric = 'ca' AND l.ProcessingDateKey = w.ProcessingDateKey
+JOIN comp c ON c.metric = 'ca' AND c.ProcessingDateKey = w.ProcessingDateKey""")
+
+
+_WIDE_DBL = tuple([f"{b}{s}" for b in _BANKS for s in ("", "_perc_diff_raw", "_perc_diff", "_mod")]
+                  + ["lim_max", "lim_min", "perc_diff"])
+
+
+@register("wide_panel", _wide_sql(), _WIDE_DBL)
+def q_wide_panel(spark, tape):
+    """The reference's wide commitment panel (one column set per bank)."""
+    parts = C.composite_parts(A.reduced_cells(tape))
+    return C.wide_panel(parts, _BANKS, "ca")
+
+
+# ============================================================ record-level change
+_RP_ORDER = ["ProcessingDateKey", *TIE_BREAK]
+
+
+@register("record_pop", O.with_tape() + f"""
+SELECT {', '.join(_RP_ORDER)}, CommitmentAmt, OutstandingAmt,
+  CASE WHEN rn = 1 THEN 0.0 WHEN pc IS NULL OR CommitmentAmt IS NULL THEN NULL WHEN pc = 0 THEN 0.0
+       ELSE (CAST(CommitmentAmt AS DOUBLE) - CAST(pc AS DOUBLE)) / CAST(pc AS DOUBLE) END AS ca_perc_diff,
+  CASE WHEN rn = 1 THEN 0.0 WHEN po IS NULL OR OutstandingAmt IS NULL THEN NULL WHEN po = 0 THEN 0.0
+       ELSE (CAST(OutstandingAmt AS DOUBLE) - CAST(po AS DOUBLE)) / CAST(po AS DOUBLE) END AS oa_perc_diff
+FROM (SELECT *, ROW_NUMBER() OVER w AS rn, LAG(CommitmentAmt) OVER w AS pc, LAG(OutstandingAmt) OVER w AS po
+      FROM tape WINDOW w AS (ORDER BY {', '.join(_RP_ORDER)})) x""", ("ca_perc_diff", "oa_perc_diff"))
+def q_record_pop(spark, tape):
+    """Record-level change over the whole tape, range-partitioned."""
+    return S.record_pop(tape, _RP_ORDER)
+
+
+# ============================================================ scalars
+_TOT_DATES = O.with_tape(_TOT_A2)
+
+
+@register("date_label", _TOT_DATES + """
+SELECT ProcessingDateKey,
+  strftime(d, '%b') || ' ' || CAST(day(d) AS VARCHAR) || ', ' || CAST(year(d) AS VARCHAR) AS long_label,
+  strftime(d, '%b') || ' ' || lpad(CAST(year(d) % 100 AS VARCHAR), 2, '0') AS short_label,
+  strftime(d, '%B') || ' ' || CAST(year(d) AS VARCHAR) AS month_label,
+  strftime(d, '%b') || ' ' || CAST(year(d) AS VARCHAR) AS month_short_label,
+  strftime(d, '%Y-%m-%d') AS iso, CAST(year(d) * 10000 + month(d) * 100 + day(d) AS INTEGER) AS round_trip,
+  'N/A' AS zero_label
+FROM (SELECT ProcessingDateKey, CAST(strptime(CAST(ProcessingDateKey AS VARCHAR), '%Y%m%d') AS DATE) AS d
+      FROM tot) x""")
+def q_date_label(spark, tape):
+    """C1 + C10: key <-> date and the three display labels."""
+    t = S.period_totals(tape)
+    return t.select("ProcessingDateKey",
+                    X.date_label("ProcessingDateKey", "long").alias("long_label"),
+                    X.date_label("ProcessingDateKey", "short").alias("short_label"),
+                    X.date_label("ProcessingDateKey", "month").alias("month_label"),
+                    X.date_label("ProcessingDateKey", "month_short").alias("month_short_label"),
+                    X.key_to_iso("ProcessingDateKey").alias("iso"),
+                    X.date_to_key(X.key_to_date("ProcessingDateKey")).alias("round_trip"),
+                    X.date_label(F.lit(0), "long").alias("zero_label"))
+
+
+def _fixed_sql(x: str, places: int) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,{places})) AS VARCHAR)"
+
+
+def _human_sql(x: str, style: str) -> str:
+    x = f"CAST({x} AS DECIMAL(38,6))"
+    if style == "table":
+        return (f"CASE WHEN {x} IS NULL THEN 'N/A' WHEN abs({x}) > 1000000 THEN {_fixed_sql(x + ' / 1000000', 2)} || 'M' "
+                f"WHEN abs({x}) > 1000 THEN {_fixed_sql(x + ' / 1000', 2)} || 'K' ELSE {_fixed_sql(x, 2)} END")
+    if style == "chart":
+        return (f"CASE WHEN abs({x}) > 1000000000 THEN {_fixed_sql(x + ' / 1000000000', 1)} || 'B' "
+                f"WHEN abs({x}) > 1000000 THEN {_fixed_sql(x + ' / 1000000', 1)} || 'M' "
+                f"WHEN abs({x}) > 1000 THEN {_fixed_sql(x + ' / 1000', 1)} || 'K' "
+                f"WHEN {x} = floor({x}) THEN CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) "
+                f"ELSE regexp_replace(CAST({x} AS VARCHAR), '0+$', '') END")
+    if style == "range":
+        return (f"CASE WHEN {x} >= 1000000 THEN '$' || {_fixed_sql(x + ' / 1000000', 1)} || 'M' "
+                f"WHEN {x} >= 1000 THEN '$' || {_fixed_sql(x + ' / 1000', 1)} || 'K' "
+                f"WHEN {x} = floor({x}) THEN '$' || CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) "
+                f"ELSE '$' || regexp_replace(CAST(CAST({x} AS DECIMAL(38,3)) AS VARCHAR), '0+$', '') END")
+    if style == "usd":
+        return (f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || "
+                f"format('{{:,}}', CAST(abs(CAST({x} AS DECIMAL(38,0))) AS HUGEINT))")
+    raise ValueError(style)
+
+
+@register("human_number", _TOT_DATES + f"""
+SELECT ProcessingDateKey,
+  {_human_sql('CommitmentAmt', 'table')} AS ca_table, {_human_sql('Deals', 'table')} AS deals_table,
+  {_human_sql('OutstandingAmt / 1000', 'table')} AS oa_table_small,
+  {_human_sql('CommitmentAmt', 'chart')} AS ca_chart, {_human_sql('Deals', 'chart')} AS deals_chart,
+  {_human_sql('OutstandingAmt / 7', 'chart')} AS oa_chart_frac,
+  {_human_sql('CommitmentAmt * 1000', 'chart')} AS ca_chart_big,
+  {_human_sql('CommitmentAmt', 'range')} AS ca_range, {_human_sql('Deals', 'range')} AS deals_range,
+  {_human_sql('CommitmentAmt', 'usd')} AS ca_usd, {_human_sql('-OutstandingAmt', 'usd')} AS oa_usd_neg,
+  {_human_sql('CommitmentAmt / 1000', 'range')} || ' - ' || {_human_sql('CommitmentAmt', 'range')} AS range_label
+FROM tot""")
+def q_human_number(spark, tape):
+    """Compact number styles (table, chart, range, usd)."""
+    t = S.period_totals(tape)
+    c, d, o = F.col("CommitmentAmt"), F.col("Deals"), F.col("OutstandingAmt")
+    return t.select("ProcessingDateKey",
+                    X.human_number(c, "table").alias("ca_table"), X.human_number(d, "table").alias("deals_table"),
+                    X.human_number(o / 1000, "table").alias("oa_table_small"),
+                    X.human_number(c, "chart").alias("ca_chart"), X.human_number(d, "chart").alias("deals_chart"),
+                    X.human_number(o / 7, "chart").alias("oa_chart_frac"),
+                    X.human_number(c * 1000, "chart").alias("ca_chart_big"),
+                    X.human_number(c, "range").alias("ca_range"), X.human_number(d, "range").alias("deals_range"),
+                    X.human_number(c, "usd").alias("ca_usd"), X.human_number(-o, "usd").alias("oa_usd_neg"),
+                    X.range_label(c / 1000, c).alias("range_label"))
+
+
+def _pct_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'N/A' ELSE "
+            f"CAST(CAST(CAST({x} * 100 AS DECIMAL(38,10)) AS DECIMAL(38,2)) AS VARCHAR) || '%' END")
+
+
+def _sign_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'none' WHEN {x} >= 0 THEN 'positive' ELSE 'negative' END"
+
+
+@register("percent_text", O.with_tape(_TOT_A2, _LAGS) + f"""
+SELECT ProcessingDateKey, {_pct_sql('d')} AS ca_pct, {_sign_sql('d')} AS ca_sign
+FROM (SELECT ProcessingDateKey, {_chg('CommitmentAmt', 'CommitmentAmtPrior')} AS d FROM lagged) x""")
+def q_percent_text(spark, tape):
+    """Percent text and sign class of the monthly change."""
+    p = S.pop_change(S.period_totals(tape), "core")
+    return p.select("ProcessingDateKey", X.percent_text("ca_diff").alias("ca_pct"),
+                    X.sign_class("ca_diff").alias("ca_sign"))
+
+
+_AS_OF = "2001-09-15"
+
+
+@register("freshness", O.with_tape() + f"""
+SELECT BankID, latest, CASE WHEN latest IS NULL THEN 'No data'
+  WHEN CAST(strptime(CAST(latest AS VARCHAR), '%Y%m%d') AS DATE) >= CAST(DATE '{_AS_OF}' - INTERVAL 1 MONTH AS DATE)
+  THEN 'Fresh' ELSE 'Stale' END AS freshness
+FROM (SELECT BankID, MAX(ProcessingDateKey) AS latest FROM tape WHERE LineofBusinessId = '12' GROUP BY BankID) b""")
+def q_freshness(spark, tape):
+    """C11: freshness of each bank's latest SBA period as of a fixed date."""
+    b = tape.filter(F.col("LineofBusinessId") == "12").groupBy("BankID").agg(
+        F.max("ProcessingDateKey").alias("latest"))
+    return b.select("BankID", "latest", X.freshness(F.col("latest"), _AS_OF).alias("freshness"))
+
+
+@register("to_amount", O.with_tape() + f"""
+SELECT {', '.join(TIE_BREAK)}, CAST(CommitmentAmt AS DOUBLE) AS ca_lenient,
+  CASE WHEN DealLineNumber = 3 THEN NULL ELSE CAST(OutstandingAmt AS DOUBLE) END AS oa_lenient,
+  CAST(OutstandingAmt AS DOUBLE) AS oa_strict
+FROM tape""", ("ca_lenient", "oa_lenient", "oa_strict"))
+def q_to_amount(spark, tape):
+    """Text amounts with 'NULL' tokens and junk -> double."""
+    txt_ca = F.when(F.col("CommitmentAmt").isNull(), F.lit("NULL")).otherwise(F.col("CommitmentAmt").cast("string"))
+    txt_oa = F.when(F.col("DealLineNumber") == 3, F.lit("n/a")).otherwise(F.col("OutstandingAmt").cast("string"))
+    return tape.select(*TIE_BREAK, X.to_amount(txt_ca).alias("ca_lenient"), X.to_amount(txt_oa).alias("oa_lenient"),
+                       X.to_amount(F.col("OutstandingAmt").cast("string"), strict=True).alias("oa_strict"))
+
+
+@register("finite", O.with_tape() + f"""
+SELECT {', '.join(TIE_BREAK)}, CASE WHEN OutstandingAmt = 0 THEN NULL
+  ELSE CAST(CommitmentAmt AS DOUBLE) / CAST(OutstandingAmt AS DOUBLE) END AS ratio FROM tape""", ("ratio",))
+def q_finite(spark, tape):
+    """IEEE ratio (+-Inf / NaN on a zero divisor) made finite (NULL)."""
+    ca, oa = F.col("CommitmentAmt").cast("double"), F.col("OutstandingAmt").cast("double")
+    ieee = (F.when(oa == 0, F.when(ca.isNull() | (ca == 0), F.lit(float("nan")))
+                             .otherwise(F.lit(float("inf")) * F.signum(ca)))
+             .otherwise(F.try_divide(ca, oa)))
+    return tape.select(*TIE_BREAK, X.finite(ieee).alias("ratio"))
+
+
+@register("key_text", O.with_tape(_TOT_A2, _LAGS) + """
+SELECT CAST(ProcessingDateKey AS VARCHAR) AS ProcessingDateKey,
+  CASE WHEN pk IS NULL OR pk = 0 THEN '0' ELSE CAST(pk AS VARCHAR) END AS ProcessingDateKeyPrior,
+  CAST(CommitmentAmt AS DOUBLE) AS CommitmentAmt FROM lagged""", ("CommitmentAmt",))
+def q_key_text(spark, tape):
+    """C12 + C13: keys as text (prior '0'), decimals as double."""
+    p = S.with_prior(S.period_totals(tape))
+    return p.select(X.key_text("ProcessingDateKey").alias("ProcessingDateKey"),
+                    X.key_text("ProcessingDateKeyPrior").alias("ProcessingDateKeyPrior"),
+                    X.to_double("CommitmentAmt").alias("CommitmentAmt"))

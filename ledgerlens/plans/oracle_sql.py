@@ -193,7 +193,7 @@ def rounded(sql: str, cols: Sequence[str], places: int = 6) -> str:
     """Round double columns (and fold -0.0 into 0.0) like the Spark side."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in cols)
+    rep = ", ".join(f'round("{c}", {places}) + 0.0 AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 
