@@ -941,3 +941,97 @@ def q_key_text(spark, tape):
     return p.select(X.key_text("ProcessingDateKey").alias("ProcessingDateKey"),
                     X.key_text("ProcessingDateKeyPrior").alias("ProcessingDateKeyPrior"),
                     X.to_double("CommitmentAmt").alias("CommitmentAmt"))
+
+
+# ============================================================ reports (E6, E8, E9), cleaning
+_ESSENTIAL = ["ProcessingDateKey", "CommitmentAmt", "OutstandingAmt", "Region", "NAICSGrpName",
+              "LineofBusinessId", "CommitmentSizeGroup", "BankID", "RiskGroupDesc"]
+
+
+@register("tape_query", O.with_tape() + f"""
+SELECT {', '.join(_ESSENTIAL)}, CASE WHEN LineofBusinessId = '12' THEN 'SBA' ELSE 'Non-SBA' END AS SBA_Classification
+FROM tape WHERE Region = 'Rocky Mountain' AND LineofBusinessId <> '12'
+  AND NOT (CurrentMaturityDateKey < ProcessingDateKey AND CAST(OutstandingAmt AS DOUBLE) < 1000.0)""")
+def q_tape_query(spark, tape):
+    """The flexible tape query with its defaults (whole result, no row cap)."""
+    return R.tape_query(tape, columns=_ESSENTIAL, limit=None)
+
+
+@register("tape_query_lob", O.with_tape() + f"""
+SELECT {', '.join(_ESSENTIAL)}, CASE WHEN LineofBusinessId = '12' THEN 'SBA' ELSE 'Non-SBA' END AS SBA_Classification
+FROM tape WHERE Region = 'Southwest' AND LineofBusinessId IN ('1', '2', '3')
+  AND CommitmentSizeGroup IN ('< $250K', '$250K - $1MM') AND RiskGroupDesc IN ('Pass')
+  AND NOT (CurrentMaturityDateKey < ProcessingDateKey AND CAST(OutstandingAmt AS DOUBLE) < 1000.0)""")
+def q_tape_query_lob(spark, tape):
+    """E6 with every optional filter (all SBA classes)."""
+    return R.tape_query(tape, region="Southwest", sba="All", lob=["1", "2", "3"],
+                        sizes=["< $250K", "$250K - $1MM"], risks="Pass", columns=_ESSENTIAL, limit=None)
+
+
+def _report_sql() -> str:
+    def lab(x, style):
+        d = f"CAST(strptime(CAST({x} AS VARCHAR), '%Y%m%d') AS DATE)"
+        body = {"long": f"strftime({d}, '%b') || ' ' || CAST(day({d}) AS VARCHAR) || ', ' || CAST(year({d}) AS VARCHAR)",
+                "short": f"strftime({d}, '%b') || ' ' || lpad(CAST(year({d}) % 100 AS VARCHAR), 2, '0')",
+                "month": f"strftime({d}, '%B') || ' ' || CAST(year({d}) AS VARCHAR)"}[style]
+        return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN 'N/A' ELSE {body} END"
+    e2 = O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True) + O.result_select()
+    idx = lambda c: (f"CASE WHEN rn = 1 THEN 100.0 WHEN FIRST_VALUE({c}) OVER w IS NULL OR FIRST_VALUE({c}) OVER w <= 0 "
+                     f"THEN 100.0 ELSE CAST({c} AS DOUBLE) / CAST(FIRST_VALUE({c}) OVER w AS DOUBLE) * 100 END")
+    return f"""SELECT ProcessingDateKey,
+  {lab('ProcessingDateKey', 'long')} AS period, {lab('ProcessingDateKey', 'short')} AS chart_date,
+  {lab('ProcessingDateKey', 'month')} AS chart_full_date,
+  {_human_sql('CommitmentAmt', 'table')} AS commitment, {_human_sql('Deals', 'table')} AS deals,
+  {_human_sql('OutstandingAmt', 'table')} AS outstanding, {lab('ProcessingDateKeyPrior', 'long')} AS prior_period,
+  {_human_sql('CommitmentAmtPrior', 'table')} AS commitment_prior,
+  {_pct_sql('ca_diff')} AS ca_diff_text, {_sign_sql('ca_diff')} AS ca_diff_class,
+  {_pct_sql('oa_diff')} AS oa_diff_text, {_pct_sql('deals_diff')} AS deals_diff_text,
+  {_pct_sql('ca_model_diff')} AS ca_model_text, {_sign_sql('ca_model_diff')} AS ca_model_class,
+  {_pct_sql('oa_model_diff')} AS oa_model_text, {_pct_sql('deals_model_diff')} AS deals_model_text,
+  ca_diff * 100 AS ca_diff_pct, ca_model_diff * 100 AS ca_model_pct,
+  {idx('CommitmentAmt')} AS commitmentIndex, {idx('OutstandingAmt')} AS outstandingIndex,
+  {idx('Deals')} AS dealsIndex
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS rn FROM (\n{e2}\n) e) r
+WINDOW w AS (ORDER BY ProcessingDateKey)"""
+
+
+@register("report_view", _report_sql(), ("ca_diff_pct", "ca_model_pct", "commitmentIndex", "outstandingIndex",
+                                         "dealsIndex"))
+def q_report_view(spark, tape):
+    """Formatted report rows + chart series of the capped analysis."""
+    return R.report_view(A.capped_vs_uncapped(tape))
+
+
+@register("status_panel", O.with_tape() + f"""
+SELECT total_records AS record_count,
+  strftime(d, '%b') || ' ' || CAST(year(d) AS VARCHAR) AS latest_period, total_commitment,
+  {_human_sql('total_commitment', 'usd')} AS total_commitment_text,
+  CASE WHEN d IS NULL THEN 'No data' WHEN d >= CAST(DATE '{_AS_OF}' - INTERVAL 1 MONTH AS DATE) THEN 'Fresh'
+       ELSE 'Stale' END AS freshness
+FROM (SELECT COUNT(*) AS total_records, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
+        CAST(strptime(CAST(MAX(ProcessingDateKey) AS VARCHAR), '%Y%m%d') AS DATE) AS d
+      FROM tape WHERE CommitmentAmt IS NOT NULL) s""")
+def q_status_panel(spark, tape):
+    """Status panel as of a fixed date."""
+    return R.status_panel(tape, _AS_OF)
+
+
+_TAPE_COLS = ", ".join(c for c in __import__("ledgerlens.config", fromlist=["TAPE_COLUMNS"]).TAPE_COLUMNS)
+
+
+@register("clean_tape", O.with_tape() + f"\nSELECT {_TAPE_COLS} FROM tape")
+def q_clean_tape(spark, tape):
+    """The tape written as text with NULL tokens, junk and -1 maturities,
+    then cleaned back to typed columns."""
+    from ..config import TAPE_COLUMNS
+    toks = F.element_at(F.array(F.lit("NULL"), F.lit("null"), F.lit("")),
+                        (F.col("DealOrderKey") % 3 + 1).cast("int"))
+    txt = []
+    for c in TAPE_COLUMNS:
+        v = F.col(c).cast("string")
+        if c == "CurrentMaturityDateKey":
+            v = F.when(F.col(c).isNull(), F.lit("-1")).otherwise(v)
+        else:
+            v = F.when(F.col(c).isNull(), toks).otherwise(v)
+        txt.append(v.alias(c.lower() if c in ("Region", "BankID") else c))
+    return FS.clean_tape(tape.select(*txt))
