@@ -128,13 +128,23 @@ def cap_max_proportion(panel: DataFrame, scope: Sequence[str] = (), lim: float =
     return out.withColumn("Capped", capped)
 
 
-# -------------------------------------------------------------- period index
-def period_index(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Per scope: each period with its predecessor and the scope's bank count.
-
-    Works on the distinct periods only (months per scope), so the window
-    over a scope is tiny whatever the detail volume.
+# -------------------------------------------------------------- period links
+def with_period_links(capped: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Add the scope's previous period (``PrevDateKey``) and bank count.
+
+    Both are windows over ``(scope, metric)`` - the partitioning the panel
+    already has - so no shuffle: the previous period is the largest key
+    strictly below the current one (a RANGE frame ending one key unit
+    before), the bank count the size of the partition's bank set.
     """
+    w_prev = Window.partitionBy(*scope, "metric").orderBy(DATE).rangeBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*scope, "metric")
+    return capped.select("*", F.max(DATE).over(w_prev).alias("PrevDateKey"),
+                         F.size(F.collect_set(BANK).over(w_all)).cast("long").alias("n_banks"))
+
+
+def period_index(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Per scope: each period with its predecessor and the scope's bank count."""
     dates = cell_df.select(*scope, DATE).distinct()
     w = Window.partitionBy(*scope).orderBy(DATE)
     dates = dates.withColumn("PrevDateKey", F.lag(DATE).over(w))
@@ -145,60 +155,61 @@ def period_index(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ W6
-def raw_mom(capped: DataFrame, periods: DataFrame, scope: Sequence[str] = (),
-            value: str = "Capped") -> DataFrame:
+def raw_mom(linked: DataFrame, scope: Sequence[str] = (), value: str = "Capped") -> DataFrame:
     """Bank change against the scope's previous period (``perc_diff_raw``).
 
     Invalid (NULL) when the bank lacks either period or the prior value
     is 0.  Window per ``(scope, metric, bank)`` over that bank's months.
     """
     w = Window.partitionBy(*scope, "metric", BANK).orderBy(DATE)
-    df = capped.join(periods.select(*scope, DATE, "PrevDateKey", "n_banks"), [*scope, DATE])
     prev_d = F.lag(DATE).over(w)
     prev_v = F.lag(value).over(w)
-    ok = (prev_d == F.col("PrevDateKey")) & (prev_v != 0)
-    return (df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-              .withColumn("perc_diff_raw",
-                          F.when(F.col("_ok"), F.try_divide(F.col(value), prev_v) - 1))
-              .drop("_ok"))
+    ok = F.coalesce((prev_d == F.col("PrevDateKey")) & (prev_v != 0), F.lit(False))
+    return linked.select("*", F.when(ok, F.try_divide(F.col(value), prev_v) - 1).alias("perc_diff_raw"))
 
 
 # ------------------------------------------------------------------------ W7
-def breach_limits(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> DataFrame:
-    """Per ``(scope, metric, date)``: breach shares -> the period's limits.
+LIMIT_COLUMNS = ["actual_data", "num_breaches_max", "num_breaches_min", "perc_breaches_max",
+                 "perc_breaches_min", "lim_max", "lim_min"]
+
+
+def with_limits(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> DataFrame:
+    """Breach shares -> the period's limits, attached to every cell.
 
+    Window aggregates per ``(scope, metric, date)`` (no join back).
     ``missing="exclude"``: only valid changes count.  ``missing="nan"``:
     every bank of the scope counts and a missing change is an upper
     breach (NaN ordered above all numbers).
     """
     hi, lo = cfg.hi, cfg.lo
     r = F.col("perc_diff_raw")
-    g = raw.groupBy(*scope, "metric", DATE).agg(
-        F.count(r).alias("_valid"),
-        F.count(F.when(r > hi, 1)).alias("_hi"),
-        F.count(F.when(r < lo, 1)).alias("_lo"),
-        F.max("n_banks").alias("n_banks"),
-    )
+    w = Window.partitionBy(*scope, "metric", DATE)
+    valid = F.count(r).over(w)
+    n_hi = F.count(F.when(r > hi, 1)).over(w)
+    n_lo = F.count(F.when(r < lo, 1)).over(w)
+    x = raw.select("*", valid.alias("_valid"), n_hi.alias("_hi"), n_lo.alias("_lo"))
     if cfg.missing == "nan":
         actual = F.col("n_banks")
-        n_hi = F.col("_hi") + (F.col("n_banks") - F.col("_valid"))
+        hi_cnt = F.col("_hi") + (F.col("n_banks") - F.col("_valid"))
     else:
         actual = F.col("_valid")
-        n_hi = F.col("_hi")
-    n_lo = F.col("_lo")
-    p_hi = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(n_hi.cast("double"), actual.cast("double")))
-    p_lo = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(n_lo.cast("double"), actual.cast("double")))
+        hi_cnt = F.col("_hi")
+    lo_cnt = F.col("_lo")
+    p_hi = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(hi_cnt.cast("double"), actual.cast("double")))
+    p_lo = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(lo_cnt.cast("double"), actual.cast("double")))
     hbp = F.lit(float(cfg.high_breach_perc))
-    return g.select(
-        *scope, "metric", DATE,
-        actual.cast("long").alias("actual_data"),
-        n_hi.cast("long").alias("num_breaches_max"),
-        n_lo.cast("long").alias("num_breaches_min"),
-        p_hi.alias("perc_breaches_max"),
-        p_lo.alias("perc_breaches_min"),
-        F.when(p_hi >= hbp, cfg.hi_high).otherwise(hi).alias("lim_max"),
-        F.when(p_lo >= hbp, cfg.lo_high).otherwise(lo).alias("lim_min"),
-    )
+    x = x.select("*", actual.cast("long").alias("actual_data"), hi_cnt.cast("long").alias("num_breaches_max"),
+                 lo_cnt.cast("long").alias("num_breaches_min"), p_hi.alias("perc_breaches_max"),
+                 p_lo.alias("perc_breaches_min"))
+    x = x.select("*", F.when(F.col("perc_breaches_max") >= hbp, cfg.hi_high).otherwise(hi).alias("lim_max"),
+                 F.when(F.col("perc_breaches_min") >= hbp, cfg.lo_high).otherwise(lo).alias("lim_min"))
+    return x.drop("_valid", "_hi", "_lo")
+
+
+def breach_limits(limited: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """W7 as one row per ``(scope, metric, date)`` (values are constant
+    within the group; aggregated on the existing partitioning)."""
+    return limited.groupBy(*scope, "metric", DATE).agg(*[F.max(c).alias(c) for c in LIMIT_COLUMNS])
 
 
 # ------------------------------------------------------------------------ W8
@@ -232,19 +243,18 @@ def _clamp_fold(months: Column) -> Column:
     return F.aggregate(months, zero, step, lambda acc: acc["out"])
 
 
-def capped_chain(raw: DataFrame, limits: DataFrame, scope: Sequence[str] = (),
-                 value: str = "Capped") -> DataFrame:
+def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Capped") -> DataFrame:
     """Recursive clamp per ``(scope, metric, bank)``.
 
     The group holds one element per month of that bank (the calendar
     bounds it, not the row count), so a hot bank is no heavier here than
-    any other.
+    any other; it is grouped on the panel's existing partitioning.
     """
-    j = raw.join(limits.select(*scope, "metric", DATE, "lim_max", "lim_min"), [*scope, "metric", DATE])
     elem = F.struct(F.col(DATE).alias("d"), F.col("PrevDateKey").alias("p"),
                     F.col(value).cast("double").alias("v"), F.col("lim_max").alias("hi"),
-                    F.col("lim_min").alias("lo"), F.col("perc_diff_raw").alias("raw"))
-    g = j.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
+                    F.col("lim_min").alias("lo"), F.col("perc_diff_raw").alias("raw"),
+                    F.col("n_banks").alias("nb"))
+    g = limited.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
     g = g.select(*scope, "metric", BANK, F.arrays_zip(F.col("_m").alias("i"),
                                                       _clamp_fold(F.col("_m")).alias("o")).alias("_z"))
     z = g.select(*scope, "metric", BANK, F.explode("_z").alias("_e"))
@@ -252,12 +262,12 @@ def capped_chain(raw: DataFrame, limits: DataFrame, scope: Sequence[str] = (),
                     F.col("_e.i.d").alias("ProcessingDateKey"), F.col("_e.i.v").alias("value"),
                     F.col("_e.i.raw").alias("perc_diff_raw"), F.col("_e.o.c").alias("perc_diff"),
                     F.col("_e.o.m").alias("mod"), F.col("_e.o.pm").alias("prev_mod"),
-                    F.col("_e.o.pm").isNotNull().alias("inc"))
+                    F.col("_e.o.pm").isNotNull().alias("inc"),
+                    F.col("_e.i.p").alias("PrevDateKey"), F.col("_e.i.nb").alias("n_banks"))
 
 
 # ------------------------------------------------------------------------ W9
-def composite(chain: DataFrame, periods: DataFrame, scope: Sequence[str] = (),
-              cfg: CapConfig = CapConfig()) -> DataFrame:
+def composite(chain: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> DataFrame:
     """``sum(mod_t * inc_t) / sum(mod_{t-1} * inc_t) - 1`` per period.
 
     NULL in the first period and when the prior sum is 0 or NULL.  With
@@ -268,8 +278,9 @@ def composite(chain: DataFrame, periods: DataFrame, scope: Sequence[str] = (),
         F.sum(F.when(F.col("inc"), F.col("mod"))).alias("curr_sum"),
         F.sum(F.when(F.col("inc"), F.col("prev_mod"))).alias("prior_sum"),
         F.count(F.lit(1)).alias("n_present"),
+        F.max("PrevDateKey").alias("PrevDateKey"),
+        F.max("n_banks").alias("n_banks"),
     )
-    g = g.join(periods.select(*scope, DATE, "PrevDateKey", "n_banks"), [*scope, DATE])
     value = (F.when(F.col("PrevDateKey").isNull(), F.lit(None).cast("double"))
               .when(F.col("prior_sum").isNull() | (F.col("prior_sum") == 0) | F.col("curr_sum").isNull(),
                     F.lit(None).cast("double"))
@@ -285,15 +296,16 @@ def composite(chain: DataFrame, periods: DataFrame, scope: Sequence[str] = (),
 # ---------------------------------------------------------------- E1 / J5
 def composite_parts(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()):
     """All intermediate frames of the composite (for reports and tests)."""
-    panel = long_panel(cell_df, scope)
+    # one small shuffle: every later window / aggregate / fold is keyed by
+    # (scope, metric, ...) and reuses this partitioning
+    panel = long_panel(cell_df, scope).repartition(*scope, "metric")
     capped = cap_max_proportion(panel, scope, cfg.cell_weight)
-    periods = period_index(cell_df, scope)
-    raw = raw_mom(capped, periods, scope)
-    limits = breach_limits(raw, scope, cfg)
-    chain = capped_chain(raw, limits, scope)
-    comp = composite(chain, periods, scope, cfg)
-    return {"panel": panel, "capped": capped, "periods": periods, "raw": raw,
-            "limits": limits, "chain": chain, "composite": comp}
+    raw = raw_mom(with_period_links(capped, scope), scope)
+    limited = with_limits(raw, scope, cfg)
+    chain = capped_chain(limited, scope)
+    comp = composite(chain, scope, cfg)
+    return {"panel": panel, "capped": capped, "raw": raw, "limited": limited,
+            "limits": breach_limits(limited, scope), "chain": chain, "composite": comp}
 
 
 def pivot_metrics(comp: DataFrame, scope: Sequence[str] = (), value: str = "perc_diff") -> DataFrame:

@@ -153,7 +153,7 @@ def q_breach_limits_nan(spark, tape):
           ("value", "perc_diff_raw", "perc_diff", "mod", "prev_mod"))
 def q_capped_chain(spark, tape):
     """Clamped chain per bank on the sparse SBA panel."""
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)))["chain"]
+    return C.composite_parts(C.cells(apply_filters(tape, SBA)))["chain"].drop("PrevDateKey", "n_banks")
 
 
 @register("composite",
