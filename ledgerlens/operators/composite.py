@@ -220,7 +220,20 @@ _OUT = T.ArrayType(T.StructType([
 ]))
 
 
-def _clamp_fold(months: Column) -> Column:
+_OK = "(acc.d = e.p AND acc.m <> 0)"
+_CHG = f"IF({_OK}, greatest(least(try_divide(e.v, acc.m) - 1, e.hi), e.lo), CAST(NULL AS DOUBLE))"
+_MOD = f"IF({_OK}, acc.m * (1 + {_CHG}), e.v)"
+_FOLD_SQL = (
+    "aggregate({arr}, "
+    "named_struct('d', CAST(NULL AS INT), 'm', CAST(NULL AS DOUBLE), "
+    "'out', CAST(array() AS ARRAY<STRUCT<c: DOUBLE, m: DOUBLE, pm: DOUBLE>>)), "
+    f"(acc, e) -> named_struct('d', e.d, 'm', {_MOD}, 'out', concat(acc.out, array(named_struct("
+    f"'c', {_CHG}, 'm', {_MOD}, 'pm', IF({_OK}, acc.m, CAST(NULL AS DOUBLE)))))), "
+    "acc -> acc.out)"
+)
+
+
+def _clamp_fold(months: str) -> Column:
     """Fold a date-sorted array of a bank's months into its clamped chain.
 
     ``mod_t = mod_{t-1} * (1 + clamp(v_t / mod_{t-1} - 1, lo_t, hi_t))``
@@ -228,19 +241,10 @@ def _clamp_fold(months: Column) -> Column:
     ``mod_{t-1} != 0``; otherwise the chain re-bases to ``v_t`` and the
     bank is excluded from that period's composite.  The accumulator
     carries only the three computed numbers per step; inputs are zipped
-    back afterwards.
+    back afterwards.  Written as one SQL higher-order expression (built
+    JVM-side in a single call).
     """
-    zero = F.struct(F.lit(None).cast("int").alias("d"), F.lit(None).cast("double").alias("m"),
-                    F.array().cast(_OUT).alias("out"))
-
-    def step(acc, e):
-        ok = (acc["d"] == e["p"]) & (acc["m"] != 0)
-        chg = F.when(ok, F.greatest(F.least(F.try_divide(e["v"], acc["m"]) - 1, e["hi"]), e["lo"]))
-        mod = F.when(ok, acc["m"] * (1 + chg)).otherwise(e["v"])
-        rec = F.struct(chg.alias("c"), mod.alias("m"), F.when(ok, acc["m"]).alias("pm"))
-        return F.struct(e["d"].alias("d"), mod.alias("m"), F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    return F.aggregate(months, zero, step, lambda acc: acc["out"])
+    return F.expr(_FOLD_SQL.format(arr=months))
 
 
 def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Capped") -> DataFrame:
@@ -256,7 +260,7 @@ def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Ca
                     F.col("n_banks").alias("nb"))
     g = limited.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
     g = g.select(*scope, "metric", BANK, F.arrays_zip(F.col("_m").alias("i"),
-                                                      _clamp_fold(F.col("_m")).alias("o")).alias("_z"))
+                                                      _clamp_fold("_m").alias("o")).alias("_z"))
     z = g.select(*scope, "metric", BANK, F.explode("_z").alias("_e"))
     return z.select(*scope, "metric", BANK,
                     F.col("_e.i.d").alias("ProcessingDateKey"), F.col("_e.i.v").alias("value"),
