@@ -202,10 +202,12 @@ def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "O
     """
     from ..session import cut_lineage
 
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(dict.fromkeys([*order, *metrics]))
-    ranged = df.select(*cols).repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    # without an explicit count AQE sizes (coalesces) the range partitions;
+    # coalescing merges neighbours, so partition ids still follow the order
+    ranged = (df.select(*cols).repartitionByRange(partitions, *order) if partitions
+              else df.select(*cols).repartitionByRange(*order))
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     w = Window.partitionBy("_pid").orderBy(*order)
     inpart = ranged.select("*", F.row_number().over(w).alias("_rn"),

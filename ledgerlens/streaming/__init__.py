@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analyses this package rebuilds are batch jobs over monthly tapes; the
+only recurrence in the original application is a nightly scheduled batch
+run (``plans.templates.run_templates`` covers it).  There is no
+watermark, event-time window or stateful operator to rebuild, so none is
+invented here.
+"""
