@@ -711,7 +711,7 @@ def q_run_report(spark, tape):
 _RUN_TS = "20240101_000000"
 
 
-def _pipeline_sql() -> str:
+def _results_table_sql() -> str:
     import json
     vals = ", ".join(f"('{k}', '{t['name']}', '{json.dumps(t['filters'])}')" for k, t in TP.TEMPLATES.items())
     ratio = lambda c: f"CAST(round({c}, 6) AS DECIMAL(10,6)) AS {c}"
@@ -724,12 +724,12 @@ FROM (\n{_E3_SQL}\n) r JOIN (VALUES {vals}) m(template_id, template_name, filter
   ON r.template_id = m.template_id"""
 
 
-@register("pipeline_results", _pipeline_sql())
-def q_pipeline_results(spark, tape):
-    """S6 + S9: results with template metadata, conformed to the results table."""
+@register("results_table", _results_table_sql())
+def q_results_table(spark, tape):
+    """S6 + S9: template results with run metadata, conformed to the results table."""
     res = TP.with_run_metadata(TP.run_templates(tape), TP.template_frame(spark), _RUN_TS)
     res = res.withColumn("run_timestamp", F.to_timestamp_ntz(F.col("run_timestamp"), F.lit("yyyyMMdd_HHmmss")))
-    return TP.to_pipeline_results(res, with_created_at=False)
+    return TP.to_results_table(res, with_created_at=False)
 
 
 _CAPS = (0.05, 0.1, 0.2)

@@ -41,9 +41,9 @@ def test_report_counts_success(spark, tape):
     assert tot["total_count"] == 8 and 0 < tot["success_count"] <= 8
 
 
-def test_pipeline_results_types(spark, tape):
+def test_results_table_types(spark, tape):
     res = TP.with_run_metadata(TP.run_templates(tape), TP.template_frame(spark), "20240101_000000")
-    out = TP.to_pipeline_results(res)
+    out = TP.to_results_table(res)
     types = dict(out.dtypes)
     assert types["commitmentamt"] == "decimal(20,2)" and types["ca_diff"] == "decimal(10,6)"
     assert types["deals"] == "int" and types["processingdatekey"] == "bigint"
