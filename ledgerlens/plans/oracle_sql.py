@@ -190,10 +190,17 @@ def with_tape(*ctes: str, recursive: bool = False) -> str:
 
 
 def rounded(sql: str, cols: Sequence[str], places: int = 6) -> str:
-    """Round double columns (and fold -0.0 into 0.0) like the Spark side."""
+    """Round double columns like Spark's ``round``: half up on the value's
+    shortest decimal text (not on its binary expansion), -0.0 folded into
+    0.0; NaN and infinities pass through."""
     if not cols:
         return sql
-    rep = ", ".join(f'round("{c}", {places}) + 0.0 AS "{c}"' for c in cols)
+
+    def r(c):
+        x = f'"{c}"'
+        return (f"CASE WHEN isnan({x}) OR isinf({x}) THEN {x} ELSE "
+                f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {places}) AS DOUBLE) + 0.0 END")
+    rep = ", ".join(f'{r(c)} AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 
