@@ -116,16 +116,15 @@ def cap_max_proportion(panel: DataFrame, scope: Sequence[str] = (), lim: float =
     """
     w = Window.partitionBy(*scope, "metric", DATE)
     x = F.col(amt).cast("double")
-    out = (panel
-           .withColumn("Sum", F.sum(amt).over(w).cast("double"))
-           .withColumn("Perc", F.try_divide(x, F.col("Sum")))
-           .withColumn("Max", F.max("Perc").over(w)))
+    total = F.sum(amt).over(w).cast("double")
+    out = panel.select("*", total.alias("Sum"), F.try_divide(x, total).alias("Perc"))
     lim_c = F.lit(float(lim))
-    capped = (F.when((F.col("Max") > lim_c) & (F.col("Max") < 1.0),
-                     F.when(F.col("Perc") == F.col("Max"), F.col("Sum") * lim_c)
-                      .otherwise(F.try_divide((1 - lim_c) * x, 1 - F.col("Max"))))
+    mx = F.max("Perc").over(w)
+    capped = (F.when((mx > lim_c) & (mx < 1.0),
+                     F.when(F.col("Perc") == mx, F.col("Sum") * lim_c)
+                      .otherwise(F.try_divide((1 - lim_c) * x, 1 - mx)))
               .otherwise(x))
-    return out.withColumn("Capped", capped)
+    return out.select("*", mx.alias("Max"), capped.alias("Capped"))
 
 
 # -------------------------------------------------------------- period links
@@ -187,23 +186,21 @@ def with_limits(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapC
     valid = F.count(r).over(w)
     n_hi = F.count(F.when(r > hi, 1)).over(w)
     n_lo = F.count(F.when(r < lo, 1)).over(w)
-    x = raw.select("*", valid.alias("_valid"), n_hi.alias("_hi"), n_lo.alias("_lo"))
     if cfg.missing == "nan":
         actual = F.col("n_banks")
-        hi_cnt = F.col("_hi") + (F.col("n_banks") - F.col("_valid"))
+        hi_cnt = n_hi + (F.col("n_banks") - valid)
     else:
-        actual = F.col("_valid")
-        hi_cnt = F.col("_hi")
-    lo_cnt = F.col("_lo")
+        actual = valid
+        hi_cnt = n_hi
     p_hi = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(hi_cnt.cast("double"), actual.cast("double")))
-    p_lo = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(lo_cnt.cast("double"), actual.cast("double")))
+    p_lo = F.when(actual == 0, F.lit(0.0)).otherwise(F.try_divide(n_lo.cast("double"), actual.cast("double")))
     hbp = F.lit(float(cfg.high_breach_perc))
-    x = x.select("*", actual.cast("long").alias("actual_data"), hi_cnt.cast("long").alias("num_breaches_max"),
-                 lo_cnt.cast("long").alias("num_breaches_min"), p_hi.alias("perc_breaches_max"),
-                 p_lo.alias("perc_breaches_min"))
-    x = x.select("*", F.when(F.col("perc_breaches_max") >= hbp, cfg.hi_high).otherwise(hi).alias("lim_max"),
-                 F.when(F.col("perc_breaches_min") >= hbp, cfg.lo_high).otherwise(lo).alias("lim_min"))
-    return x.drop("_valid", "_hi", "_lo")
+    # one projection; Spark de-duplicates the repeated window aggregates
+    return raw.select("*", actual.cast("long").alias("actual_data"), hi_cnt.cast("long").alias("num_breaches_max"),
+                      n_lo.cast("long").alias("num_breaches_min"), p_hi.alias("perc_breaches_max"),
+                      p_lo.alias("perc_breaches_min"),
+                      F.when(p_hi >= hbp, cfg.hi_high).otherwise(hi).alias("lim_max"),
+                      F.when(p_lo >= hbp, cfg.lo_high).otherwise(lo).alias("lim_min"))
 
 
 def breach_limits(limited: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -259,9 +256,8 @@ def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Ca
                     F.col("lim_min").alias("lo"), F.col("perc_diff_raw").alias("raw"),
                     F.col("n_banks").alias("nb"))
     g = limited.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
-    g = g.select(*scope, "metric", BANK, F.arrays_zip(F.col("_m").alias("i"),
-                                                      _clamp_fold("_m").alias("o")).alias("_z"))
-    z = g.select(*scope, "metric", BANK, F.explode("_z").alias("_e"))
+    z = g.select(*scope, "metric", BANK,
+                 F.explode(F.arrays_zip(F.col("_m").alias("i"), _clamp_fold("_m").alias("o"))).alias("_e"))
     return z.select(*scope, "metric", BANK,
                     F.col("_e.i.d").alias("ProcessingDateKey"), F.col("_e.i.v").alias("value"),
                     F.col("_e.i.raw").alias("perc_diff_raw"), F.col("_e.o.c").alias("perc_diff"),

@@ -96,14 +96,14 @@ def pop_change(totals: DataFrame, variant: str = "core", scope: Sequence[str] =
     """
     p = with_prior(totals, scope)
     if variant in ("core", "seed"):
-        out = p.withColumn("ProcessingDateKeyPrior", F.coalesce(F.col("ProcessingDateKeyPrior"), F.lit(0)))
+        cols = [F.coalesce(F.col("ProcessingDateKeyPrior"), F.lit(0)).alias("ProcessingDateKeyPrior")
+                if c == "ProcessingDateKeyPrior" else F.col(c) for c in p.columns]
         for m, d in SERIES:
             ch = safe_change(F.col(m), F.col(f"{m}Prior"))
-            out = out.withColumn(d, F.round(ch, 6) if variant == "seed" else ch)
+            cols.append((F.round(ch, 6) if variant == "seed" else ch).alias(d))
         if variant == "seed":
-            for _, d in SERIES:
-                out = out.withColumn(d.replace("_diff", "_model_diff"), F.lit(None).cast("double"))
-        return out
+            cols += [F.lit(None).cast("double").alias(d.replace("_diff", "_model_diff")) for _, d in SERIES]
+        return p.select(*cols)
     if variant == "view":
         out = p
         for m, d in SERIES:
