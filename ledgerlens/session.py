@@ -28,11 +28,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder; a
-    machine-local folder is only chosen here when nothing is configured
-    (local tests).
+    A scratch folder is chosen only for a ``local[...]`` master with
+    nothing configured (tests, the bench); on a cluster a machine-local
+    folder would not survive executor loss, so the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                           "distributed file system) before running ledgerlens analyses")
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(path)
     return path

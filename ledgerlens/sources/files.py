@@ -88,8 +88,14 @@ def load_tape(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame
 # ------------------------------------------------------------------------ S5
 def write_tape(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Cleaned tape as parquet, partitioned by processing month, so period
-    filters prune whole directories."""
-    df.repartition("ProcessingDateKey").write.mode(mode).partitionBy("ProcessingDateKey").parquet(path)
+    filters prune whole directories.
+
+    ``rebalance`` by month: one shuffle, after which adaptive execution
+    splits an oversized month (say one holding a third of all rows) into
+    advisory-size tasks and merges small ones - no sampling pass over the
+    input and no single task writing a hot month.
+    """
+    df.hint("rebalance", "ProcessingDateKey").write.mode(mode).partitionBy("ProcessingDateKey").parquet(path)
 
 
 def read_stored_tape(spark: SparkSession, path: str) -> DataFrame:
