@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values (must equal the reference's business rules) -------------
+# --- fixed values (must equal the original application's business rules) -------------
 MAX_BANK_CELL_WEIGHT = 0.5
 MAX_MOM = 0.1
 MAX_MOM_HIGH = 0.2

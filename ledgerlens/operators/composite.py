@@ -56,7 +56,7 @@ def cells(tape: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def cell_aggregate(tape: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """A1 as the reference exposes it: sums of null-filled amounts, all-row deals."""
+    """A1 as the original application exposes it: sums of null-filled amounts, all-row deals."""
     return cells(tape, scope).drop("DealsWithAmount")
 
 
@@ -100,7 +100,7 @@ def long_panel(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Unpivot the three metrics: ``(scope, metric, date, bank, amt)``.
 
     ``amt`` stays DECIMAL so period sums are exact; the maths converts to
-    double where the reference works in floating point.
+    double where the original application works in floating point.
     """
     parts = [F.struct(F.lit(m).alias("metric"), F.col(c).cast(TOTAL).alias("amt"))
              for m, c in METRICS]
@@ -272,7 +272,7 @@ def composite(chain: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapC
 
     NULL in the first period and when the prior sum is 0 or NULL.  With
     ``missing="nan"`` also NULL when any bank of the scope lacks the
-    period or its predecessor (the reference's NaN propagation).
+    period or its predecessor (the original application's NaN propagation).
     """
     g = chain.groupBy(*scope, "metric", DATE).agg(
         F.sum(F.when(F.col("inc"), F.col("mod"))).alias("curr_sum"),
@@ -328,7 +328,7 @@ def composites(tape: DataFrame, cfg: CapConfig = CapConfig(), scope: Sequence[st
 # ------------------------------------------------------------------------ W12
 def wide_panel(parts: dict, banks: Sequence[str], metric: str = "ca",
                scope: Sequence[str] = ()) -> DataFrame:
-    """The reference's wide frame for one metric - per bank the capped
+    """The original application's wide frame for one metric - per bank the capped
     value, raw change, inclusion, clamped change and clamped value, then
     the period's limits and composite.  ``banks`` is the pivot list
     (bounded by the number of banks, never by rows).

@@ -86,7 +86,7 @@ def safe_change(cur: Column, prior: Column) -> Column:
 
 # ------------------------------------------------------------------------ W2
 def pop_change(totals: DataFrame, variant: str = "core", scope: Sequence[str] = ()) -> DataFrame:
-    """Period-over-period change in the four reference variants.
+    """Period-over-period change in the four original variants.
 
     core: guard NULL/0 prior, ``cur/prior - 1``, prior key 0, prior amounts NULL.
     view: guard prior > 0, ``(cur - prior)/prior``, keys as strings

@@ -76,7 +76,7 @@ def q_capped_vs_uncapped(spark, tape):
           O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src", missing="nan"),
                       recursive=True) + O.result_select(), E2_DBL)
 def q_capped_vs_uncapped_nan(spark, tape):
-    """E2 on the sparse SBA panel with the reference's NaN semantics."""
+    """E2 on the sparse SBA panel with the original application's NaN semantics."""
     return A.capped_vs_uncapped(tape, SBA, CapConfig(missing="nan"))
 
 
@@ -771,7 +771,7 @@ _WIDE_DBL = tuple([f"{b}{s}" for b in _BANKS for s in ("", "_perc_diff_raw", "_p
 
 @register("wide_panel", _wide_sql(), _WIDE_DBL)
 def q_wide_panel(spark, tape):
-    """The reference's wide commitment panel (one column set per bank)."""
+    """The original application's wide commitment panel (one column set per bank)."""
     parts = C.composite_parts(A.reduced_cells(tape))
     return C.wide_panel(parts, _BANKS, "ca")
 
