@@ -3,7 +3,7 @@
 Phases (all timed, wall clock):
   load    - driver tables -> tape (5 joins) -> parquet partitioned by month
             (the stored tape is what production queries read, like the
-            reference's database table); reported separately.
+            original application's database table); reported separately.
   queries - each headline analysis over the stored tape, forced to run to
             completion (``collect`` for small results, the ``noop`` sink for
             row-level ones); ``value`` is their sum.
