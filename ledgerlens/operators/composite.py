@@ -163,8 +163,10 @@ def raw_mom(linked: DataFrame, scope: Sequence[str] = (), value: str = "Capped")
     w = Window.partitionBy(*scope, "metric", BANK).orderBy(DATE)
     prev_d = F.lag(DATE).over(w)
     prev_v = F.lag(value).over(w)
-    ok = F.coalesce((prev_d == F.col("PrevDateKey")) & (prev_v != 0), F.lit(False))
-    return linked.select("*", F.when(ok, F.try_divide(F.col(value), prev_v) - 1).alias("perc_diff_raw"))
+    link = F.coalesce(prev_d == F.col("PrevDateKey"), F.lit(False))
+    ok = link & F.coalesce(prev_v != 0, F.lit(False))
+    return linked.select("*", F.when(ok, F.try_divide(F.col(value), prev_v) - 1).alias("perc_diff_raw"),
+                         link.alias("_linked"))
 
 
 # ------------------------------------------------------------------------ W7
@@ -210,36 +212,24 @@ def breach_limits(limited: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ W8
-_OUT = T.ArrayType(T.StructType([
-    T.StructField("c", T.DoubleType()),      # clamped change (NULL when re-based)
-    T.StructField("m", T.DoubleType()),      # clamped value
-    T.StructField("pm", T.DoubleType()),     # previous clamped value when included
-]))
-
-
-_OK = "(acc.d = e.p AND acc.m <> 0)"
-_CHG = f"IF({_OK}, greatest(least(try_divide(e.v, acc.m) - 1, e.hi), e.lo), CAST(NULL AS DOUBLE))"
-_MOD = f"IF({_OK}, acc.m * (1 + {_CHG}), e.v)"
+# One fold step: the previous clamped value is the last element so far.
+_PREV = "try_element_at(acc, -1)"
 _FOLD_SQL = (
-    "aggregate({arr}, "
-    "named_struct('d', CAST(NULL AS INT), 'm', CAST(NULL AS DOUBLE), "
-    "'out', CAST(array() AS ARRAY<STRUCT<c: DOUBLE, m: DOUBLE, pm: DOUBLE>>)), "
-    f"(acc, e) -> named_struct('d', e.d, 'm', {_MOD}, 'out', concat(acc.out, array(named_struct("
-    f"'c', {_CHG}, 'm', {_MOD}, 'pm', IF({_OK}, acc.m, CAST(NULL AS DOUBLE)))))), "
-    "acc -> acc.out)"
+    "aggregate({arr}, CAST(array() AS ARRAY<DOUBLE>), "
+    f"(acc, e) -> concat(acc, array(IF(e.l AND {_PREV} <> 0, "
+    f"{_PREV} * (1 + greatest(least(try_divide(e.v, {_PREV}) - 1, e.hi), e.lo)), e.v))))"
 )
 
 
 def _clamp_fold(months: str) -> Column:
-    """Fold a date-sorted array of a bank's months into its clamped chain.
+    """The clamped values of a bank's date-sorted months.
 
     ``mod_t = mod_{t-1} * (1 + clamp(v_t / mod_{t-1} - 1, lo_t, hi_t))``
-    when the bank's previous month is the scope's previous period and
-    ``mod_{t-1} != 0``; otherwise the chain re-bases to ``v_t`` and the
-    bank is excluded from that period's composite.  The accumulator
-    carries only the three computed numbers per step; inputs are zipped
-    back afterwards.  Written as one SQL higher-order expression (built
-    JVM-side in a single call).
+    when the bank's previous month is the scope's previous period (``l``)
+    and ``mod_{t-1} != 0``; otherwise the chain re-bases to ``v_t``.  Only
+    the value sequence is folded (the one truly sequential part); the
+    change, previous value and inclusion flag are recomputed afterwards
+    as ordinary code-generated expressions with the same arithmetic.
     """
     return F.expr(_FOLD_SQL.format(arr=months))
 
@@ -254,15 +244,20 @@ def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Ca
     elem = F.struct(F.col(DATE).alias("d"), F.col("PrevDateKey").alias("p"),
                     F.col(value).cast("double").alias("v"), F.col("lim_max").alias("hi"),
                     F.col("lim_min").alias("lo"), F.col("perc_diff_raw").alias("raw"),
-                    F.col("n_banks").alias("nb"))
+                    F.col("n_banks").alias("nb"), F.col("_linked").alias("l"))
     g = limited.groupBy(*scope, "metric", BANK).agg(F.array_sort(F.collect_list(elem)).alias("_m"))
+    g = g.select(*scope, "metric", BANK, "_m", _clamp_fold("_m").alias("_mods"))
+    prev = F.concat(F.array(F.lit(None).cast("double")), F.slice("_mods", 1, F.size("_mods") - 1))
     z = g.select(*scope, "metric", BANK,
-                 F.explode(F.arrays_zip(F.col("_m").alias("i"), _clamp_fold("_m").alias("o"))).alias("_e"))
+                 F.explode(F.arrays_zip(F.col("_m").alias("i"), F.col("_mods").alias("m"),
+                                        prev.alias("pm"))).alias("_e"))
+    v, pm = F.col("_e.i.v"), F.col("_e.pm")
+    ok = F.coalesce(F.col("_e.i.l") & (pm != 0), F.lit(False))
+    chg = F.when(ok, F.greatest(F.least(F.try_divide(v, pm) - 1, F.col("_e.i.hi")), F.col("_e.i.lo")))
     return z.select(*scope, "metric", BANK,
-                    F.col("_e.i.d").alias("ProcessingDateKey"), F.col("_e.i.v").alias("value"),
-                    F.col("_e.i.raw").alias("perc_diff_raw"), F.col("_e.o.c").alias("perc_diff"),
-                    F.col("_e.o.m").alias("mod"), F.col("_e.o.pm").alias("prev_mod"),
-                    F.col("_e.o.pm").isNotNull().alias("inc"),
+                    F.col("_e.i.d").alias("ProcessingDateKey"), v.alias("value"),
+                    F.col("_e.i.raw").alias("perc_diff_raw"), chg.alias("perc_diff"),
+                    F.col("_e.m").alias("mod"), F.when(ok, pm).alias("prev_mod"), ok.alias("inc"),
                     F.col("_e.i.p").alias("PrevDateKey"), F.col("_e.i.nb").alias("n_banks"))
 
 
