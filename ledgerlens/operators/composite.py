@@ -64,35 +64,20 @@ def scoped_cells(tape: DataFrame, scopes: Sequence[tuple[object, Column]],
                  scope_col: str = "template_id") -> DataFrame:
     """``cells`` for many filter scopes in ONE scan and ONE shuffle.
 
-    Each scope is ``(id, predicate)``.  Rows are not replicated per
-    scope: every aggregate is conditional on the scope's predicate
-    (``sum(when(pred, x))``), the map side keeps one buffer per
-    ``(date, bank)``, and only the reduced cells are unpivoted into
-    ``(scope_col, date, bank, ...)``.  Cells a scope never matched
-    (zero rows) are dropped, as a filtered scan would.
+    Each scope is ``(id, predicate)``.  The OR of all predicates is pushed
+    into the scan; each surviving row is tagged with the ids of the scopes
+    it matches (``explode(filter(array(when(pred_i, id_i))))``) and the
+    tagged rows go straight into the partially aggregated cell aggregate.
+    Work grows with the average number of scopes a row matches, not with
+    the number of scopes, and only reduced cells are shuffled.
     """
-    zero = _zero()
-    aggs, parts = [], []
-    for i, (sid, pred) in enumerate(scopes):
-        hit = F.coalesce(pred, F.lit(False))
-        aggs += [
-            F.sum(F.when(hit, F.coalesce(F.col("CommitmentAmt"), zero))).cast(TOTAL).alias(f"_ca{i}"),
-            F.count(F.when(hit, F.lit(1))).alias(f"_n{i}"),
-            F.sum(F.when(hit, F.coalesce(F.col("OutstandingAmt"), zero))).cast(TOTAL).alias(f"_oa{i}"),
-            F.count(F.when(hit, F.col("CommitmentAmt"))).alias(f"_na{i}"),
-        ]
-        parts.append(F.struct(
-            F.lit(sid).alias(scope_col),
-            F.col(f"_ca{i}").alias("CommitmentAmt"), F.col(f"_n{i}").alias("Deals"),
-            F.col(f"_oa{i}").alias("OutstandingAmt"), F.col(f"_na{i}").alias("DealsWithAmount")))
     any_hit = None
     for _, pred in scopes:
         any_hit = pred if any_hit is None else (any_hit | pred)
     src = tape.filter(any_hit) if any_hit is not None else tape
-    wide = src.groupBy(DATE, BANK).agg(*aggs)
-    long = wide.select(DATE, BANK, F.inline(F.array(*parts)))
-    return long.filter(F.col("Deals") > 0).select(scope_col, DATE, BANK, "CommitmentAmt", "Deals",
-                                                 "OutstandingAmt", "DealsWithAmount")
+    ids = F.filter(F.array(*[F.when(pred, F.lit(sid)) for sid, pred in scopes]), lambda x: x.isNotNull())
+    tagged = src.select(DATE, BANK, "CommitmentAmt", "OutstandingAmt", F.explode(ids).alias(scope_col))
+    return cells(tagged, [scope_col])
 
 
 # ------------------------------------------------------------------ long panel
@@ -313,10 +298,10 @@ def pivot_metrics(comp: DataFrame, scope: Sequence[str] = (), value: str = "perc
 def composites(tape: DataFrame, cfg: CapConfig = CapConfig(), scope: Sequence[str] = (),
                cell_df: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Composite change series ``(scope, ProcessingDateKey, ca, oa, deals)``."""
-    from ..session import cut_lineage
+    from ..session import materialize as materialize_frame
     c = cell_df if cell_df is not None else cells(tape, scope)
     if materialize and cell_df is None:
-        c = cut_lineage(c)
+        c = materialize_frame(c, "cells")
     return pivot_metrics(composite_parts(c, scope, cfg)["composite"], scope)
 
 

@@ -17,7 +17,7 @@ from ..config import RESULT_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators import series as S
 from ..operators.filters import FilterSpec, apply_filters
-from ..session import cut_lineage
+from ..session import materialize as materialize_frame
 
 DATE = "ProcessingDateKey"
 
@@ -39,12 +39,12 @@ def reduced_cells(tape: DataFrame, spec: FilterSpec | None = None, scope: Sequen
 
     The cells feed several branches (cap, period index, totals); pruning
     makes those branches differ, so without a cut the scan and its joins
-    would run once per branch.  A reliable checkpoint in the session's
-    checkpoint folder runs the full-size work exactly once and survives
-    executor loss; the checkpointed frame is banks x months.
+    would run once per branch.  Writing the cells as a table in the
+    session's checkpoint folder runs the full-size work exactly once and
+    survives executor loss; the table is banks x months.
     """
     c = C.cells(apply_filters(tape, spec), scope)
-    return cut_lineage(c) if materialize else c
+    return materialize_frame(c, "cells") if materialize else c
 
 
 def capped_vs_uncapped(tape: DataFrame, spec: FilterSpec | None = None,
