@@ -274,11 +274,25 @@ def composite(chain: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapC
 
 
 # ---------------------------------------------------------------- E1 / J5
-def composite_parts(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()):
-    """All intermediate frames of the composite (for reports and tests)."""
+def composite_parts(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig(),
+                    n_scopes: int | None = None):
+    """All intermediate frames of the composite (for reports and tests).
+
+    ``n_scopes`` (when the caller knows it: templates, caps) sizes the one
+    small shuffle to the number of ``(scope, metric)`` groups, capped by
+    the cluster's parallelism, so the CPU-bound clamp runs in parallel
+    instead of being coalesced into a single task; otherwise adaptive
+    execution sizes it.
+    """
     # one small shuffle: every later window / aggregate / fold is keyed by
     # (scope, metric, ...) and reuses this partitioning
-    panel = long_panel(cell_df, scope).repartition(*scope, "metric")
+    panel = long_panel(cell_df, scope)
+    groups = (n_scopes or 1) * len(METRICS) if (n_scopes or not scope) else None
+    if groups:
+        n = max(1, min(groups, cell_df.sparkSession.sparkContext.defaultParallelism))
+        panel = panel.repartition(n, *scope, "metric")
+    else:
+        panel = panel.repartition(*scope, "metric")
     capped = cap_max_proportion(panel, scope, cfg.cell_weight)
     raw = raw_mom(with_period_links(capped, scope), scope)
     limited = with_limits(raw, scope, cfg)

@@ -23,10 +23,10 @@ DATE = "ProcessingDateKey"
 
 
 def capped_vs_uncapped_from_cells(cell_df: DataFrame, scope: Sequence[str] = (),
-                                  cfg: CapConfig = CapConfig()) -> DataFrame:
+                                  cfg: CapConfig = CapConfig(), n_scopes: int | None = None) -> DataFrame:
     totals = S.totals_from_cells(cell_df, scope)
     pop = S.pop_change(totals, "core", scope)
-    comp = C.pivot_metrics(C.composite_parts(cell_df, scope, cfg)["composite"], scope)
+    comp = C.pivot_metrics(C.composite_parts(cell_df, scope, cfg, n_scopes)["composite"], scope)
     comp = comp.select(*scope, DATE, F.col("ca").alias("ca_model_diff"),
                        F.col("oa").alias("oa_model_diff"), F.col("deals").alias("deals_model_diff"))
     out = pop.join(comp, [*scope, DATE], "left")
@@ -67,5 +67,5 @@ def cap_sensitivity(tape: DataFrame, caps: Sequence[float], spec: FilterSpec | N
     scoped = CapConfig(cell_weight=cfg.cell_weight, max_mom=F.col("cap_value"),
                        max_mom_high=cfg.max_mom_high, high_breach_perc=cfg.high_breach_perc,
                        missing=cfg.missing)
-    parts = C.composite_parts(fanned, ["cap_value"], scoped)
+    parts = C.composite_parts(fanned, ["cap_value"], scoped, n_scopes=len(caps))
     return C.pivot_metrics(parts["composite"], ["cap_value"])
