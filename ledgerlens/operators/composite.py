@@ -127,17 +127,6 @@ def with_period_links(capped: DataFrame, scope: Sequence[str] = ()) -> DataFrame
                          F.size(F.collect_set(BANK).over(w_all)).cast("long").alias("n_banks"))
 
 
-def period_index(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Per scope: each period with its predecessor and the scope's bank count."""
-    dates = cell_df.select(*scope, DATE).distinct()
-    w = Window.partitionBy(*scope).orderBy(DATE)
-    dates = dates.withColumn("PrevDateKey", F.lag(DATE).over(w))
-    if not scope:
-        return dates.withColumn("n_banks", cell_df.select(F.count_distinct(BANK)).scalar())
-    banks = cell_df.groupBy(*scope).agg(F.count_distinct(BANK).alias("n_banks"))
-    return dates.join(banks, list(scope))
-
-
 # ------------------------------------------------------------------------ W6
 def raw_mom(linked: DataFrame, scope: Sequence[str] = (), value: str = "Capped") -> DataFrame:
     """Bank change against the scope's previous period (``perc_diff_raw``).
