@@ -64,3 +64,18 @@ def test_scoped_cells_equal_filtered_cells(spark, tape):
         a = sorted(tuple(r) for r in sc.filter(F.col("template_id") == key).drop("template_id").collect())
         b = sorted(tuple(r) for r in C.cells(tape.filter(pred)).collect())
         assert a == b
+
+
+def test_fixture_facts_sf001(spark):
+    """Facts FIXTURES.md states for the sf0.01 tape."""
+    t = tape_from_tables(spark, "/root/testdata/sf0.01")
+    sba = t.filter(F.col("LineofBusinessId") == "12")
+    assert C.cells(t).count() == 1975
+    assert sba.count() == 1074 and C.cells(sba).count() == 797
+    assert t.filter(F.col("CommitmentAmt").isNull()).count() == 8598
+    assert t.filter(F.col("CurrentMaturityDateKey").isNull()).count() == 1175
+
+    def fired(df):
+        cap = C.cap_max_proportion(C.long_panel(C.cells(df))).filter("metric = 'ca'")
+        return cap.filter((F.col("Max") > 0.5) & (F.col("Max") < 1.0)).select("ProcessingDateKey").distinct().count()
+    assert fired(t) == 1 and fired(sba) == 2
