@@ -9,13 +9,17 @@ Pipeline (one lazy plan, data shuffled once at full size):
    banks x months x 3 per scope.
 3. ``cap_max_proportion`` (W3-W5): largest-bank concentration cap per
    ``(scope, metric, date)`` window.
-4. ``raw_mom`` (W6): bank change against the scope's previous period.
-5. ``breach_limits`` (W7): share of breaching banks -> limits per period.
+4. ``with_period_links`` + ``raw_mom`` (W6): bank change against the
+   scope's previous period.
+5. ``with_limits`` / ``breach_limits`` (W7): share of breaching banks ->
+   limits per period, as window aggregates on the same partitioning.
 6. ``capped_chain`` (W8): the recursive clamp, folded per bank with the
    native ``aggregate`` higher-order function over that bank's months.
 7. ``composite`` (W9): weighted change of the clamped values per period.
 
-Missing cells are never materialised: a bank's previous cell is valid
+After ``cells`` the panel is shuffled once by ``(scope, metric)``; every
+later window, aggregate and the fold reuse that partitioning.  Missing
+cells are never materialised: a bank's previous cell is valid
 only if it sits on the scope's previous period, which is what a dense
 date x bank pivot would say.
 """
