@@ -120,15 +120,18 @@ def cap_max_proportion(panel: DataFrame, scope: Sequence[str] = (), lim: float =
 def with_period_links(capped: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Add the scope's previous period (``PrevDateKey``) and bank count.
 
-    Both are windows over ``(scope, metric)`` - the partitioning the panel
+    All windows are over ``(scope, metric)`` - the partitioning the panel
     already has - so no shuffle: the previous period is the largest key
     strictly below the current one (a RANGE frame ending one key unit
-    before), the bank count the size of the partition's bank set.
+    before); the bank count is the largest dense rank of the bank id (one
+    integer per row, never the bank set itself).
     """
     w_prev = Window.partitionBy(*scope, "metric").orderBy(DATE).rangeBetween(Window.unboundedPreceding, -1)
+    w_bank = Window.partitionBy(*scope, "metric").orderBy(BANK)
     w_all = Window.partitionBy(*scope, "metric")
-    return capped.select("*", F.max(DATE).over(w_prev).alias("PrevDateKey"),
-                         F.size(F.collect_set(BANK).over(w_all)).cast("long").alias("n_banks"))
+    ranked = capped.select("*", F.max(DATE).over(w_prev).alias("PrevDateKey"),
+                           F.dense_rank().over(w_bank).alias("_bank_rank"))
+    return ranked.select("*", F.max("_bank_rank").over(w_all).cast("long").alias("n_banks")).drop("_bank_rank")
 
 
 # ------------------------------------------------------------------------ W6
