@@ -194,13 +194,13 @@ def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "O
 
     ``(x_i - x_{i-1}) / x_{i-1}``, 0 for the first record and for a zero
     prior; NULL when either value is NULL.  No single-task window: rows
-    are range-partitioned on ``order`` and checkpointed (stable partition
-    ids), the previous row is found inside each partition, and each
-    partition's first row takes the last row of the preceding non-empty
-    partition from a frame with one row per partition (broadcast; its
-    size is the partition count).
+    are range-partitioned on ``order`` and written once as a table with
+    their partition id (stable ids, executor-loss safe); the previous row
+    is found inside each partition, and each partition's first row takes
+    the last row of the preceding non-empty partition from a frame with
+    one row per partition (broadcast; its size is the partition count).
     """
-    from ..session import cut_lineage
+    from ..session import materialize
 
     cols = list(dict.fromkeys([*order, *metrics]))
     # without an explicit count AQE sizes (coalesces) the range partitions;
@@ -208,7 +208,7 @@ def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "O
     ranged = (df.select(*cols).repartitionByRange(partitions, *order) if partitions
               else df.select(*cols).repartitionByRange(*order))
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = materialize(ranged, "ranged")     # freezes the partition ids as data
     w = Window.partitionBy("_pid").orderBy(*order)
     inpart = ranged.select("*", F.row_number().over(w).alias("_rn"),
                            *[F.lag(m).over(w).alias(f"_p_{m}") for m in metrics])
