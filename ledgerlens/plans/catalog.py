@@ -1035,3 +1035,15 @@ def q_clean_tape(spark, tape):
             v = F.when(F.col(c).isNull(), toks).otherwise(v)
         txt.append(v.alias(c.lower() if c in ("Region", "BankID") else c))
     return FS.clean_tape(tape.select(*txt))
+
+
+# ============================================================ composites with the tape-query defaults
+_API_SPEC = FilterSpec.of(regions="Rocky Mountain", sba=["Non-SBA"], residual=True)
+
+
+@register("composites_tape_defaults",
+          O.with_tape(_filtered_sql(O.spec_sql(_API_SPEC)), O.composite_ctes("src"), recursive=True)
+          + "\nSELECT ProcessingDateKey, ca, oa, deals FROM compw", ("ca", "oa", "deals"))
+def q_composites_tape_defaults(spark, tape):
+    """E1 over the tape query's defaults (region, Non-SBA, residual filter)."""
+    return C.composites(apply_filters(tape, _API_SPEC))
