@@ -46,8 +46,7 @@ def to_amount(col, strict: bool = False) -> Column:
     """
     c = _c(col).cast("string")
     cleaned = F.when(c.isNull() | (c == "NULL"), F.lit(None).cast("string")).otherwise(c)
-    return cleaned.cast("double") if strict else F.try_cast(cleaned, "double") if hasattr(F, "try_cast") \
-        else cleaned.try_cast("double")
+    return cleaned.cast("double") if strict else cleaned.try_cast("double")
 
 
 # ------------------------------------------------------------------------ C4

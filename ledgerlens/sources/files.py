@@ -43,7 +43,7 @@ def clean_tape(raw: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.StringType):
             val = txt
         elif isinstance(f.dataType, T.IntegerType):
-            val = F.try_cast(txt, "double").try_cast("int") if hasattr(F, "try_cast") else txt.try_cast("double").try_cast("int")
+            val = txt.try_cast("double").try_cast("int")
         else:
             val = txt.try_cast("double").try_cast(f.dataType)
         if f.name == "CurrentMaturityDateKey":
