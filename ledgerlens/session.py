@@ -66,4 +66,4 @@ def materialize(df: DataFrame, label: str = "frame") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/ledgerlens-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)   # known schema: no inference, empty-safe

@@ -79,3 +79,10 @@ def test_fixture_facts_sf001(spark):
         cap = C.cap_max_proportion(C.long_panel(C.cells(df))).filter("metric = 'ca'")
         return cap.filter((F.col("Max") > 0.5) & (F.col("Max") < 1.0)).select("ProcessingDateKey").distinct().count()
     assert fired(t) == 1 and fired(sba) == 2
+
+
+def test_empty_selection(spark, tape):
+    """A contradictory filter yields empty results, not errors."""
+    none = FilterSpec.of(sba=["SBA"], lob=["1", "2"])
+    assert capped_vs_uncapped(tape, none).count() == 0
+    assert TP.run_custom(tape, {"sba_classification": "SBA", "line_of_business_ids": ["1"]}).count() == 0
