@@ -53,26 +53,37 @@ def clean_tape(raw: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ S3
-def read_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None,
-              partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
-              num_partitions: int = 64, fetchsize: int = 100_000, properties: dict | None = None) -> DataFrame:
-    """SQL query or table over JDBC, fetched in chunks of ``fetchsize``.
-
-    With ``partition_column`` (e.g. the processing date key) and bounds,
-    the read is split into ``num_partitions`` parallel range queries.
-    Filters and projections applied afterwards are pushed to the database.
+def jdbc_options(url: str, query: str | None = None, table: str | None = None,
+                 partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
+                 num_partitions: int = 64, fetchsize: int = 100_000, properties: dict | None = None) -> dict:
+    """Options for Spark's JDBC source.
+
+    A partitioned read (``partition_column`` with bounds, e.g. the
+    processing date key) is split into ``num_partitions`` parallel range
+    queries; since the source does not accept ``query`` together with
+    ``partitionColumn``, a query is then passed as a sub-select table.
     """
-    r = spark.read.format("jdbc").option("url", url).option("fetchsize", str(fetchsize))
-    if query is not None:
-        r = r.option("query", query)
-    else:
-        r = r.option("dbtable", table)
+    if (query is None) == (table is None):
+        raise ValueError("give exactly one of query or table")
+    opts = {"url": url, "fetchsize": str(fetchsize)}
     if partition_column is not None:
-        r = (r.option("partitionColumn", partition_column).option("lowerBound", str(lower))
-              .option("upperBound", str(upper)).option("numPartitions", str(num_partitions)))
-    for k, v in (properties or {}).items():
-        r = r.option(k, v)
-    return r.load()
+        if lower is None or upper is None:
+            raise ValueError("a partitioned read needs lower and upper bounds")
+        opts["dbtable"] = table if table is not None else f"({query}) AS src"
+        opts.update({"partitionColumn": partition_column, "lowerBound": str(lower),
+                     "upperBound": str(upper), "numPartitions": str(num_partitions)})
+    elif query is not None:
+        opts["query"] = query
+    else:
+        opts["dbtable"] = table
+    opts.update({k: str(v) for k, v in (properties or {}).items()})
+    return opts
+
+
+def read_jdbc(spark: SparkSession, url: str, **kw) -> DataFrame:
+    """SQL query or table over JDBC, fetched in chunks of ``fetchsize``;
+    filters and projections applied afterwards are pushed to the database."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, **kw)).load()
 
 
 # ------------------------------------------------------------------------ S4

@@ -92,3 +92,19 @@ def test_load_tape_fallback(spark):
     assert {r["source"] for r in df.collect()} == {"csv_fallback"}
     df = FS.load_tape(lambda: spark.range(1), lambda: spark.range(2))
     assert {r["source"] for r in df.collect()} == {"database"}
+
+
+def test_jdbc_options():
+    import pytest
+    o = FS.jdbc_options("jdbc:postgresql://db/x", query="SELECT * FROM t", fetchsize=1000)
+    assert o == {"url": "jdbc:postgresql://db/x", "fetchsize": "1000", "query": "SELECT * FROM t"}
+    o = FS.jdbc_options("jdbc:x", query="SELECT * FROM t", partition_column="ProcessingDateKey",
+                        lower=20200131, upper=20241231, num_partitions=48, properties={"user": "u"})
+    assert o["dbtable"] == "(SELECT * FROM t) AS src" and "query" not in o
+    assert (o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"], o["user"]) == \
+        ("ProcessingDateKey", "20200131", "20241231", "48", "u")
+    assert FS.jdbc_options("jdbc:x", table="tape")["dbtable"] == "tape"
+    with pytest.raises(ValueError):
+        FS.jdbc_options("jdbc:x")
+    with pytest.raises(ValueError):
+        FS.jdbc_options("jdbc:x", table="t", partition_column="k")
