@@ -13,10 +13,10 @@ Buckets are joined without listing their pairs:
 1. two star rounds tie each member to one member of its bucket that belongs
    to another group so far; a member takes its nearest candidate by
    signature, and the link is confirmed on the full sets;
-2. what is still apart is compared exhaustively: bucket members are packed
-   into blocks, and block pairs (but never two blocks of the bucket's largest
-   group) are compared by numpy; each pair within ``MAX_DISTANCE`` comes out
-   of its first shared bucket only and is confirmed on the full sets.
+2. what is still apart is compared exhaustively: members of buckets with
+   several groups are packed into blocks with their full sets, and blocks
+   that meet in a bucket are compared by numpy (never two blocks of one and
+   the same group); only links come out.
 
 Pairs inside one group are skipped because their link can't change the
 result; no pair between two groups is.
@@ -42,7 +42,7 @@ SYMBOLS = CHUNKS * WIDTH
 #: more than 24 of 60 symbols with a chance under 1e-6.
 MAX_DISTANCE = 24
 STAR_ROUNDS = 2
-BLOCK = 512
+BLOCK = 256
 
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(0, 2**63, SYMBOLS, dtype=U64) * U64(2) + U64(1)
@@ -107,37 +107,63 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("a"), batch.column("b"), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
 
-def _cross(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of one bucket: other group, within MAX_DISTANCE,
-    sizes that allow the threshold, and the bucket is the first they share."""
-    for batch in rows:
-        for row in batch.to_pylist():
-            a, b, slot = row["block_a"], row["block_b"], row["slot"]
-            ids = [np.array([m["rep"] for m in x], np.int64) for x in (a, b)]
-            comp = [np.array([m["comp"] for m in x], np.int64) for x in (a, b)]
-            size = [np.array([m["n"] for m in x], np.int64) for x in (a, b)]
-            sig = [np.frombuffer(b"".join(m["sig"] for m in x), np.uint16).reshape(-1, SYMBOLS) for x in (a, b)]
-            found_a, found_b = [], []
-            for lo in range(0, len(ids[0]), 64):
-                hi = lo + 64
-                n, m = size[0][lo:hi, None], size[1][None]
-                ok = (comp[0][lo:hi, None] != comp[1][None]) & (100 * np.minimum(n, m) >= 85 * np.maximum(n, m))
-                if row["same"]:
-                    ok &= ids[0][lo:hi, None] < ids[1][None]
-                i, j = np.nonzero(ok)
-                for at in range(0, len(i), 100_000):
-                    p, q = i[at:at + 100_000] + lo, j[at:at + 100_000]
-                    off = sig[0][p] != sig[1][q]
-                    errors = off.reshape(len(p), CHUNKS, WIDTH)
-                    per = errors.sum(axis=2)
-                    first = (per <= 1).argmax(axis=1)
-                    left_out = errors[np.arange(len(p)), first].argmax(axis=1)   # 0 without an error
-                    keep = (per.sum(axis=1) <= MAX_DISTANCE) & (first * WIDTH + left_out == slot)
-                    found_a.append(ids[0][p[keep]])
-                    found_b.append(ids[1][q[keep]])
-            x = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-            y = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct hashes."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return int((t[at] == s).sum())
+
+
+def _linked(s: np.ndarray, t: np.ndarray) -> bool:
+    both = _common(s, t)
+    return 100 * both >= 85 * (len(s) + len(t) - both)
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Links between members of a block pair that lie in different groups.
+
+    Candidates share a bucket (a chunk with at most one error) within
+    MAX_DISTANCE; the nearest are confirmed first, and what a found link
+    joins needs no second link.
+    """
+    table = table.sort_by("side")
+    rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+    raw = table.column("sig").to_pylist()
+    sig = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, SYMBOLS)
+    sets = [np.frombuffer(v, U64) for v in table.column("shingles").to_pylist()]
+    split = int((side == 0).sum())
+    same = split == len(rep)                       # a block against itself
+    left, right = np.arange(split), np.arange(0 if same else split, len(rep))
+    group = {int(c): int(c) for c in np.unique(comp)}
+
+    def root(c: int) -> int:
+        while group[c] != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    found: list[tuple[int, int]] = []
+    for lo in range(0, len(left), 64):
+        i = left[lo:lo + 64]
+        small, large = np.minimum(n[i][:, None], n[right][None]), np.maximum(n[i][:, None], n[right][None])
+        ok = (comp[i][:, None] != comp[right][None]) & (100 * small >= 85 * large)
+        if same:
+            ok &= i[:, None] < right[None]
+        p, q = np.nonzero(ok)
+        p, q = i[p], right[q]
+        off = (sig[p] != sig[q]).reshape(len(p), CHUNKS, WIDTH).sum(axis=2)
+        far = off.sum(axis=1)
+        near = np.flatnonzero((off.min(axis=1, initial=WIDTH) <= 1) & (far <= MAX_DISTANCE))
+        for k in near[np.argsort(far[near], kind="stable")]:
+            x, y = int(p[k]), int(q[k])
+            cx, cy = root(int(comp[x])), root(int(comp[y]))
+            if cx != cy and _linked(sets[x], sets[y]):
+                group[max(cx, cy)] = min(cx, cy)
+                found.append((int(rep[x]), int(rep[y])))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends.min(axis=1, initial=2**63 - 1), "b": ends.max(axis=1, initial=-2**63)})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,22 +175,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose full sets have 100 * intersection >= 85 * union."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            s, t = (np.frombuffer(v.as_buffer(), dtype=U64) for v in (x, y))
-            both = np.concatenate([s, t])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= 85 * (len(both) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield batch.select(["a", "b"]).filter(mask)
+        keep = [_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64))
+                for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the full sets of the documents in ``ids``, stored."""
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
 
 def confirm_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of document ids whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
@@ -183,6 +207,36 @@ def _sizes_allow(a: str, b: str):
     return 100 * F.least(a, b) >= 85 * F.greatest(a, b)
 
 
+def _exhaust(docs: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
+    """All links between different groups that share a bucket.
+
+    Every member of a bucket with two groups or more goes to one block of
+    about BLOCK members of its largest such bucket, the bucket's main group
+    apart from the others; blocks that meet in a bucket are compared, unless
+    both hold nothing but one and the same group.
+    """
+    by_comp = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    apart = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps"))
+             .where("comps > 1").select("key", F.col("top.comp").alias("main"), "total"))
+    open_rows = materialize(grouped.join(apart, "key"), "open")
+    home = (open_rows.groupBy("rep", "comp").agg(F.max(F.struct("total", "key", "main")).alias("home"))
+            .select("rep", "comp", F.xxhash64("home.key", F.col("comp") == F.col("home.main"),
+                                              F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.total") / BLOCK))).alias("block")))
+    home = materialize(home.join(sig, "rep"), "home")
+    where = open_rows.select("key", "rep").join(home.select("rep", "block", "comp"), "rep")
+    meets = where.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    pairs = (meets.join(meets.toDF("key", "block_b", "lo_b", "hi_b"), "key")
+             .where("block <= block_b and (lo <> lo_b or hi <> hi_b or lo <> hi)")
+             .select("block", "block_b").distinct().withColumn("pair", F.xxhash64("block", "block_b")))
+    sides = pairs.select("pair", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), "block"),
+        F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("s"), (F.col("block") == F.col("block_b")).alias("same"))
+    sides = sides.where("s.side = 0 or not same").select("pair", "s.side", "s.block")
+    sets = full_sets(docs, home.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    rows = sides.join(home.join(sets, "rep"), "block").select("pair", "side", "rep", "comp", "n", "sig", "shingles")
+    return rows.groupBy("pair").applyInArrow(_compare_blocks, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Duplicate groups of ``docs`` (doc_id, text, any other columns).
 
@@ -220,22 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = confirm_links(docs, materialize(near, "near"))
         links = materialize(found if links is None else links.unionByName(found), "links")
 
-    grouped = materialize(_grouped(members, links), "grouped")
-    by_comp = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    apart = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps"))
-             .where("comps > 1").select("key", F.col("top.comp").alias("main"), "total"))
-    blocks = (grouped.join(apart, "key").join(sig, "rep")
-              .withColumn("is_main", F.col("comp") == F.col("main"))
-              .withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK)))
-              .groupBy("key", "slot", "is_main", "block")
-              .agg(F.collect_list(F.struct("rep", "comp", "n", "sig")).alias("rows")))
-    right = blocks.select("key", F.col("is_main").alias("main_b"), F.col("block").alias("no_b"), F.col("rows").alias("block_b"))
-    pairs = (blocks.withColumnRenamed("rows", "block_a").join(right, "key")
-             .where("not is_main and (main_b or block <= no_b)")
-             .select("slot", "block_a", "block_b", (~F.col("main_b") & (F.col("block") == F.col("no_b"))).alias("same"))
-             .repartition(F.rand(1))
-             .mapInArrow(_cross, "a long, b long"))
-    rest = confirm_links(docs, materialize(pairs, "pairs"))
+    rest = _exhaust(docs, materialize(_grouped(members, links), "grouped"), sig)
     links = materialize(links.unionByName(rest), "links")
 
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
