@@ -1,8 +1,7 @@
 """Operator 9: quality classifier by co-training two views.
 
-The text view sees what the words look like: hashed words without their
-letters' case, word shapes and shares of symbols, capitals, repeats and table
-bars.  The page view sees metadata alone: source, language, length, number
+The text view sees what the words look like: hashed short words without case,
+and shares of symbols, capitals, repeats, long words and table bars.  The page view sees metadata alone: source, language, length, number
 and mean length of lines.  Both start from the labelled documents.  In each
 round either view marks the unlabelled documents it is surest of, the other
 one trains on these marks too.  At the end each view's margin is calibrated
@@ -12,10 +11,10 @@ added up, the class balance counted once.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +34,10 @@ TEXT_BITS, PAGE_BITS = 15, 12
 FOLDS = 5
 KEEP = 0.5
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = list(b"#*$%&|<>@^~=+\\/{}[]")
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=200_000)
 def _bucket(name: str, bits: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
@@ -51,19 +49,20 @@ def _level(share: float) -> int:
 
 def text_features(text: str | None) -> list[int]:
     text = text or ""
-    words = _WORD.findall(text)
+    words = text.split()
+    distinct = set(words)
     n = max(1, len(words))
     chars = max(1, len(text))
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    sizes = np.array([len(w) for w in words] or [0])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     shapes = {
         "symbol": raw[_SYMBOLS].sum() / chars, "mark": raw[ord("!")] / chars, "stop": raw[ord(".")] / chars,
         "digit": raw[48:58].sum() / chars, "upper": raw[65:91].sum() / chars, "control": (raw[:32].sum() - raw[9:14].sum()) / chars,
-        "distinct": len(set(words)) / n, "bar": words.count("|") / n, "plain": sum(map(str.isalpha, words)) / n,
+        "distinct": len(distinct) / n, "bar": words.count("|") / n, "plain": sum(map(str.isalpha, words)) / n,
         "long": (sizes > 15).sum() / n, "short": (sizes < 3).sum() / n,
     }
     found = {_bucket(f"{k}={_level(v)}", TEXT_BITS) for k, v in shapes.items()}
-    found.update(_bucket("w:" + w, TEXT_BITS) for w in {w for w in _LETTERS.findall(text.lower()) if len(w) < 6})
+    found.update([_bucket(w.lower(), TEXT_BITS) for w in distinct if len(w) < 6])
     return sorted(found)
 
 

@@ -9,14 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .fingerprints import fingerprints
 from .language_id import language_id
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .quality_rules import quality_rules
 from .toxicity import toxicity
 
 
+MIX_SHARE, MIX_EPOCHS = 0.6, 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +32,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of 60 % of the corpus' tokens, up to four epochs of a leaf."""
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, share=MIX_SHARE, epochs=MIX_EPOCHS).select(
+        "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"),
+        F.col("mix_tokens").alias("tokens"), F.col("mix_take").alias("take"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
     "op9_quality": op9_quality,
