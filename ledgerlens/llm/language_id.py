@@ -142,29 +142,53 @@ class _Rows(dict):
         return at
 
 
+def classifier(model: Model):
+    """A function text column -> (languages, scores); keeps a cache of words."""
+    rows = _Rows(model)
+
+    def classify(texts: pa.Array) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for text in texts:
+            words = words_of(text.as_py())
+            if not words or not model.languages:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            total = np.zeros(len(model.languages))
+            for lo in range(0, len(words), CACHE_WORDS // 4):
+                if len(rows) > CACHE_WORDS // 2:
+                    rows.reset()
+                total += rows.table[[rows[w] for w in words[lo:lo + CACHE_WORDS // 4]]].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())
+            names.append(model.languages[best])
+            scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+        return names, scores
+
+    return classify
+
+
+def accepts(model: Model, least: float):
+    """Makes a function text column -> list of bools: a language was
+    recognised with a score of ``least`` or more."""
+    def make():
+        classify = classifier(model)
+
+        def decide(texts: pa.Array) -> list[bool]:
+            names, scores = classify(texts)
+            return [n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+
+        return decide
+    return make
+
+
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(model)
+        classify = classifier(model)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                if not words or not model.languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(model.languages))
-                for lo in range(0, len(words), CACHE_WORDS // 4):
-                    if len(rows) > CACHE_WORDS // 2:
-                        rows.reset()
-                    total += rows.table[[rows[w] for w in words[lo:lo + CACHE_WORDS // 4]]].sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            columns = [batch.column(c) for c in batch.schema.names if c != "text"]
+            names, scores = classify(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=["doc_id", "lang_pred", "score"])
     return run
 
 

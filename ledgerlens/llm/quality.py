@@ -186,19 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(text, page, float(np.log(good / (1 - good))))
 
 
+def scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    """Text, page and combined score (3 x rows) of columns text, lang, source."""
+    rows = zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True)
+    odds = np.array([(model.text.odds(text_features(t)), model.page.odds(page_features(t, g, s))) for t, g, s in rows], float).reshape(-1, 2)
+    a, b = odds.T
+    return sigmoid(np.stack([a, b, a + b - model.prior]))
+
+
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, g, s in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                if model is None:
-                    out.append((None, None, None))
-                    continue
-                a, b = model.text.odds(text_features(t)), model.page.odds(page_features(t, g, s))
-                out.append(tuple(float(x) for x in sigmoid(np.array([a, b, a + b - model.prior]))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([o[k] for o in out], pa.float64()) for k in range(3))],
-                names=["doc_id", "text_score", "page_score", "score"])
+            found = [pa.nulls(batch.num_rows, pa.float64())] * 3 if model is None else [pa.array(x) for x in scores(model, batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "text_score", "page_score", "score"])
     return run
 
 

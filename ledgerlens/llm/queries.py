@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .captures import capture_records
 from .fingerprints import fingerprints
 from .language_id import language_id
+from .licenses import license_scan
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .quality_rules import quality_rules
+from .revisits import resolve_revisits
 from .toxicity import toxicity
 
 
@@ -52,10 +55,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All derived not-modified revisits, headers as sorted text, the payload
+    as its digest and length."""
+    found = resolve_revisits(capture_records(table(spark, sf_dir, "pages")))
+    fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
+    return found.select(
+        "record_id", "url", F.col("warc_date").cast("long").alias("second"), "response_id", "outcome",
+        F.array_join(fields, "\n").alias("headers"), F.md5("payload").alias("payload_md5"),
+        F.length("payload").cast("long").alias("payload_chars"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_revisits": op6_revisits,
     "op7_language_id": op7_language_id,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }

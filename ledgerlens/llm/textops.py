@@ -20,6 +20,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Breaks that leave ASCII letters and digits (and all non-ASCII bytes) as words.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STEP = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0x8F1BBCDC9A3C5D27)
 
@@ -58,15 +61,24 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE,
                 fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some rows, and each row's word range (n + 1).
+    """Hashes of all words of some rows, and each row's word range (n + 1)."""
+    hashes, at, _ = located_words(raw, offsets, breaks, fold)
+    return hashes, at
+
+
+def located_words(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE,
+                  fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, each row's word range (n + 1) and each word's first byte
+    (counted from the first row's start).
 
     ``breaks`` marks the separator bytes and ``fold`` maps bytes (case).
     """
     base = int(offsets[0])
     b = fold[raw[base:int(offsets[-1])]]
     at = offsets - base
+    none = np.zeros(0, U64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     if not len(b):
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return none
     word = ~breaks[b]
     start = word.copy()
     start[1:] &= ~word[:-1]
@@ -74,7 +86,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPAC
     start[first] = word[first]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return none
     inside = np.arange(len(b), dtype=np.int64)
     inside -= np.repeat(starts, np.diff(np.append(starts, len(b)))) if starts[0] == 0 else \
         np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(b))))])
@@ -83,7 +95,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPAC
     powers = np.multiply.accumulate(powers)
     values = np.where(word, (b.astype(U64) + U64(1)) * powers[inside], U64(0))
     hashes = mix(np.add.reduceat(values, starts))
-    return hashes, np.searchsorted(starts, at).astype(np.int64)
+    return hashes, np.searchsorted(starts, at).astype(np.int64), starts
 
 
 def shingle_hashes(words: np.ndarray, lo: int, hi: int) -> np.ndarray:
