@@ -28,7 +28,7 @@ def mean(col: str) -> Column:
 GROUP_KEYS = ["ProcessingDateKey", "LineofBusinessId", "CommitmentSizeGroup", "RiskGroupDesc", "Region"]
 
 
-def grouped_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | None = 1000) -> DataFrame:
+def grouped_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | None = None) -> DataFrame:
     """Count/sum/avg/min/max of the commitment on five keys, largest first."""
     g = apply_filters(df, spec).groupBy(*GROUP_KEYS).agg(
         F.count(F.lit(1)).alias("RecordCount"),
@@ -38,7 +38,7 @@ def grouped_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | No
         F.max("CommitmentAmt").alias("MaxCommitment"))
     g = g.orderBy(F.col(DATE).desc_nulls_first(), F.col("TotalCommitment").desc_nulls_first(),
                   *[F.col(k).asc_nulls_last() for k in GROUP_KEYS[1:]])
-    return g.limit(limit) if limit else g
+    return g if limit is None else g.limit(limit)
 
 
 def result_totals(grouped: DataFrame) -> DataFrame:
@@ -182,18 +182,19 @@ def filter_breakdown(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ O1
-def detail_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | None = 1000,
+def detail_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | None = None,
                  tie_break: Sequence[str] = ()) -> DataFrame:
     """Filtered detail rows, newest period and largest amount first.
 
-    PostgreSQL puts NULLs first in DESC order; that is spelled out.  The
-    limit is a distributed top-k (each task keeps ``limit`` rows).
+    PostgreSQL puts NULLs first in DESC order; that is spelled out.  A
+    request's limit is a distributed top-k (each task keeps ``limit`` rows);
+    without one all rows are returned.
     """
     f = apply_filters(df, spec)
     order = [F.col(DATE).desc_nulls_first(), F.col("CommitmentAmt").desc_nulls_first(),
              *[F.col(c).asc_nulls_last() for c in tie_break]]
     out = f.orderBy(*order)
-    out = out.limit(limit) if limit else out
+    out = out if limit is None else out.limit(limit)
     return out.select(*DETAIL_COLUMNS)
 
 
@@ -205,4 +206,4 @@ def latest_periods(series: DataFrame, n: int = 3) -> DataFrame:
 # ------------------------------------------------------------------------ O3
 def analytics_series(series: DataFrame, limit: int | None = None) -> DataFrame:
     s = series.orderBy(F.col(DATE).asc())
-    return s.limit(limit) if limit else s
+    return s if limit is None else s.limit(limit)

@@ -1,6 +1,6 @@
 """The capped composite growth index.
 
-Pipeline (one lazy plan, data shuffled once at full size):
+Pipeline (one lazy plan, nothing is written while it is built):
 
 1. ``cells``: partial + final aggregate of the tape by
    ``(scope, date, bank)`` - the only step that touches detail rows.
@@ -8,20 +8,25 @@ Pipeline (one lazy plan, data shuffled once at full size):
    ``(scope, metric, date, bank, amt)``; from here on the data is
    banks x months x 3 per scope.
 3. ``cap_max_proportion`` (W3-W5): largest-bank concentration cap per
-   ``(scope, metric, date)`` window.
-4. ``with_period_links`` + ``raw_mom`` (W6): bank change against the
-   scope's previous period.
-5. ``with_limits`` / ``breach_limits`` (W7): share of breaching banks ->
-   limits per period, as window aggregates on the same partitioning.
-6. ``capped_chain`` (W8): the recursive clamp, folded per bank with the
-   native ``aggregate`` higher-order function over that bank's months.
-7. ``composite`` (W9): weighted change of the clamped values per period.
-
-After ``cells`` the panel is shuffled once by ``(scope, metric)``; every
-later window, aggregate and the fold reuse that partitioning.  Missing
-cells are never materialised: a bank's previous cell is valid
-only if it sits on the scope's previous period, which is what a dense
-date x bank pivot would say.
+   ``(scope, metric, date)``.
+4. ``with_period_links``: the scope's previous period, from its distinct
+   periods (calendar-sized), joined back; with the scope's bank count.
+5. ``raw_mom`` (W6): bank change against that period, per
+   ``(scope, metric, bank)``.
+6. ``with_limits`` / ``breach_limits`` (W7): share of breaching banks ->
+   limits, per ``(scope, metric, date)``.
+7. ``capped_chain`` (W8): the recursive clamp, folded per
+   ``(scope, metric, bank)`` with the native ``aggregate`` higher-order
+   function over that bank's months.
+8. ``composite`` (W9): weighted change of the clamped values per
+   ``(scope, metric, date)``.
+
+Every exchange after the cells moves the reduced panel and is keyed by date
+or by bank, so the work spreads over dates and banks.  The branches (panel,
+periods, bank count) read the same columns of the cells, so Spark runs the
+cell aggregate once and reuses its exchange.  Missing cells are never
+materialised: a bank's previous cell is valid only if it sits on the scope's
+previous period, which is what a dense date x bank pivot would say.
 """
 
 from __future__ import annotations
@@ -117,21 +122,52 @@ def cap_max_proportion(panel: DataFrame, scope: Sequence[str] = (), lim: float =
 
 
 # -------------------------------------------------------------- period links
-def with_period_links(capped: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Add the scope's previous period (``PrevDateKey``) and bank count.
-
-    All windows are over ``(scope, metric)`` - the partitioning the panel
-    already has - so no shuffle: the previous period is the largest key
-    strictly below the current one (a RANGE frame ending one key unit
-    before); the bank count is the largest dense rank of the bank id (one
-    integer per row, never the bank set itself).
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe equality of ``keys``; the keys come from ``left``."""
+    l, r = left.alias("l"), right.alias("r")
+    cond = None
+    for k in keys:
+        c = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        cond = c if cond is None else cond & c
+    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return l.join(r, cond, how).select("l.*", *extra)
+
+
+def used_cells(cell_df: DataFrame) -> DataFrame:
+    """The cells as every branch reads them.  The test holds for each cell; it
+    keeps both counts in all branches, so that these share one exchange."""
+    return cell_df.where((F.col("Deals") > 0) & (F.col("DealsWithAmount") >= 0))
+
+
+def periods(cell_df: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """``(scope, date, PrevDateKey)``: a scope's periods and their predecessors.
+
+    One row per period before the window, so the window is calendar-sized.
     """
-    w_prev = Window.partitionBy(*scope, "metric").orderBy(DATE).rangeBetween(Window.unboundedPreceding, -1)
-    w_bank = Window.partitionBy(*scope, "metric").orderBy(BANK)
-    w_all = Window.partitionBy(*scope, "metric")
-    ranked = capped.select("*", F.max(DATE).over(w_prev).alias("PrevDateKey"),
-                           F.dense_rank().over(w_bank).alias("_bank_rank"))
-    return ranked.select("*", F.max("_bank_rank").over(w_all).cast("long").alias("n_banks")).drop("_bank_rank")
+    days = (used_cells(cell_df).groupBy(*scope, DATE)
+            .agg(F.sum("CommitmentAmt").alias("_ca"), F.sum("OutstandingAmt").alias("_oa"))
+            .where(F.col("_ca").isNotNull() & F.col("_oa").isNotNull()))
+    w = Window.partitionBy(*scope).orderBy(DATE)
+    return days.select(*scope, DATE, F.lag(DATE).over(w).alias("PrevDateKey"))
+
+
+def _with_bank_count(linked: DataFrame, cell_df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    banks = (used_cells(cell_df).groupBy(*scope, BANK)
+             .agg(F.max("CommitmentAmt").alias("_ca"), F.max("OutstandingAmt").alias("_oa"))
+             .where(F.col("_ca").isNotNull() & F.col("_oa").isNotNull()))
+    if scope:
+        return join_on(linked, banks.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_banks")), scope)
+    return linked.withColumn("n_banks", banks.agg(F.count(F.lit(1))).scalar())
+
+
+def with_period_links(capped: DataFrame, cell_df: DataFrame, scope: Sequence[str] = (),
+                      bank_count: bool = True) -> DataFrame:
+    """Add the scope's previous period (``PrevDateKey``) and, if asked for,
+    its bank count (``n_banks``; NULL otherwise)."""
+    linked = join_on(capped, periods(cell_df, scope), [*scope, DATE])
+    if bank_count:
+        return _with_bank_count(linked, cell_df, scope)
+    return linked.withColumn("n_banks", F.lit(None).cast("long"))
 
 
 # ------------------------------------------------------------------------ W6
@@ -188,7 +224,7 @@ def with_limits(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapC
 
 def breach_limits(limited: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """W7 as one row per ``(scope, metric, date)`` (values are constant
-    within the group; aggregated on the existing partitioning)."""
+    within the group)."""
     return limited.groupBy(*scope, "metric", DATE).agg(*[F.max(c).alias(c) for c in LIMIT_COLUMNS])
 
 
@@ -220,7 +256,7 @@ def capped_chain(limited: DataFrame, scope: Sequence[str] = (), value: str = "Ca
 
     The group holds one element per month of that bank (the calendar
     bounds it, not the row count), so a hot bank is no heavier here than
-    any other; it is grouped on the panel's existing partitioning.
+    any other.
     """
     elem = F.struct(F.col(DATE).alias("d"), F.col("PrevDateKey").alias("p"),
                     F.col(value).cast("double").alias("v"), F.col("lim_max").alias("hi"),
@@ -262,40 +298,34 @@ def composite(chain: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapC
                     F.lit(None).cast("double"))
               .otherwise(F.try_divide(F.col("curr_sum"), F.col("prior_sum")) - 1))
     if cfg.missing == "nan":
-        w = Window.partitionBy(*scope, "metric").orderBy(DATE)
-        prev_present = F.lag("n_present").over(w)
-        gap = (F.col("n_present") < F.col("n_banks")) | (prev_present < F.col("n_banks"))
+        before = g.select(*scope, "metric", F.col(DATE).alias("PrevDateKey"), F.col("n_present").alias("prev_present"))
+        g = join_on(g, before, [*scope, "metric", "PrevDateKey"], "left")
+        gap = (F.col("n_present") < F.col("n_banks")) | (F.col("prev_present") < F.col("n_banks"))
         value = F.when(F.coalesce(gap, F.lit(False)), F.lit(None).cast("double")).otherwise(value)
     return g.select(*scope, "metric", DATE, "curr_sum", "prior_sum", value.alias("perc_diff"))
 
 
 # ---------------------------------------------------------------- E1 / J5
-def composite_parts(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig(),
-                    n_scopes: int | None = None):
-    """All intermediate frames of the composite (for reports and tests).
-
-    ``n_scopes`` (when the caller knows it: templates, caps) sizes the one
-    small shuffle to the number of ``(scope, metric)`` groups, capped by
-    the cluster's parallelism, so the CPU-bound clamp runs in parallel
-    instead of being coalesced into a single task; otherwise adaptive
-    execution sizes it.
-    """
-    # one small shuffle: every later window / aggregate / fold is keyed by
-    # (scope, metric, ...) and reuses this partitioning
-    panel = long_panel(cell_df, scope)
-    groups = (n_scopes or 1) * len(METRICS) if (n_scopes or not scope) else None
-    if groups:
-        n = max(1, min(groups, cell_df.sparkSession.sparkContext.defaultParallelism))
-        panel = panel.repartition(n, *scope, "metric")
-    else:
-        panel = panel.repartition(*scope, "metric")
+def raw_changes(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> dict:
+    """Everything that doesn't depend on the month-over-month caps."""
+    panel = long_panel(used_cells(cell_df), scope)
     capped = cap_max_proportion(panel, scope, cfg.cell_weight)
-    raw = raw_mom(with_period_links(capped, scope), scope)
+    linked = with_period_links(capped, cell_df, scope, cfg.missing == "nan")
+    return {"panel": panel, "capped": capped, "raw": raw_mom(linked, scope)}
+
+
+def limited_chain(raw: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> dict:
+    """W7-W9 over the raw changes."""
     limited = with_limits(raw, scope, cfg)
     chain = capped_chain(limited, scope)
-    comp = composite(chain, scope, cfg)
-    return {"panel": panel, "capped": capped, "raw": raw, "limited": limited,
-            "limits": breach_limits(limited, scope), "chain": chain, "composite": comp}
+    return {"limited": limited, "limits": breach_limits(limited, scope), "chain": chain,
+            "composite": composite(chain, scope, cfg)}
+
+
+def composite_parts(cell_df: DataFrame, scope: Sequence[str] = (), cfg: CapConfig = CapConfig()) -> dict:
+    """All intermediate frames of the composite (for reports and tests)."""
+    parts = raw_changes(cell_df, scope, cfg)
+    return parts | limited_chain(parts["raw"], scope, cfg)
 
 
 def pivot_metrics(comp: DataFrame, scope: Sequence[str] = (), value: str = "perc_diff") -> DataFrame:
@@ -305,34 +335,43 @@ def pivot_metrics(comp: DataFrame, scope: Sequence[str] = (), value: str = "perc
         *[F.max(F.when(F.col("metric") == m, F.col(value))).alias(m) for m, _ in METRICS])
 
 
-def composites(tape: DataFrame, cfg: CapConfig = CapConfig(), scope: Sequence[str] = (),
-               cell_df: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+def composites(tape: DataFrame, cfg: CapConfig = CapConfig(), scope: Sequence[str] = ()) -> DataFrame:
     """Composite change series ``(scope, ProcessingDateKey, ca, oa, deals)``."""
-    from ..session import materialize as materialize_frame
-    c = cell_df if cell_df is not None else cells(tape, scope)
-    if materialize and cell_df is None:
-        c = materialize_frame(c, "cells")
-    return pivot_metrics(composite_parts(c, scope, cfg)["composite"], scope)
+    return pivot_metrics(composite_parts(cells(tape, scope), scope, cfg)["composite"], scope)
 
 
 # ------------------------------------------------------------------------ W12
+def bank_ids(cell_df: DataFrame) -> list[str]:
+    """The banks of the cells, sorted: the pivot list of ``wide_panel``."""
+    found = [r[BANK] for r in cell_df.select(BANK).distinct().collect()]
+    return sorted((b for b in found if b is not None), key=lambda b: (len(b), b))
+
+
 def wide_panel(parts: dict, banks: Sequence[str], metric: str = "ca",
                scope: Sequence[str] = ()) -> DataFrame:
     """The original application's wide frame for one metric - per bank the capped
-    value, raw change, inclusion, clamped change and clamped value, then
-    the period's limits and composite.  ``banks`` is the pivot list
-    (bounded by the number of banks, never by rows).
+    value, raw change, inclusion (false where the bank has no cell), clamped
+    change and clamped value, then the period's limits and composite.
+
+    ``banks`` names the columns and must hold every bank of the panel (see
+    ``bank_ids``); a bank outside the list raises when the frame is
+    evaluated.  The limits ride through the chain, so the panel is computed
+    once.
     """
+    limits = parts["limited"].filter(F.col("metric") == metric).groupBy(*scope, DATE).agg(
+        F.max("lim_max").alias("lim_max"), F.max("lim_min").alias("lim_min"))
     ch = parts["chain"].filter(F.col("metric") == metric)
+    unknown = F.assert_true(F.col(BANK).isNull() | F.col(BANK).isin([str(b) for b in banks]),
+                            F.concat(F.lit("bank outside the list of wide_panel: "), F.col(BANK)))
+    ch = ch.where(unknown.isNull())
     aggs = []
     for b in banks:
         hit = F.col(BANK) == F.lit(str(b))
         aggs += [F.max(F.when(hit, F.col("value"))).alias(f"{b}"),
                  F.max(F.when(hit, F.col("perc_diff_raw"))).alias(f"{b}_perc_diff_raw"),
-                 F.max(F.when(hit, F.col("inc").cast("int"))).cast("boolean").alias(f"{b}_inc"),
+                 F.coalesce(F.max(F.when(hit, F.col("inc").cast("int"))).cast("boolean"), F.lit(False)).alias(f"{b}_inc"),
                  F.max(F.when(hit, F.col("perc_diff"))).alias(f"{b}_perc_diff"),
                  F.max(F.when(hit, F.col("mod"))).alias(f"{b}_mod")]
     wide = ch.groupBy(*scope, DATE).agg(*aggs)
-    lim = parts["limits"].filter(F.col("metric") == metric).select(*scope, DATE, "lim_max", "lim_min")
     comp = parts["composite"].filter(F.col("metric") == metric).select(*scope, DATE, "perc_diff")
-    return wide.join(lim, [*scope, DATE]).join(comp, [*scope, DATE])
+    return join_on(join_on(wide, limits, [*scope, DATE]), comp, [*scope, DATE])

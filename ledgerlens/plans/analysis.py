@@ -3,7 +3,8 @@
 The flagship: uncapped period totals with period-over-period change next
 to the capped composite change, for one filter scope, many template
 scopes or many cap values - always ONE scan and ONE full-size shuffle
-(the cell aggregate); every later step works on banks x months.
+(the cell aggregate); every later step works on banks x months.  The plans
+are lazy: nothing runs or is written before the caller acts.
 """
 
 from __future__ import annotations
@@ -17,55 +18,44 @@ from ..config import RESULT_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators import series as S
 from ..operators.filters import FilterSpec, apply_filters
-from ..session import materialize as materialize_frame
 
 DATE = "ProcessingDateKey"
 
 
 def capped_vs_uncapped_from_cells(cell_df: DataFrame, scope: Sequence[str] = (),
-                                  cfg: CapConfig = CapConfig(), n_scopes: int | None = None) -> DataFrame:
-    totals = S.totals_from_cells(cell_df, scope)
+                                  cfg: CapConfig = CapConfig()) -> DataFrame:
+    totals = S.totals_from_cells(C.used_cells(cell_df), scope)
     pop = S.pop_change(totals, "core", scope)
-    comp = C.pivot_metrics(C.composite_parts(cell_df, scope, cfg, n_scopes)["composite"], scope)
+    comp = C.pivot_metrics(C.composite_parts(cell_df, scope, cfg)["composite"], scope)
     comp = comp.select(*scope, DATE, F.col("ca").alias("ca_model_diff"),
                        F.col("oa").alias("oa_model_diff"), F.col("deals").alias("deals_model_diff"))
-    out = pop.join(comp, [*scope, DATE], "left")
-    return out.select(*scope, *RESULT_COLUMNS)
+    return C.join_on(pop, comp, [*scope, DATE], "left").select(*scope, *RESULT_COLUMNS)
 
 
-def reduced_cells(tape: DataFrame, spec: FilterSpec | None = None, scope: Sequence[str] = (),
-                  materialize: bool = True) -> DataFrame:
-    """Filter + cell aggregate, then cut the lineage.
-
-    The cells feed several branches (cap, period index, totals); pruning
-    makes those branches differ, so without a cut the scan and its joins
-    would run once per branch.  Writing the cells as a table in the
-    session's checkpoint folder runs the full-size work exactly once and
-    survives executor loss; the table is banks x months.
-    """
-    c = C.cells(apply_filters(tape, spec), scope)
-    return materialize_frame(c, "cells") if materialize else c
+def reduced_cells(tape: DataFrame, spec: FilterSpec | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Filter + cell aggregate: the one full-size step, banks x months after it."""
+    return C.cells(apply_filters(tape, spec), scope)
 
 
 def capped_vs_uncapped(tape: DataFrame, spec: FilterSpec | None = None,
-                       cfg: CapConfig = CapConfig(), scope: Sequence[str] = (),
-                       materialize: bool = True) -> DataFrame:
+                       cfg: CapConfig = CapConfig(), scope: Sequence[str] = ()) -> DataFrame:
     """``RESULT_SCHEMA`` rows per period (and scope)."""
-    return capped_vs_uncapped_from_cells(reduced_cells(tape, spec, scope, materialize), scope, cfg)
+    return capped_vs_uncapped_from_cells(reduced_cells(tape, spec, scope), scope, cfg)
 
 
 def cap_sensitivity(tape: DataFrame, caps: Sequence[float], spec: FilterSpec | None = None,
                     cfg: CapConfig = CapConfig()) -> DataFrame:
     """The composite for several MoM caps (``min = -c / (1 + c)``).
 
-    The cells are reduced once; only the reduced panel is fanned out over
-    the (parameter-sized) list of caps, which then rides through every
-    window as the ``cap_value`` scope key.
+    What doesn't depend on the cap (W3-W6) runs once; the raw changes are
+    then fanned out over the (parameter-sized) list of caps, which rides
+    through limits, chain and composite as the ``cap_value`` scope key.  The
+    limits of a month with many breaches (``max_mom_high``) are the same for
+    every cap, so a cap above them is the wider one of the two.
     """
-    cell_df = reduced_cells(tape, spec)
-    fanned = cell_df.withColumn("cap_value", F.explode(F.array(*[F.lit(float(c)) for c in caps])))
+    raw = C.raw_changes(reduced_cells(tape, spec), (), cfg)["raw"]
+    fanned = raw.withColumn("cap_value", F.explode(F.array(*[F.lit(float(c)) for c in caps])))
     scoped = CapConfig(cell_weight=cfg.cell_weight, max_mom=F.col("cap_value"),
                        max_mom_high=cfg.max_mom_high, high_breach_perc=cfg.high_breach_perc,
                        missing=cfg.missing)
-    parts = C.composite_parts(fanned, ["cap_value"], scoped, n_scopes=len(caps))
-    return C.pivot_metrics(parts["composite"], ["cap_value"])
+    return C.pivot_metrics(C.limited_chain(fanned, ["cap_value"], scoped)["composite"], ["cap_value"])

@@ -36,10 +36,6 @@ def finish(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def double_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-
-
 def register(name: str, sql: str | None, dbl: tuple[str, ...] = ()):
     """Register ``fn(spark, tape) -> DataFrame`` as ``queries()[name]``."""
     def deco(fn):
@@ -73,9 +69,16 @@ def q_capped_vs_uncapped(spark, tape):
 
 
 @register("capped_vs_uncapped_nan",
+          O.with_tape(_filtered_sql(), O.composite_ctes("src", missing="nan"), recursive=True) + O.result_select(), E2_DBL)
+def q_capped_vs_uncapped_nan(spark, tape):
+    """E2 over the whole tape with the original application's NaN semantics."""
+    return A.capped_vs_uncapped(tape, None, CapConfig(missing="nan"))
+
+
+@register("capped_vs_uncapped_sba_nan",
           O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src", missing="nan"),
                       recursive=True) + O.result_select(), E2_DBL)
-def q_capped_vs_uncapped_nan(spark, tape):
+def q_capped_vs_uncapped_sba_nan(spark, tape):
     """E2 on the sparse SBA panel with the original application's NaN semantics."""
     return A.capped_vs_uncapped(tape, SBA, CapConfig(missing="nan"))
 
@@ -113,66 +116,49 @@ def q_cap_max_proportion(spark, tape):
     return C.cap_max_proportion(C.long_panel(C.cells(tape)))
 
 
-@register("raw_mom",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), recursive=True)
-          + "\nSELECT metric, ProcessingDateKey, BankID, v AS value, PrevDateKey, perc_diff_raw FROM raw",
-          ("value", "perc_diff_raw"))
-def q_raw_mom(spark, tape):
-    """W6 on the sparse SBA panel."""
-    p = C.composite_parts(C.cells(apply_filters(tape, SBA)))
-    return p["raw"].select("metric", "ProcessingDateKey", "BankID", F.col("Capped").alias("value"),
-                           "PrevDateKey", "perc_diff_raw")
-
-
 _LIM_COLS = ("metric, ProcessingDateKey, actual_data, num_breaches_max, num_breaches_min, "
              "perc_breaches_max, perc_breaches_min, lim_max, lim_min")
 _LIM_DBL = ("perc_breaches_max", "perc_breaches_min", "lim_max", "lim_min")
+_CHAIN_DBL = ("value", "perc_diff_raw", "perc_diff", "mod", "prev_mod")
 
 
-@register("breach_limits",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), recursive=True)
-          + f"\nSELECT {_LIM_COLS} FROM lims", _LIM_DBL)
-def q_breach_limits(spark, tape):
-    """W7 on the sparse SBA panel (missing excluded)."""
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)))["limits"]
+def _composite_sql(select: str, where: str, missing: str = "exclude") -> str:
+    return O.with_tape(_filtered_sql(where), O.composite_ctes("src", missing=missing), recursive=True) + "\n" + select
 
 
-@register("breach_limits_nan",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src", missing="nan"),
-                      recursive=True) + f"\nSELECT {_LIM_COLS} FROM lims", _LIM_DBL)
-def q_breach_limits_nan(spark, tape):
-    """W7 with missing banks counted as upper breaches."""
-    cfg = CapConfig(missing="nan")
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)), (), cfg)["limits"]
+def _stage_queries(suffix: str, spec: FilterSpec | None, where: str, rows: str) -> None:
+    """W6-W9 in both missing modes over the rows ``spec`` selects."""
+    nan = CapConfig(missing="nan")
 
+    def parts(tape, cfg=CapConfig()):
+        return C.composite_parts(C.cells(apply_filters(tape, spec)), (), cfg)
 
-@register("capped_chain",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), recursive=True)
-          + '\nSELECT metric, BankID, ProcessingDateKey, value, perc_diff_raw, perc_diff, mod_v AS "mod", '
-            'prev_mod, inc FROM chain',
-          ("value", "perc_diff_raw", "perc_diff", "mod", "prev_mod"))
-def q_capped_chain(spark, tape):
-    """Clamped chain per bank on the sparse SBA panel."""
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)))["chain"].drop("PrevDateKey", "n_banks")
+    def add(name, doc, sql, dbl, fn):
+        fn.__doc__ = f"{doc}, {rows}."
+        register(name + suffix, sql, dbl)(fn)
 
+    add("raw_mom", "W6: bank change against the previous period", _composite_sql(
+        "SELECT metric, ProcessingDateKey, BankID, v AS value, PrevDateKey, perc_diff_raw FROM raw", where),
+        ("value", "perc_diff_raw"),
+        lambda spark, tape: parts(tape)["raw"].select("metric", "ProcessingDateKey", "BankID", F.col("Capped").alias("value"),
+                                                      "PrevDateKey", "perc_diff_raw"))
+    limits = f"SELECT {_LIM_COLS} FROM lims"
+    add("breach_limits", "W7: limits, missing cells excluded", _composite_sql(limits, where), _LIM_DBL,
+        lambda spark, tape: parts(tape)["limits"])
+    add("breach_limits_nan", "W7: limits, missing cells counted as upper breaches", _composite_sql(limits, where, "nan"), _LIM_DBL,
+        lambda spark, tape: parts(tape, nan)["limits"])
+    add("capped_chain", "W8: clamped chain per bank", _composite_sql(
+        'SELECT metric, BankID, ProcessingDateKey, value, perc_diff_raw, perc_diff, mod_v AS "mod", prev_mod, inc FROM chain', where),
+        _CHAIN_DBL, lambda spark, tape: parts(tape)["chain"].drop("PrevDateKey", "n_banks"))
+    change = "SELECT metric, ProcessingDateKey, curr_sum, prior_sum, perc_diff FROM comp"
+    add("composite", "W9: weighted change, missing cells excluded", _composite_sql(change, where),
+        ("curr_sum", "prior_sum", "perc_diff"), lambda spark, tape: parts(tape)["composite"])
+    add("composite_nan", "W9: weighted change, missing cells void it", _composite_sql(change, where, "nan"),
+        ("curr_sum", "prior_sum", "perc_diff"), lambda spark, tape: parts(tape, nan)["composite"])
 
-@register("composite",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), recursive=True)
-          + "\nSELECT metric, ProcessingDateKey, curr_sum, prior_sum, perc_diff FROM comp",
-          ("curr_sum", "prior_sum", "perc_diff"))
-def q_composite(spark, tape):
-    """W9 on the sparse SBA panel."""
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)))["composite"]
 
-
-@register("composite_nan",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src", missing="nan"),
-                      recursive=True)
-          + "\nSELECT metric, ProcessingDateKey, curr_sum, prior_sum, perc_diff FROM comp",
-          ("curr_sum", "prior_sum", "perc_diff"))
-def q_composite_nan(spark, tape):
-    """W9 with the NaN semantics."""
-    return C.composite_parts(C.cells(apply_filters(tape, SBA)), (), CapConfig(missing="nan"))["composite"]
+_stage_queries("", None, "TRUE", "over the whole tape")
+_stage_queries("_sba", SBA, "LineofBusinessId = '12'", "on the sparse SBA panel")
 
 
 # ============================================================ series
@@ -745,7 +731,7 @@ def q_cap_sensitivity(spark, tape):
     return A.cap_sensitivity(tape, _CAPS)
 
 
-_BANKS = [str(i) for i in range(25)]   # bank ids = nation keys of the driver's nation table
+_BANKS = [str(i) for i in range(25)]   # the columns of the oracle; the query takes its banks from the tape
 
 
 def _wide_sql():
@@ -754,7 +740,7 @@ def _wide_sql():
         w = f"BankID = '{b}'"
         cols += [f'MAX(CASE WHEN {w} THEN value END) AS "{b}"',
                  f'MAX(CASE WHEN {w} THEN perc_diff_raw END) AS "{b}_perc_diff_raw"',
-                 f'CAST(MAX(CASE WHEN {w} THEN CAST(inc AS INTEGER) END) AS BOOLEAN) AS "{b}_inc"',
+                 f'COALESCE(CAST(MAX(CASE WHEN {w} THEN CAST(inc AS INTEGER) END) AS BOOLEAN), FALSE) AS "{b}_inc"',
                  f'MAX(CASE WHEN {w} THEN perc_diff END) AS "{b}_perc_diff"',
                  f'MAX(CASE WHEN {w} THEN mod_v END) AS "{b}_mod"']
     return (O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True)
@@ -772,8 +758,8 @@ _WIDE_DBL = tuple([f"{b}{s}" for b in _BANKS for s in ("", "_perc_diff_raw", "_p
 @register("wide_panel", _wide_sql(), _WIDE_DBL)
 def q_wide_panel(spark, tape):
     """The original application's wide commitment panel (one column set per bank)."""
-    parts = C.composite_parts(A.reduced_cells(tape))
-    return C.wide_panel(parts, _BANKS, "ca")
+    cells = A.reduced_cells(tape)
+    return C.wide_panel(C.composite_parts(cells), C.bank_ids(tape), "ca")
 
 
 # ============================================================ record-level change

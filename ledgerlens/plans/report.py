@@ -17,20 +17,20 @@ DATE = "ProcessingDateKey"
 
 # ------------------------------------------------------------------------ E6
 def tape_query(df: DataFrame, region="Rocky Mountain", sba="Non-SBA", lob=None, sizes=None, risks=None,
-               columns=None, limit: int | None = 1000, residual: bool = True) -> DataFrame:
+               columns=None, limit: int | None = None, residual: bool = True) -> DataFrame:
     """Flexible tape query: region, SBA class, LOB ids, size and risk
     groups, the residual maturity filter, a projection and the SBA column.
 
-    The limit (default 1000, ``None`` = all) takes any rows, like the SQL
-    ``LIMIT`` without ``ORDER BY`` it stands for.
+    A request's limit takes any rows, like the SQL ``LIMIT`` without ``ORDER
+    BY`` it stands for; without one all rows are returned.  Rows are classed
+    before the projection; the result must hold the required columns.
     """
     spec = FilterSpec.of(regions=region, sba=None if sba in (None, "All") else [sba], lob=lob,
                          size_groups=sizes, risk_groups=risks, residual=residual)
-    out = project(apply_filters(df, spec), columns)
-    if limit:
-        out = out.limit(limit)
-    require_columns(out)
-    return with_sba(out)
+    classed = with_sba(apply_filters(df, spec))
+    added = [c for c in classed.columns if c not in df.columns]
+    out = require_columns(project(classed, None if columns is None else [*columns, *added]))
+    return out if limit is None else out.limit(limit)
 
 
 # ------------------------------------------------------------------------ E5

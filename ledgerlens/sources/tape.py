@@ -92,12 +92,6 @@ def tape_from_tables(spark: SparkSession, sf_dir: str, with_tie_break: bool = Tr
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                               "l_shipdate")
-    # A fact file that cannot be split (e.g. one row group) would run every
-    # join below in one task; spread it only then.  At scale the scan has
-    # far more splits than the cluster has cores and this never triggers.
-    par = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < par:
-        li = li.repartition(par)
     od = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     cu = t["customer"].select("c_custkey", "c_nationkey")
     na = t["nation"].select("n_nationkey", "n_regionkey")

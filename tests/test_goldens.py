@@ -35,7 +35,7 @@ def gap_parts(spark, missing):
 
 
 def test_seed_capped_vs_uncapped(spark):
-    rows = {r["ProcessingDateKey"]: r for r in capped_vs_uncapped(seed_df(spark), materialize=False).collect()}
+    rows = {r["ProcessingDateKey"]: r for r in capped_vs_uncapped(seed_df(spark)).collect()}
     assert [rows[d]["Deals"] for d in sorted(rows)] == [2, 2, 2]
     assert rows[20240131]["ProcessingDateKeyPrior"] == 0
     assert rows[20240131]["ca_diff"] is None and rows[20240131]["ca_model_diff"] is None

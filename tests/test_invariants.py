@@ -34,9 +34,9 @@ def test_clamped_change_within_limits(spark, tape):
 
 
 def test_permutation_and_repartition_invariance(spark, tape):
-    a = sorted(tuple(r) for r in capped_vs_uncapped(tape, materialize=False).collect())
+    a = sorted(tuple(r) for r in capped_vs_uncapped(tape).collect())
     shuffled = tape.orderBy(F.rand(7)).repartition(5)
-    b = sorted(tuple(r) for r in capped_vs_uncapped(shuffled, materialize=False).collect())
+    b = sorted(tuple(r) for r in capped_vs_uncapped(shuffled).collect())
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x[:8] == y[:8]
