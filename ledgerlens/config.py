@@ -58,8 +58,6 @@ METRICS = (("ca", "CommitmentAmt"), ("oa", "OutstandingAmt"), ("deals", "Deals")
 
 def low_limit(m):
     """Down-cap paired with an up-cap ``m`` so that up then down is neutral."""
-    if isinstance(m, Column):
-        return -m / (1 + m)
     return -m / (1 + m)
 
 

@@ -21,10 +21,13 @@ def _c(c) -> Column:
 
 # ------------------------------------------------------------------------ C1
 def key_to_date(key) -> Column:
-    """``YYYYMMDD`` int/string -> DATE; ``0``/blank/invalid -> NULL."""
+    """``YYYYMMDD`` int/string or ISO text (``YYYY-MM-DD``, a time may follow)
+    -> DATE; ``0``/blank/invalid -> NULL."""
     s = F.trim(_c(key).cast("string"))
-    return F.when((s == "") | (s == "0"), F.lit(None).cast("date")).otherwise(
-        F.try_to_date(s, "yyyyMMdd"))
+    iso = s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[T ])")
+    return (F.when((s == "") | (s == "0"), F.lit(None).cast("date"))
+             .when(iso, F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+             .otherwise(F.try_to_date(s, "yyyyMMdd")))
 
 
 def date_to_key(d) -> Column:
@@ -37,6 +40,11 @@ def key_to_iso(key) -> Column:
     return F.date_format(key_to_date(key), "yyyy-MM-dd")
 
 
+def iso_to_key(text) -> Column:
+    """ISO text -> ``YYYYMMDD`` int; anything else -> NULL."""
+    return date_to_key(key_to_date(text))
+
+
 # ------------------------------------------------------------------------ C3
 def to_amount(col, strict: bool = False) -> Column:
     """Text amount -> double; ``'NULL'`` -> NULL.
@@ -76,6 +84,7 @@ def human_number(col, style: str = "table") -> Column:
     chart: ``1.2B`` / ``3.4M`` / ``5.6K`` / plain (strict ``>``)
     range: ``$1.0M`` / ``$2.5K`` / ``$999`` (``>=`` thresholds)
     usd:   ``$1,234,567`` (no decimals, thousands separators)
+    compact: ``$1.2K`` / ``$3.4M`` / ``$1B`` / ``$2T`` (one decimal, no ``.0``)
     """
     x = _c(col).cast("decimal(38,6)")
     a = F.abs(x)
@@ -101,6 +110,13 @@ def human_number(col, style: str = "table") -> Column:
         whole = F.abs(x.cast("decimal(38,0)"))
         body = F.concat(F.lit("$"), F.format_number(whole, 0))
         return F.when(x < 0, F.concat(F.lit("-"), body)).otherwise(body)
+    if style == "compact":
+        text = lambda unit, mark: F.concat(F.regexp_replace(_fixed(a / unit, 1), "[.]0$", ""), F.lit(mark))
+        # a unit starts where the smaller one would be rounded to 1000
+        body = (F.when(a >= F.lit("999950000000").cast("decimal(20,2)"), text(1000000000000, "T")).when(a >= 999950000, text(1000000000, "B"))
+                 .when(a >= 999950, text(1000000, "M")).when(a >= F.lit("999.95").cast("decimal(10,2)"), text(1000, "K"))
+                 .otherwise(text(1, "")))
+        return F.concat(F.when(x < 0, F.lit("-$")).otherwise(F.lit("$")), body)
     raise ValueError(f"unknown style {style!r}")
 
 

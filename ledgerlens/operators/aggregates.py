@@ -100,42 +100,48 @@ OPTION_DIMENSIONS = (
 )
 
 
+def unpivot_options(combinations: DataFrame, dims) -> DataFrame:
+    """``(dimension, value)``: distinct non-NULL values of each (name, column)."""
+    parts = [F.struct(F.lit(k).alias("dimension"), c.cast("string").alias("value")) for k, c in dims]
+    return combinations.select(F.inline(F.array(*parts))).filter(F.col("value").isNotNull()).distinct()
+
+
 def filter_options(df: DataFrame) -> DataFrame:
     """All filter options as ``(dimension, value)`` in ONE scan.
 
-    Each row contributes one struct per dimension; ``distinct`` (partial
-    aggregation per task, so at most #options rows per task leave it)
-    keeps the options.  The fixed SBA classes ride along.
+    Rows are first reduced to distinct combinations of the dimensions
+    (partial aggregation per task), then unpivoted.  The fixed SBA classes
+    are there for an empty tape too.
     """
-    parts = [F.struct(F.lit("lineOfBusiness").alias("dimension"),
-                      F.when(F.col("LineofBusinessId").isNotNull(),
-                             lob_label(F.col("LineofBusinessId"), F.col("LineofBusiness"))).alias("value"))]
-    parts += [F.struct(F.lit(k).alias("dimension"), F.col(c).cast("string").alias("value"))
-              for k, c in OPTION_DIMENSIONS]
-    parts += [F.struct(F.lit("sbaClassification").alias("dimension"), F.lit(v).alias("value"))
-              for v in SBA_CLASSES]
-    opts = df.select(F.inline(F.array(*parts))).filter(F.col("value").isNotNull()).distinct()
-    return opts.orderBy("dimension", "value")
+    dims = [("lineOfBusiness", F.when(F.col("LineofBusinessId").isNotNull(),
+                                      lob_label(F.col("LineofBusinessId"), F.col("LineofBusiness"))))]
+    dims += [(k, F.col(c)) for k, c in OPTION_DIMENSIONS]
+    rows = df.select("LineofBusinessId", "LineofBusiness", *[c for _, c in OPTION_DIMENSIONS]).distinct()
+    classes = df.sparkSession.range(1).select(
+        F.lit("sbaClassification").alias("dimension"), F.explode(F.array(*[F.lit(v) for v in SBA_CLASSES])).alias("value"))
+    return unpivot_options(rows, dims).unionByName(classes).orderBy("dimension", "value")
 
 
 # ----------------------------------------------------------------------- A11
-def summary_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
+def summary_stats(df: DataFrame) -> DataFrame:
     """Whole-table statistics over rows with an amount.
 
-    ``approximate=True`` swaps the four exact distinct counts for
-    HyperLogLog sketches (one pass, no Expand) for very large tapes.
+    Rows are first reduced by (period, region, line of business, bank) with
+    mergeable sums; the exact distinct counts run on that.
     """
-    cd = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.count_distinct(c))
-    return df.filter(has_amount()).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        cd(DATE).alias("unique_months"),
+    keys = [DATE, "Region", "LineofBusinessId", "BankID"]
+    cells = df.filter(has_amount()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("CommitmentAmt").cast(TOTAL).alias("ca"))
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_records"),
+        F.count_distinct(DATE).alias("unique_months"),
         F.min(DATE).alias("earliest_date"),
         F.max(DATE).alias("latest_date"),
-        F.sum("CommitmentAmt").cast(TOTAL).alias("total_commitment"),
-        mean("CommitmentAmt").alias("avg_commitment"),
-        cd("Region").alias("unique_regions"),
-        cd("LineofBusinessId").alias("unique_lobs"),
-        cd("BankID").alias("unique_banks"))
+        F.sum("ca").cast(TOTAL).alias("total_commitment"),
+        F.try_divide(F.sum("ca").cast("double"), F.sum("n").cast("double")).alias("avg_commitment"),
+        F.count_distinct("Region").alias("unique_regions"),
+        F.count_distinct("LineofBusinessId").alias("unique_lobs"),
+        F.count_distinct("BankID").alias("unique_banks"))
 
 
 # ----------------------------------------------------------------------- A12

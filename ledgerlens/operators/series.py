@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOTAL
+from ..functions.scalars import safe_change
+from .composite import join_on
 
 DATE = "ProcessingDateKey"
 SERIES = (("CommitmentAmt", "ca_diff"), ("OutstandingAmt", "oa_diff"), ("Deals", "deals_diff"))
@@ -60,28 +62,12 @@ def with_prior(df: DataFrame, scope: Sequence[str] = (), key: str = DATE,
 # ------------------------------------------------------------------------ J1
 def join_prior(df: DataFrame, scope: Sequence[str] = (), key: str = DATE,
                metrics=("CommitmentAmt", "OutstandingAmt", "Deals")) -> DataFrame:
-    """Prior-period LEFT self-join on the shifted key (first prior = 0)."""
+    """Prior-period LEFT self-join on the shifted key (first prior = 0),
+    null-safe on the scope; the scope columns are the left side's."""
     w = Window.partitionBy(*scope).orderBy(key)
     left = df.withColumn(f"{key}Prior", F.coalesce(F.lag(key).over(w), F.lit(0)))
-    right = df.select(*scope, F.col(key).alias("_pk"), *[F.col(m).alias(f"{m}Prior") for m in metrics])
-    cond = [left[s] == right[s] for s in scope] + [left[f"{key}Prior"] == right["_pk"]]
-    cond = cond[0] if len(cond) == 1 else _all(cond)
-    return left.join(right, cond, "left").drop(*[right[s] for s in scope]).drop("_pk")
-
-
-def _all(cs):
-    out = cs[0]
-    for c in cs[1:]:
-        out = out & c
-    return out
-
-
-# ------------------------------------------------------------------------ C4
-def safe_change(cur: Column, prior: Column) -> Column:
-    """``cur / prior - 1``; NULL when prior is NULL or 0 (C4)."""
-    p = prior.cast("double")
-    return F.when(p.isNull() | (p == 0), F.lit(None).cast("double")).otherwise(
-        F.try_divide(cur.cast("double"), p) - 1)
+    right = df.select(*scope, F.col(key).alias(f"{key}Prior"), *[F.col(m).alias(f"{m}Prior") for m in metrics])
+    return join_on(left, right, [*scope, f"{key}Prior"], "left")
 
 
 # ------------------------------------------------------------------------ W2
@@ -136,18 +122,35 @@ def pop_change(totals: DataFrame, variant: str = "core", scope: Sequence[str] =
 
 
 # ------------------------------------------------------------------------ J3
-def attach_by_position(df: DataFrame, order: str, series: DataFrame, series_order: str,
+def positions(df: DataFrame, order: str | Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_pos``: 1, 2, ... in ``order`` within the scope.
+
+    Rows are numbered inside a group of the first order column's value (a
+    period) and the sizes of the earlier groups are added, so no task sees
+    more than a period.  A further order column (record-level series) splits
+    the periods too, at its quantiles.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    groups = order[:1]
+    if len(order) > 1:
+        df, groups = with_ranges(df, order), ["_range"]
+    inside = Window.partitionBy(*scope, *groups).orderBy(*order)
+    earlier = Window.partitionBy(*scope).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*scope, *groups).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*scope, *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = join_on(df.withColumn("_in", F.row_number().over(inside)), sizes, [*scope, *groups])
+    return out.withColumn("_pos", F.col("_before") + F.col("_in")).drop("_before", "_in", "_range")
+
+
+def attach_by_position(df: DataFrame, order: str | Sequence[str], series: DataFrame, series_order: str | Sequence[str],
                        columns: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """Pair a series with ``df`` by position (1st with 1st, ...).
 
     Shorter series pad with NULL, longer ones are cut - a LEFT join on the
-    row number of each side within the scope.
+    position of each side within the scope.
     """
-    wl = Window.partitionBy(*scope).orderBy(order)
-    wr = Window.partitionBy(*scope).orderBy(series_order)
-    left = df.withColumn("_pos", F.row_number().over(wl))
-    right = series.select(*scope, F.row_number().over(wr).alias("_pos"), *columns)
-    return left.join(right, [*scope, "_pos"], "left").drop("_pos")
+    right = positions(series, series_order, scope).select(*scope, "_pos", *columns)
+    return join_on(positions(df, order, scope), right, [*scope, "_pos"], "left").drop("_pos")
 
 
 # ------------------------------------------------------------------------ W10
@@ -171,62 +174,84 @@ def index_100(df: DataFrame, metrics=("CommitmentAmt", "OutstandingAmt", "Deals"
 
 
 # ------------------------------------------------------------------------ W11
-def metric_summary(df: DataFrame, metric: str, scope: Sequence[str] = (), key: str = DATE) -> DataFrame:
-    """Latest and previous non-NULL value, trend and % change per scope."""
-    x = df.filter(F.col(metric).isNotNull())
-    w = Window.partitionBy(*scope).orderBy(F.col(key).desc())
-    top = x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
-    g = top.groupBy(*scope).agg(
-        F.max(F.when(F.col("_rn") == 1, F.col(metric).cast("double"))).alias("latest"),
-        F.max(F.when(F.col("_rn") == 2, F.col(metric).cast("double"))).alias("previous"))
+def metric_summary(df: DataFrame, metrics: str | Sequence[str], scope: Sequence[str] = (), key: str = DATE) -> DataFrame:
+    """Latest and previous non-NULL value, trend and % change per scope and
+    metric: the series is unpivoted and ranked once, per metric."""
+    metrics = [metrics] if isinstance(metrics, str) else list(metrics)
+    long = df.select(*scope, key, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("_v")) for m in metrics])))
+    w = Window.partitionBy(*scope, "metric").orderBy(F.col(key).desc())
+    top = long.filter(F.col("_v").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+    g = top.groupBy(*scope, "metric").agg(
+        F.max(F.when(F.col("_rn") == 1, F.col("_v"))).alias("latest"),
+        F.max(F.when(F.col("_rn") == 2, F.col("_v"))).alias("previous"))
     trend = (F.when(F.col("latest") > F.col("previous"), "up")
               .when(F.col("latest") < F.col("previous"), "down").otherwise("stable"))
     change = F.when(F.col("previous").isNull() | (F.col("previous") == 0), F.lit(0.0)).otherwise(
         F.try_divide(F.col("latest") - F.col("previous"), F.col("previous")) * 100)
-    return g.select(*scope, F.lit(metric).alias("metric"), "latest", "previous",
-                    trend.alias("trend"), change.alias("change"))
+    return g.select(*scope, "metric", "latest", "previous", trend.alias("trend"), change.alias("change"))
 
 
 # ------------------------------------------------------------------------ W13
+#: Rows of a range, and ranges a single period is cut into at most.
+RANGE_ROWS = 1_000_000
+MOST_CUTS = 255
+
+
+def with_ranges(df: DataFrame, order: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``_range``: a number that rises with ``order``, about ``rows`` rows
+    each (a period is cut at quantiles of the second, numeric column).
+
+    One aggregation over two columns reads the size and the quantiles of
+    every period (driver: one row per period); the range is an expression of
+    the row.  NULLs come first, as in Spark's ascending order.
+    """
+    period, inner = order[0], order[1]
+    grid = [k / (MOST_CUTS + 1) for k in range(1, MOST_CUTS + 1)]
+    sizes = df.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(inner, grid, 10_000).alias("q")).collect()
+    table, start = [], 0
+    for r in sorted(sizes, key=lambda r: (r[period] is not None, r[period])):
+        pieces = min(MOST_CUTS + 1, -(-r["n"] // rows))
+        step = (MOST_CUTS + 1) / pieces
+        cuts = sorted({float(r["q"][round(k * step) - 1]) for k in range(1, pieces)}) if r["q"] else []
+        table.append((r[period], start, cuts))
+        start += len(cuts) + 1
+    key = df.schema[period].dataType.simpleString()
+    ranges = df.sparkSession.createDataFrame(table, f"`{period}` {key}, _start long, _cuts array<double>")
+    x = F.col(inner).cast("double")
+    number = F.col("_start") + F.coalesce(F.size(F.filter("_cuts", lambda c: c < x)), F.lit(0))
+    return join_on(df, F.broadcast(ranges), [period]).withColumn("_range", number).drop("_start", "_cuts")
+
+
 def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "OutstandingAmt"),
-               partitions: int | None = None) -> DataFrame:
+               rows: int = RANGE_ROWS) -> DataFrame:
     """Record-level change against the previous record in ``order``.
 
     ``(x_i - x_{i-1}) / x_{i-1}``, 0 for the first record and for a zero
-    prior; NULL when either value is NULL.  No single-task window: rows
-    are range-partitioned on ``order`` and written once as a table with
-    their partition id (stable ids, executor-loss safe); the previous row
-    is found inside each partition, and each partition's first row takes
-    the last row of the preceding non-empty partition from a frame with
-    one row per partition (broadcast; its size is the partition count).
+    prior; NULL when either value is NULL.  No single-task window and no
+    stored copy: the rows are shuffled once by their range (``with_ranges``;
+    a hot period spans many), the previous row is found inside the range, and
+    a range's first row takes the last row of the range before it from the
+    same shuffle (one row per range).
     """
-    from ..session import materialize
-
     cols = list(dict.fromkeys([*order, *metrics]))
-    # without an explicit count AQE sizes (coalesces) the range partitions;
-    # coalescing merges neighbours, so partition ids still follow the order
-    ranged = (df.select(*cols).repartitionByRange(partitions, *order) if partitions
-              else df.select(*cols).repartitionByRange(*order))
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")     # freezes the partition ids as data
-    w = Window.partitionBy("_pid").orderBy(*order)
-    inpart = ranged.select("*", F.row_number().over(w).alias("_rn"),
+    ranged = with_ranges(df.select(*cols), order, rows).repartition("_range")
+    w = Window.partitionBy("_range").orderBy(*order)
+    inside = ranged.select("*", F.row_number().over(w).alias("_rn"),
                            *[F.lag(m).over(w).alias(f"_p_{m}") for m in metrics])
-    last = ranged.groupBy("_pid").agg(F.max(F.struct(*order, *metrics)).alias("_last"))
-    wl = Window.orderBy("_pid")   # one row per partition
-    carry = last.select("_pid", *[F.lag(F.col(f"_last.{m}")).over(wl).alias(f"_c_{m}") for m in metrics],
-                        F.lag("_pid").over(wl).alias("_cpid"))
-    j = inpart.join(F.broadcast(carry), "_pid", "left")
-    out = j
+    last = ranged.groupBy("_range").agg(F.max(F.struct(*order, *metrics)).alias("_last"))
+    by_range = Window.orderBy("_range")          # one row per range
+    carry = last.select("_range", *[F.lag(F.col(f"_last.{m}")).over(by_range).alias(f"_c_{m}") for m in metrics],
+                        F.lag("_range").over(by_range).alias("_before"))
+    out = join_on(inside, carry, ["_range"], "left")
+    first = F.col("_rn") == 1
+    short = {"CommitmentAmt": "ca_perc_diff", "OutstandingAmt": "oa_perc_diff", "Deals": "deals_perc_diff"}
     for m in metrics:
-        first = (F.col("_rn") == 1)
         prev = F.when(first, F.col(f"_c_{m}")).otherwise(F.col(f"_p_{m}")).cast("double")
-        is_global_first = first & F.col("_cpid").isNull()
         x = F.col(m).cast("double")
-        change = (F.when(is_global_first, F.lit(0.0))
+        change = (F.when(first & F.col("_before").isNull(), F.lit(0.0))
                    .when(prev.isNull() | x.isNull(), F.lit(None).cast("double"))
                    .when(prev == 0, F.lit(0.0))
                    .otherwise(F.try_divide(x - prev, prev)))
-        short = {"CommitmentAmt": "ca_perc_diff", "OutstandingAmt": "oa_perc_diff", "Deals": "deals_perc_diff"}
         out = out.withColumn(short.get(m, f"{m}_perc_diff"), change)
-    return out.drop("_pid", "_rn", *[f"_p_{m}" for m in metrics], *[f"_c_{m}" for m in metrics], "_cpid")
+    return out.drop("_range", "_rn", "_before", *[f"_p_{m}" for m in metrics], *[f"_c_{m}" for m in metrics])

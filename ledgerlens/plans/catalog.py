@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CapConfig
+from ..config import TAPE_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators.filters import FilterSpec, apply_filters
 from ..sources.tape import tape_from_tables
@@ -258,7 +258,7 @@ def q_pop_view(spark, tape):
     return FS.aggregated_analytics(tape)
 
 
-@register("pop_tsv", O.with_tape("""tot AS (
+_POP_TSV_SQL = (O.with_tape("""tot AS (
   SELECT ProcessingDateKey, CAST(COALESCE(SUM(CommitmentAmt), 0) AS DECIMAL(38,2)) AS CommitmentAmt,
     COUNT(BankID) AS Deals, CAST(COALESCE(SUM(OutstandingAmt), 0) AS DECIMAL(38,2)) AS OutstandingAmt
   FROM tape WHERE ProcessingDateKey IS NOT NULL GROUP BY ProcessingDateKey)""", _LAGS) + f"""
@@ -271,7 +271,10 @@ SELECT strftime(strptime(CAST(ProcessingDateKey AS VARCHAR), '%Y%m%d'), '%Y-%m-%
   COALESCE({_chg('CommitmentAmt', 'CommitmentAmtPrior', 'tsv')}, 0.0) AS ca_diff,
   COALESCE({_chg('OutstandingAmt', 'OutstandingAmtPrior', 'tsv')}, 0.0) AS oa_diff,
   COALESCE({_chg('Deals', 'DealsPrior', 'tsv')}, 0.0) AS deals_diff
-FROM lagged""", _DIFFS)
+FROM lagged""")
+
+
+@register("pop_tsv", _POP_TSV_SQL, _DIFFS)
 def q_pop_tsv(spark, tape):
     """W2 tsv variant (A3 totals, bank-count deals, NULLs -> 0)."""
     return S.pop_change(S.period_totals(tape, deals="bank"), "tsv")
@@ -294,20 +297,29 @@ def q_pop_seed(spark, tape):
     return S.pop_change(S.period_totals(tape, deals="rows"), "seed")
 
 
-@register("attach_by_position",
-          O.with_tape(_filtered_sql("LineofBusinessId = '12'"), O.composite_ctes("src"), _TOT_A2,
-                      recursive=True) + """
-SELECT t.ProcessingDateKey, t.CommitmentAmt, t.Deals, t.OutstandingAmt, c.sba_date, c.ca AS sba_ca
+def _attach_sql(where: str) -> str:
+    return O.with_tape(_filtered_sql(where), O.composite_ctes("src"), _TOT_A2, recursive=True) + """
+SELECT t.ProcessingDateKey, t.CommitmentAmt, t.Deals, t.OutstandingAmt, c.series_date, c.series_ca
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS pos FROM tot) t
-LEFT JOIN (SELECT ProcessingDateKey AS sba_date, ca, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS pos
-           FROM compw) c ON t.pos = c.pos""", ("sba_ca",))
+LEFT JOIN (SELECT ProcessingDateKey AS series_date, ca AS series_ca, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS pos
+           FROM compw) c ON t.pos = c.pos"""
+
+
+def _attach(tape, series_tape):
+    comp = C.composites(series_tape).select(F.col("ProcessingDateKey").alias("series_date"), F.col("ca").alias("series_ca"))
+    return S.attach_by_position(S.period_totals(tape), "ProcessingDateKey", comp, "series_date", ["series_date", "series_ca"])
+
+
+@register("attach_by_position", _attach_sql("TRUE"), ("series_ca",))
 def q_attach_by_position(spark, tape):
-    """The SBA composite series (79 periods) paired by position with
-    the whole-tape totals (80 periods) - the last period is padded."""
-    comp = C.composites(apply_filters(tape, SBA)).select(F.col("ProcessingDateKey").alias("sba_date"),
-                                                        F.col("ca").alias("sba_ca"))
-    return S.attach_by_position(S.period_totals(tape), "ProcessingDateKey", comp, "sba_date",
-                                ["sba_date", "sba_ca"])
+    """The composite series paired by position with the monthly totals."""
+    return _attach(tape, tape)
+
+
+@register("attach_by_position_sba", _attach_sql("LineofBusinessId = '12'"), ("series_ca",))
+def q_attach_by_position_sba(spark, tape):
+    """J3 with the shorter SBA series: the last period is padded."""
+    return _attach(tape, apply_filters(tape, SBA))
 
 
 @register("index_100", O.with_tape(_TOT_A2) + """
@@ -343,12 +355,7 @@ FROM (SELECT MAX(CASE WHEN rn = 1 THEN v END) AS latest, MAX(CASE WHEN rn = 2 TH
     _summary_sql(m) for m in ("CommitmentAmt", "OutstandingAmt", "Deals")), ("latest", "previous", "change"))
 def q_metric_summary(spark, tape):
     """Latest / previous / trend / % change of each monthly total."""
-    tot = S.period_totals(tape)
-    out = None
-    for m in ("CommitmentAmt", "OutstandingAmt", "Deals"):
-        one = S.metric_summary(tot, m)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return S.metric_summary(S.period_totals(tape), ("CommitmentAmt", "OutstandingAmt", "Deals"))
 
 
 # ================================================================ filters
@@ -527,8 +534,7 @@ _OPT_SQL_PARTS = ["SELECT 'lineOfBusiness' AS dimension, CASE WHEN LineofBusines
                   "LineofBusinessId END AS value FROM tape WHERE LineofBusinessId IS NOT NULL"]
 _OPT_SQL_PARTS += [f"SELECT '{k}', CAST({c} AS VARCHAR) FROM tape WHERE {c} IS NOT NULL"
                    for k, c in AG.OPTION_DIMENSIONS]
-_OPT_SQL_PARTS += ["SELECT 'sbaClassification', 'SBA' FROM tape",
-                   "SELECT 'sbaClassification', 'Non-SBA' FROM tape"]
+_OPT_SQL_PARTS += ["SELECT 'sbaClassification', 'SBA'", "SELECT 'sbaClassification', 'Non-SBA'"]
 
 
 @register("filter_options", O.with_tape() + "\nSELECT DISTINCT dimension, value FROM (\n"
@@ -790,6 +796,8 @@ SELECT ProcessingDateKey,
   strftime(d, '%B') || ' ' || CAST(year(d) AS VARCHAR) AS month_label,
   strftime(d, '%b') || ' ' || CAST(year(d) AS VARCHAR) AS month_short_label,
   strftime(d, '%Y-%m-%d') AS iso, CAST(year(d) * 10000 + month(d) * 100 + day(d) AS INTEGER) AS round_trip,
+  CAST(strftime(d, '%Y%m%d') AS INTEGER) AS iso_key,
+  strftime(d, '%b') || ' ' || CAST(day(d) AS VARCHAR) || ', ' || CAST(year(d) AS VARCHAR) AS iso_label,
   'N/A' AS zero_label
 FROM (SELECT ProcessingDateKey, CAST(strptime(CAST(ProcessingDateKey AS VARCHAR), '%Y%m%d') AS DATE) AS d
       FROM tot) x""")
@@ -803,6 +811,8 @@ def q_date_label(spark, tape):
                     X.date_label("ProcessingDateKey", "month_short").alias("month_short_label"),
                     X.key_to_iso("ProcessingDateKey").alias("iso"),
                     X.date_to_key(X.key_to_date("ProcessingDateKey")).alias("round_trip"),
+                    X.iso_to_key(X.key_to_iso("ProcessingDateKey")).alias("iso_key"),
+                    X.date_label(X.key_to_iso("ProcessingDateKey"), "long").alias("iso_label"),
                     X.date_label(F.lit(0), "long").alias("zero_label"))
 
 
@@ -829,6 +839,12 @@ def _human_sql(x: str, style: str) -> str:
     if style == "usd":
         return (f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || "
                 f"format('{{:,}}', CAST(abs(CAST({x} AS DECIMAL(38,0))) AS HUGEINT))")
+    if style == "compact":
+        units = (("999950000000", "1000000000000", "T"), ("999950000", "1000000000", "B"), ("999950", "1000000", "M"),
+                 ("999.95", "1000", "K"))
+        part = lambda u: f"regexp_replace({_fixed_sql(f'abs({x}) / {u}', 1)}, '[.]0$', '')"
+        cases = " ".join(f"WHEN abs({x}) >= {least} THEN {part(u)} || '{mark}'" for least, u, mark in units)
+        return f"CASE WHEN {x} < 0 THEN '-$' ELSE '$' END || CASE {cases} ELSE {part('1')} END"
     raise ValueError(style)
 
 
@@ -841,10 +857,12 @@ SELECT ProcessingDateKey,
   {_human_sql('CommitmentAmt * 1000', 'chart')} AS ca_chart_big,
   {_human_sql('CommitmentAmt', 'range')} AS ca_range, {_human_sql('Deals', 'range')} AS deals_range,
   {_human_sql('CommitmentAmt', 'usd')} AS ca_usd, {_human_sql('-OutstandingAmt', 'usd')} AS oa_usd_neg,
+  {_human_sql('CommitmentAmt', 'compact')} AS ca_compact, {_human_sql('-OutstandingAmt * 1000', 'compact')} AS oa_compact_neg,
+  {_human_sql('Deals', 'compact')} AS deals_compact,
   {_human_sql('CommitmentAmt / 1000', 'range')} || ' - ' || {_human_sql('CommitmentAmt', 'range')} AS range_label
 FROM tot""")
 def q_human_number(spark, tape):
-    """Compact number styles (table, chart, range, usd)."""
+    """Compact number styles (table, chart, range, usd, compact)."""
     t = S.period_totals(tape)
     c, d, o = F.col("CommitmentAmt"), F.col("Deals"), F.col("OutstandingAmt")
     return t.select("ProcessingDateKey",
@@ -855,6 +873,8 @@ def q_human_number(spark, tape):
                     X.human_number(c * 1000, "chart").alias("ca_chart_big"),
                     X.human_number(c, "range").alias("ca_range"), X.human_number(d, "range").alias("deals_range"),
                     X.human_number(c, "usd").alias("ca_usd"), X.human_number(-o, "usd").alias("oa_usd_neg"),
+                    X.human_number(c, "compact").alias("ca_compact"), X.human_number(-o * 1000, "compact").alias("oa_compact_neg"),
+                    X.human_number(d, "compact").alias("deals_compact"),
                     X.range_label(c / 1000, c).alias("range_label"))
 
 
@@ -880,18 +900,31 @@ def q_percent_text(spark, tape):
 _AS_OF = "2001-09-15"
 
 
-@register("freshness", O.with_tape() + f"""
+def _freshness_sql(where: str) -> str:
+    return O.with_tape() + f"""
 SELECT BankID, latest, CASE WHEN latest IS NULL THEN 'No data'
   WHEN CAST(strptime(CAST(latest AS VARCHAR), '%Y%m%d') AS DATE) >= CAST(DATE '{_AS_OF}' - INTERVAL 1 MONTH AS DATE)
   THEN 'Fresh' ELSE 'Stale' END AS freshness
-FROM (SELECT BankID, MAX(ProcessingDateKey) AS latest FROM tape WHERE LineofBusinessId = '12' GROUP BY BankID) b""")
-def q_freshness(spark, tape):
-    """C11: freshness of each bank's latest SBA period as of a fixed date."""
-    b = tape.filter(F.col("LineofBusinessId") == "12").groupBy("BankID").agg(
-        F.max("ProcessingDateKey").alias("latest"))
+FROM (SELECT BankID, MAX(ProcessingDateKey) AS latest FROM tape WHERE {where} GROUP BY BankID) b"""
+
+
+def _freshness(tape):
+    b = tape.groupBy("BankID").agg(F.max("ProcessingDateKey").alias("latest"))
     return b.select("BankID", "latest", X.freshness(F.col("latest"), _AS_OF).alias("freshness"))
 
 
+@register("freshness", _freshness_sql("TRUE"))
+def q_freshness(spark, tape):
+    """C11: freshness of each bank's latest period as of a fixed date."""
+    return _freshness(tape)
+
+
+@register("freshness_sba", _freshness_sql("LineofBusinessId = '12'"))
+def q_freshness_sba(spark, tape):
+    """C11: freshness of each bank's latest SBA period."""
+    return _freshness(tape.filter(F.col("LineofBusinessId") == "12"))
+
+
 @register("to_amount", O.with_tape() + f"""
 SELECT {', '.join(TIE_BREAK)}, CAST(CommitmentAmt AS DOUBLE) AS ca_lenient,
   CASE WHEN DealLineNumber = 3 THEN NULL ELSE CAST(OutstandingAmt AS DOUBLE) END AS oa_lenient,
@@ -930,8 +963,9 @@ def q_key_text(spark, tape):
 
 
 # ============================================================ reports (E6, E8, E9), cleaning
-_ESSENTIAL = ["ProcessingDateKey", "CommitmentAmt", "OutstandingAmt", "Region", "NAICSGrpName",
-              "LineofBusinessId", "CommitmentSizeGroup", "BankID", "RiskGroupDesc"]
+#: A tape row told apart by its deal keys, with what the filters look at.
+_ESSENTIAL = ["DealOrderKey", "DealLineNumber", "BankID", "ProcessingDateKey", "CurrentMaturityDateKey", "LineofBusinessId",
+              "Region", "RiskGroupDesc", "CommitmentAmt", "OutstandingAmt"]
 
 
 @register("tape_query", O.with_tape() + f"""
@@ -954,45 +988,55 @@ def q_tape_query_lob(spark, tape):
                         sizes=["< $250K", "$250K - $1MM"], risks="Pass", columns=_ESSENTIAL, limit=None)
 
 
-def _report_sql() -> str:
+def _report_sql(source: str, date_format: str, prior_none: str, models: bool) -> str:
     def lab(x, style):
-        d = f"CAST(strptime(CAST({x} AS VARCHAR), '%Y%m%d') AS DATE)"
+        d = f"CAST(strptime(CAST({x} AS VARCHAR), '{date_format}') AS DATE)"
         body = {"long": f"strftime({d}, '%b') || ' ' || CAST(day({d}) AS VARCHAR) || ', ' || CAST(year({d}) AS VARCHAR)",
                 "short": f"strftime({d}, '%b') || ' ' || lpad(CAST(year({d}) % 100 AS VARCHAR), 2, '0')",
                 "month": f"strftime({d}, '%B') || ' ' || CAST(year({d}) AS VARCHAR)"}[style]
-        return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN 'N/A' ELSE {body} END"
-    e2 = O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True) + O.result_select()
-    idx = lambda c: (f"CASE WHEN rn = 1 THEN 100.0 WHEN FIRST_VALUE({c}) OVER w IS NULL OR FIRST_VALUE({c}) OVER w <= 0 "
-                     f"THEN 100.0 ELSE CAST({c} AS DOUBLE) / CAST(FIRST_VALUE({c}) OVER w AS DOUBLE) * 100 END")
-    return f"""SELECT ProcessingDateKey,
-  {lab('ProcessingDateKey', 'long')} AS period, {lab('ProcessingDateKey', 'short')} AS chart_date,
-  {lab('ProcessingDateKey', 'month')} AS chart_full_date,
-  {_human_sql('CommitmentAmt', 'table')} AS commitment, {_human_sql('Deals', 'table')} AS deals,
-  {_human_sql('OutstandingAmt', 'table')} AS outstanding, {lab('ProcessingDateKeyPrior', 'long')} AS prior_period,
-  {_human_sql('CommitmentAmtPrior', 'table')} AS commitment_prior,
-  {_pct_sql('ca_diff')} AS ca_diff_text, {_sign_sql('ca_diff')} AS ca_diff_class,
-  {_pct_sql('oa_diff')} AS oa_diff_text, {_pct_sql('deals_diff')} AS deals_diff_text,
-  {_pct_sql('ca_model_diff')} AS ca_model_text, {_sign_sql('ca_model_diff')} AS ca_model_class,
-  {_pct_sql('oa_model_diff')} AS oa_model_text, {_pct_sql('deals_model_diff')} AS deals_model_text,
-  ca_diff * 100 AS ca_diff_pct, ca_model_diff * 100 AS ca_model_pct,
-  {idx('CommitmentAmt')} AS commitmentIndex, {idx('OutstandingAmt')} AS outstandingIndex,
-  {idx('Deals')} AS dealsIndex
-FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS rn FROM (\n{e2}\n) e) r
+        return f"CASE WHEN {x} IS NULL OR {x} = {prior_none} THEN 'N/A' ELSE {body} END"
+
+    def idx(c):
+        return (f"CASE WHEN rn = 1 THEN 100.0 WHEN FIRST_VALUE({c}) OVER w IS NULL OR FIRST_VALUE({c}) OVER w <= 0 "
+                f"THEN 100.0 ELSE CAST({c} AS DOUBLE) / CAST(FIRST_VALUE({c}) OVER w AS DOUBLE) * 100 END")
+    cols = [f"{lab('ProcessingDateKey', 'long')} AS period", f"{lab('ProcessingDateKey', 'short')} AS chart_date",
+            f"{lab('ProcessingDateKey', 'month')} AS chart_full_date", f"{lab('ProcessingDateKeyPrior', 'long')} AS prior_period"]
+    for col, name in (("CommitmentAmt", "commitment"), ("Deals", "deals"), ("OutstandingAmt", "outstanding")):
+        cols += [f"{_human_sql(col, 'table')} AS {name}", f"{_human_sql(col + 'Prior', 'table')} AS {name}_prior",
+                 f"CAST({col} AS DOUBLE) AS chart_{name}"]
+    for m in ("ca", "oa", "deals"):
+        for col, name, there in ((f"{m}_diff", f"{m}_diff", True), (f"{m}_model_diff", f"{m}_model", models)):
+            v = col if there else "CAST(NULL AS DOUBLE)"
+            cols += [f"{_pct_sql(v)} AS {name}_text", f"{_sign_sql(v)} AS {name}_class", f"{v} * 100 AS {name}_pct"]
+    cols += [f"{idx(c)} AS {n}" for c, n in (("CommitmentAmt", "commitmentIndex"), ("OutstandingAmt", "outstandingIndex"),
+                                             ("Deals", "dealsIndex"))]
+    return f"""SELECT ProcessingDateKey, {', '.join(cols)}
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ProcessingDateKey) AS rn FROM (\n{source}\n) e) r
 WINDOW w AS (ORDER BY ProcessingDateKey)"""
 
 
-@register("report_view", _report_sql(), ("ca_diff_pct", "ca_model_pct", "commitmentIndex", "outstandingIndex",
-                                         "dealsIndex"))
+_REPORT_DBL = tuple([f"{m}{k}_pct" for m in ("ca", "oa", "deals") for k in ("_diff", "_model")]
+                    + ["commitmentIndex", "outstandingIndex", "dealsIndex", "chart_commitment", "chart_deals", "chart_outstanding"])
+
+
+@register("report_view", _report_sql(
+    O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True) + O.result_select(), "%Y%m%d", "0", True), _REPORT_DBL)
 def q_report_view(spark, tape):
     """Formatted report rows + chart series of the capped analysis."""
     return R.report_view(A.capped_vs_uncapped(tape))
 
 
+@register("report_view_tsv", _report_sql(_POP_TSV_SQL, "%Y-%m-%d", "'0'", False), _REPORT_DBL)
+def q_report_view_tsv(spark, tape):
+    """E8 over the monthly series of the TSV path (ISO keys, no model changes)."""
+    return R.report_view(S.pop_change(S.period_totals(tape, deals="bank"), "tsv"))
+
+
 @register("status_panel", O.with_tape() + f"""
 SELECT total_records AS record_count,
   strftime(d, '%b') || ' ' || CAST(year(d) AS VARCHAR) AS latest_period, total_commitment,
-  {_human_sql('total_commitment', 'usd')} AS total_commitment_text,
-  CASE WHEN d IS NULL THEN 'No data' WHEN d >= CAST(DATE '{_AS_OF}' - INTERVAL 1 MONTH AS DATE) THEN 'Fresh'
+  {_human_sql('total_commitment', 'compact')} AS total_commitment_text,
+  CASE WHEN d IS NULL THEN 'No data' WHEN date_trunc('month', d) >= CAST(DATE '{_AS_OF}' - INTERVAL 1 MONTH AS DATE) THEN 'Fresh'
        ELSE 'Stale' END AS freshness
 FROM (SELECT COUNT(*) AS total_records, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
         CAST(strptime(CAST(MAX(ProcessingDateKey) AS VARCHAR), '%Y%m%d') AS DATE) AS d
@@ -1002,23 +1046,25 @@ def q_status_panel(spark, tape):
     return R.status_panel(tape, _AS_OF)
 
 
-_TAPE_COLS = ", ".join(c for c in __import__("ledgerlens.config", fromlist=["TAPE_COLUMNS"]).TAPE_COLUMNS)
+# S2's input: every third deal line has junk in its amount, every fifth line number in a strict integer column, every
+# seventh part no processing date; -1 stands for an open maturity.
+_JUNK = {"CommitmentAmt": ("DealLineNumber % 3 = 0", "12,5 USD"), "size_SortOrder": ("DealLineNumber % 5 = 0", "n/a"),
+         "ProcessingDateKey": ("DealPartKey % 7 = 0", " ")}
 
 
-@register("clean_tape", O.with_tape() + f"\nSELECT {_TAPE_COLS} FROM tape")
+@register("clean_tape", O.with_tape() + "\nSELECT " + ", ".join(
+    "CASE WHEN DealLineNumber % 3 = 0 THEN NULL ELSE CommitmentAmt END AS CommitmentAmt" if c == "CommitmentAmt" else c
+    for c in TAPE_COLUMNS) + " FROM tape WHERE DealLineNumber % 5 <> 0 AND DealPartKey % 7 <> 0")
 def q_clean_tape(spark, tape):
-    """The tape written as text with NULL tokens, junk and -1 maturities,
-    then cleaned back to typed columns."""
-    from ..config import TAPE_COLUMNS
+    """The tape written as text with NULL tokens, junk amounts, bad
+    integers, blank keys and -1 maturities, then cleaned to typed columns."""
     toks = F.element_at(F.array(F.lit("NULL"), F.lit("null"), F.lit("")),
                         (F.col("DealOrderKey") % 3 + 1).cast("int"))
     txt = []
     for c in TAPE_COLUMNS:
-        v = F.col(c).cast("string")
-        if c == "CurrentMaturityDateKey":
-            v = F.when(F.col(c).isNull(), F.lit("-1")).otherwise(v)
-        else:
-            v = F.when(F.col(c).isNull(), toks).otherwise(v)
+        v = F.coalesce(F.col(c).cast("string"), F.lit("-1") if c == "CurrentMaturityDateKey" else toks)
+        if c in _JUNK:
+            v = F.when(F.expr(_JUNK[c][0]), F.lit(_JUNK[c][1])).otherwise(v)
         txt.append(v.alias(c.lower() if c in ("Region", "BankID") else c))
     return FS.clean_tape(tape.select(*txt))
 

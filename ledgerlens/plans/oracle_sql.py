@@ -213,44 +213,43 @@ def _in(col: str, vals) -> str:
     return f"{col} IN ({', '.join(_q(v) for v in vals)})"
 
 
+def _number(v) -> str:
+    """A literal as DuckDB reads it (NULL if it is no number)."""
+    return f"TRY_CAST({_q(v)} AS DOUBLE)"
+
+
+def _day(v) -> str:
+    """The key of the day an ISO text names, NULL if it names none."""
+    return f"CAST(strftime(TRY_CAST(substr({_q('' if v is None else v)}, 1, 10) AS DATE), '%Y%m%d') AS INTEGER)"
+
+
 def spec_sql(spec) -> str:
-    """SQL text of a ``FilterSpec`` (independent of the Spark predicate)."""
-    from ..operators.filters import iso_to_key, lob_id
+    """SQL text of a ``FilterSpec``: labels, numbers and dates are taken apart
+    by DuckDB, so that nothing of the Spark predicates is shared."""
     parts = []
-    sba = []
-    for v in spec.sba:
-        c = str(v).lower()
-        if c == "sba":
-            sba.append("LineofBusinessId = '12'")
-        elif c == "non-sba":
-            sba.append("LineofBusinessId <> '12'")
-    if sba:
-        parts.append("(" + " OR ".join(sba) + ")")
+    sba = {"sba": "LineofBusinessId = '12'", "non-sba": "LineofBusinessId <> '12'"}
+    classes = [sba[str(v).lower()] for v in spec.sba if str(v).lower() in sba]
+    if classes:
+        parts.append("(" + " OR ".join(classes) + ")")
     if spec.lob:
-        parts.append(_in("LineofBusinessId", [lob_id(v) for v in spec.lob]))
+        parts.append("LineofBusinessId IN (" + ", ".join(f"split_part({_q(v)}, ' - ', 1)" for v in spec.lob) + ")")
     for col, vals in (("CommitmentSizeGroup", spec.size_groups), ("RiskGroupDesc", spec.risk_groups),
                       ("BankID", spec.banks), ("Region", spec.regions), ("NAICSGrpName", spec.naics)):
         if vals:
             parts.append(_in(col, vals))
-    rs = [f"(CommitmentAmt >= {float(r.min)!r} AND CommitmentAmt <= {float(r.max)!r})"
-          for r in spec.ranges if r.valid]
-    if rs:
-        parts.append("(" + " OR ".join(rs) + ")")
-    ds = []
+    if spec.ranges:
+        good = [f"COALESCE(trim({_q(r.label)}) <> '' AND {_number(r.min)} < {_number(r.max)}, FALSE)" for r in spec.ranges]
+        hits = [f"({g} AND CAST(CommitmentAmt AS DOUBLE) >= {_number(r.min)} AND CAST(CommitmentAmt AS DOUBLE) <= {_number(r.max)})"
+                for g, r in zip(good, spec.ranges)]
+        parts.append(f"(NOT ({' OR '.join(good)}) OR {' OR '.join(hits)})")
+    tests = {"equals": "=", "greaterthan": ">=", "lessthan": "<="}
     for d in spec.dates:
-        a = iso_to_key(d.startDate)
-        if a is None:
-            continue
-        op = (d.operator or "").lower()
-        if op == "equals":
-            ds.append(f"ProcessingDateKey = {a}")
-        elif op == "greaterthan":
-            ds.append(f"ProcessingDateKey >= {a}")
-        elif op == "lessthan":
-            ds.append(f"ProcessingDateKey <= {a}")
-        elif op == "between" and d.endDate and iso_to_key(d.endDate) is not None:
-            ds.append(f"ProcessingDateKey BETWEEN {a} AND {iso_to_key(d.endDate)}")
-    parts += ds
+        start, op = _day(d.startDate), str(d.operator or "").lower()
+        if op in tests:
+            parts.append(f"({start} IS NULL OR ProcessingDateKey {tests[op]} {start})")
+        elif op == "between":
+            end = _day(d.endDate)
+            parts.append(f"({start} IS NULL OR {end} IS NULL OR ProcessingDateKey BETWEEN {start} AND {end})")
     if spec.residual:
         parts.append(f"NOT (CurrentMaturityDateKey < ProcessingDateKey AND "
                      f"CAST(OutstandingAmt AS DOUBLE) < {float(spec.residual_limit)!r})")

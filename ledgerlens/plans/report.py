@@ -36,56 +36,68 @@ def tape_query(df: DataFrame, region="Rocky Mountain", sba="Non-SBA", lob=None,
 # ------------------------------------------------------------------------ E5
 def bundle_options(df: DataFrame) -> DataFrame:
     """TSV-path filter options: sorted distinct non-NULL values per
-    dimension (line of business by *name*, bank ids as text), one scan."""
+    dimension (line of business by *name*, bank ids as text), one scan; the
+    rows are reduced to distinct combinations before they are unpivoted."""
     dims = (("lineOfBusiness", "LineofBusiness"), ("commitmentSizeGroup", "CommitmentSizeGroup"),
             ("riskGroup", "RiskGroupDesc"), ("bankId", "BankID"), ("region", "Region"),
             ("naicsGrpName", "NAICSGrpName"))
-    parts = [F.struct(F.lit(k).alias("dimension"), F.col(c).cast("string").alias("value")) for k, c in dims]
-    return (df.select(F.inline(F.array(*parts))).filter(F.col("value").isNotNull()).distinct()
-              .orderBy("dimension", "value"))
+    return AG.unpivot_options(df.select(*[c for _, c in dims]).distinct(),
+                              [(k, F.col(c)) for k, c in dims]).orderBy("dimension", "value")
 
 
 def dashboard_bundle(df: DataFrame) -> dict[str, DataFrame]:
-    """E5: options + monthly series (``tsv`` PoP) + summary."""
+    """E5: raw rows + options + monthly series (``tsv`` PoP) + summary."""
     totals = S.period_totals(df, deals="bank")
-    return {"filter_options": bundle_options(df),
+    return {"raw_data": df,
+            "filter_options": bundle_options(df),
             "analytics_data": S.pop_change(totals, "tsv"),
             "summary": AG.bundle_summary(df.filter(F.col(DATE).isNotNull()))}
 
 
 # ------------------------------------------------------------------------ E8
+CHANGES = (("ca_diff", "ca_diff"), ("oa_diff", "oa_diff"), ("deals_diff", "deals_diff"),
+           ("ca_model_diff", "ca_model"), ("oa_model_diff", "oa_model"), ("deals_model_diff", "deals_model"))
+
+
 def report_view(result: DataFrame) -> DataFrame:
-    """Formatted table rows plus chart series for a ``RESULT_SCHEMA`` frame."""
+    """Formatted table rows plus chart series for a ``RESULT_SCHEMA`` frame.
+
+    Also takes the monthly series variants (ISO keys, no model changes): an
+    absent model change shows as missing.  Per change: its text, its sign
+    class and its percentage; per amount: its text, its prior's text and the
+    raw chart value.
+    """
+    for name, _ in CHANGES:
+        if name not in result.columns:
+            result = result.withColumn(name, F.lit(None).cast("double"))
     idx = S.index_100(result)
-    return idx.select(
-        DATE,
+    cols = [
+        F.col(DATE),
         X.date_label(F.col(DATE), "long").alias("period"),
         X.date_label(F.col(DATE), "short").alias("chart_date"),
         X.date_label(F.col(DATE), "month").alias("chart_full_date"),
-        X.human_number("CommitmentAmt", "table").alias("commitment"),
-        X.human_number("Deals", "table").alias("deals"),
-        X.human_number("OutstandingAmt", "table").alias("outstanding"),
-        X.date_label(F.col("ProcessingDateKeyPrior"), "long").alias("prior_period"),
-        X.human_number("CommitmentAmtPrior", "table").alias("commitment_prior"),
-        X.percent_text("ca_diff").alias("ca_diff_text"), X.sign_class("ca_diff").alias("ca_diff_class"),
-        X.percent_text("oa_diff").alias("oa_diff_text"),
-        X.percent_text("deals_diff").alias("deals_diff_text"),
-        X.percent_text("ca_model_diff").alias("ca_model_text"),
-        X.sign_class("ca_model_diff").alias("ca_model_class"),
-        X.percent_text("oa_model_diff").alias("oa_model_text"),
-        X.percent_text("deals_model_diff").alias("deals_model_text"),
-        (F.col("ca_diff") * 100).alias("ca_diff_pct"),
-        (F.col("ca_model_diff") * 100).alias("ca_model_pct"),
-        "commitmentIndex", "outstandingIndex", "dealsIndex")
+        X.date_label(F.col("ProcessingDateKeyPrior"), "long").alias("prior_period")]
+    for col, name in (("CommitmentAmt", "commitment"), ("Deals", "deals"), ("OutstandingAmt", "outstanding")):
+        cols += [X.human_number(col, "table").alias(name), X.human_number(f"{col}Prior", "table").alias(f"{name}_prior"),
+                 F.col(col).cast("double").alias(f"chart_{name}")]
+    for col, name in CHANGES:
+        cols += [X.percent_text(col).alias(f"{name}_text"), X.sign_class(col).alias(f"{name}_class"),
+                 (F.col(col) * 100).alias(f"{name}_pct")]
+    return idx.select(*cols, "commitmentIndex", "outstandingIndex", "dealsIndex")
 
 
 # ------------------------------------------------------------------------ E9
 def status_panel(df: DataFrame, as_of: str) -> DataFrame:
-    """Row count, latest period label, total commitment and freshness."""
+    """Row count, latest period label, total commitment and freshness.
+
+    The panel knows the latest period by its label, a month: freshness takes
+    the first of that month.
+    """
     s = AG.summary_stats(df)
+    month = X.date_to_key(F.trunc(X.key_to_date("latest_date"), "month"))
     return s.select(
         F.col("total_records").alias("record_count"),
         X.date_label(F.col("latest_date"), "month_short").alias("latest_period"),
         F.col("total_commitment"),
-        X.human_number(F.col("total_commitment"), "usd").alias("total_commitment_text"),
-        X.freshness(F.col("latest_date"), as_of).alias("freshness"))
+        X.human_number(F.col("total_commitment"), "compact").alias("total_commitment_text"),
+        X.freshness(month, as_of).alias("freshness"))

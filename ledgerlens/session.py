@@ -20,7 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         # non-interactive runs: skip per-Column Python call-site capture
         # (only used to decorate error messages; halves driver round trips)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
                            "distributed file system) before running ledgerlens analyses")
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
@@ -52,12 +52,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, label: str = "frame") -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and
     read it back: the lineage is cut (one job), the data survives executor

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +15,11 @@ from ..config import TAPE_SCHEMA
 from ..operators import aggregates as AG
 from ..operators import series as S
 
+log = logging.getLogger(__name__)
+
 NULL_TOKENS = ("NULL", "null", "")
+#: Integer columns whose text must be an integer for the row to be kept.
+STRICT = ("size_SortOrder", "tenor_SortOrder", "RelativeValue", "NAICSGrpCode")
 # filter dimensions, most selective-by-use first (row-group clustering)
 SORT_COLUMNS = ("Region", "LineofBusinessId", "CommitmentSizeGroup", "RiskGroupDesc", "BankID")
 
@@ -28,28 +35,40 @@ def read_tape(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 # ------------------------------------------------------------------------ S2
 def clean_tape(raw: DataFrame) -> DataFrame:
-    """NULL tokens -> NULL, numbers parsed leniently (bad -> NULL),
-    maturity ``-1`` -> NULL, ids kept as text, rows without a processing
-    date dropped.  Output follows ``TAPE_SCHEMA`` (missing columns NULL)."""
+    """Typed tape rows from text columns; output follows ``TAPE_SCHEMA``
+    (missing columns NULL).
+
+    NULL tokens become NULL; text is kept as it is (no trimming).  Amounts go
+    straight from text to DECIMAL, so every digit counts.  Dates, amounts and
+    the maturity term are lenient: what is no number is NULL; so is a
+    maturity of ``-1``.  The other integer columns (``STRICT``) are strict: a
+    row in which one of them is no integer is dropped, like a row without a
+    processing date.
+    """
     have = {c.lower(): c for c in raw.columns}
-    cols = []
+    cols, good = [], F.lit(True)
     for f in TAPE_SCHEMA.fields:
         src = have.get(f.name.lower())
         if src is None:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
-        txt = F.trim(F.col(src).cast("string"))
-        txt = F.when(txt.isin(*NULL_TOKENS) | F.col(src).isNull(), F.lit(None).cast("string")).otherwise(txt)
+        txt = F.col(src).cast("string")
+        txt = F.when(~txt.isin(*NULL_TOKENS), txt)
         if isinstance(f.dataType, T.StringType):
             val = txt
         elif isinstance(f.dataType, T.IntegerType):
-            val = txt.try_cast("double").try_cast("int")
+            number = txt.try_cast("decimal(38,6)")
+            if f.name in STRICT:
+                val = F.when(number == F.floor(number), number.try_cast("int"))
+                good &= txt.isNull() | val.isNotNull()
+            else:
+                val = number.try_cast("int")
         else:
-            val = txt.try_cast("double").try_cast(f.dataType)
+            val = txt.try_cast(f.dataType)
         if f.name == "CurrentMaturityDateKey":
-            val = F.when(val == -1, F.lit(None).cast("int")).otherwise(val)
+            val = F.when(val != -1, val)
         cols.append(val.alias(f.name))
-    return raw.select(*cols).filter(F.col("ProcessingDateKey").isNotNull())
+    return raw.where(good).select(*cols).filter(F.col("ProcessingDateKey").isNotNull())
 
 
 # ------------------------------------------------------------------------ S3
@@ -88,13 +107,18 @@ def read_jdbc(spark: SparkSession, url: str, **kw) -> DataFrame:
 
 # ------------------------------------------------------------------------ S4
 def load_tape(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
-    """Primary source with a file fallback; rows tagged ``source``."""
+    """Primary source with a file fallback; rows tagged ``source``.
+
+    Connection and read errors (and an empty primary) lead to the fallback
+    and are logged; any other error is the caller's to see.
+    """
     try:
         df = primary()
         if not df.isEmpty():
             return df.withColumn("source", F.lit("database"))
-    except Exception:  # connection / read errors fall through to the file
-        pass
+        log.warning("the primary source is empty; reading the file instead")
+    except (PySparkException, Py4JJavaError, OSError) as cause:
+        log.warning("the primary source can't be read (%s); reading the file instead", cause)
     return fallback().withColumn("source", F.lit("csv_fallback"))
 
 
@@ -111,7 +135,7 @@ def write_tape(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     statistics let pushed-down filters skip row groups.
     """
     (df.hint("rebalance", "ProcessingDateKey")
-       .sortWithinPartitions(*SORT_COLUMNS)
+       .sortWithinPartitions("ProcessingDateKey", *SORT_COLUMNS)      # month first: the writer keeps this order
        .write.mode(mode).partitionBy("ProcessingDateKey").parquet(path))
 
 
@@ -121,8 +145,9 @@ def read_stored_tape(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------------ S8
 def write_bundle(bundle: dict[str, DataFrame], out_dir: str) -> None:
+    """JSON lines per part, written in parallel (the raw rows are a part)."""
     for name, df in bundle.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{out_dir}/{name}")
+        df.write.mode("overwrite").json(f"{out_dir}/{name}")
 
 
 # ------------------------------------------------------------------------ S11

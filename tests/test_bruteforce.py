@@ -4,72 +4,68 @@ All random panels run as scopes of ONE Spark plan."""
 
 import random
 from decimal import Decimal
+from fractions import Fraction
+from functools import cache
 
 import pytest
 
 from ledgerlens.config import CapConfig
 from ledgerlens.operators import composite as C
 
-LIM, HI, HIH, HBP = 0.5, 0.1, 0.2, 0.5
-LO, LOH = -HI / (1 + HI), -HIH / (1 + HIH)
-
 
 def brute(cells, missing):
-    """cells: {(date, bank): Decimal} -> (limits, chain, composite) dicts."""
-    dates = sorted({d for d, _ in cells})
-    banks = sorted({b for _, b in cells})
-    capped = {}
-    for d in dates:
-        present = {b: cells[(d, b)] for b in banks if (d, b) in cells}
-        s = float(sum(present.values()))
-        perc = {b: (float(a) / s if s != 0 else None) for b, a in present.items()}
-        ps = [p for p in perc.values() if p is not None]
-        mx = max(ps) if ps else None
-        for b, a in present.items():
-            if mx is not None and LIM < mx < 1.0:
-                capped[(d, b)] = s * LIM if perc[b] == mx else (1 - LIM) * float(a) / (1 - mx)
-            else:
-                capped[(d, b)] = float(a)
-    n = len(dates)
-    vals = {b: [capped.get((d, b)) for d in dates] for b in banks}
-    raw = {b: [None] + [(v[i] / v[i - 1] - 1) if v[i] is not None and v[i - 1] is not None and v[i - 1] != 0
-                        else None for i in range(1, n)] for b, v in vals.items()}
-    lim = []
-    for i in range(n):
-        valid = [raw[b][i] for b in banks if raw[b][i] is not None]
-        if missing == "exclude":
-            actual, nhi = len(valid), sum(r > HI for r in valid)
-        else:
-            actual, nhi = len(banks), sum(r > HI for r in valid) + len(banks) - len(valid)
-        nlo = sum(r < LO for r in valid)
-        phi = 0.0 if actual == 0 else nhi / actual
-        plo = 0.0 if actual == 0 else nlo / actual
-        lim.append((HIH if phi >= HBP else HI, LOH if plo >= HBP else LO))
-    mod, inc = {}, {}
-    for b in banks:
-        v = vals[b]
-        m, f = [v[0]], [False]
-        for i in range(1, n):
-            prev, cur = m[i - 1], v[i]
-            if prev is None or cur is None or prev == 0:
-                m.append(cur)
-                f.append(False)
-            else:
-                c = max(min(cur / prev - 1, lim[i][0]), lim[i][1])
-                m.append(prev * (1 + c))
-                f.append(True)
-        mod[b], inc[b] = m, f
-    comp = [None]
-    for i in range(1, n):
-        if missing == "nan" and any(vals[b][i] is None or vals[b][i - 1] is None for b in banks):
-            comp.append(None)
-            continue
-        cs = [mod[b][i] for b in banks if inc[b][i]]
-        ps = [mod[b][i - 1] for b in banks if inc[b][i]]
-        curr, prior = sum(cs), sum(ps)
-        comp.append(None if not cs or prior == 0 else curr / prior - 1)
-    chain = {(dates[i], b): (mod[b][i], inc[b][i]) for b in banks for i in range(n) if vals[b][i] is not None}
-    return ({dates[i]: lim[i] for i in range(n)}, chain, {dates[i]: comp[i] for i in range(n)})
+    """The definitions in exact fractions, each value asked for by period and
+    bank: {(date, bank): Decimal} -> (limits, chain, composite) dicts."""
+    dates, banks = sorted({d for d, _ in cells}), sorted({b for _, b in cells})
+    before = dict(zip(dates[1:], dates))
+    one, cap = Fraction(1), Fraction(1, 2)
+    high, low = (Fraction(1, 10), Fraction(1, 5)), (Fraction(-1, 11), Fraction(-1, 6))     # usual, wide
+
+    @cache
+    def capped(d, b):
+        amounts = {x: Fraction(cells[d, x]) for x in banks if (d, x) in cells}
+        total = sum(amounts.values())
+        top = max(amounts.values()) / total if total else None
+        if b not in amounts or top is None or not cap < top < one:
+            return amounts.get(b)
+        return total * cap if amounts[b] / total == top else amounts[b] * (one - cap) / (one - top)
+
+    @cache
+    def change(d, b):
+        new, old = capped(d, b), capped(before[d], b) if d in before else None
+        return None if new is None or not old else new / old - 1
+
+    @cache
+    def limits(d):
+        known = [c for c in (change(d, b) for b in banks) if c is not None]
+        absent = len(banks) - len(known) if missing == "nan" else 0
+        counted = len(known) + absent
+        up, down = sum(c > high[0] for c in known) + absent, sum(c < low[0] for c in known)
+        return high[2 * up >= counted > 0], low[2 * down >= counted > 0]
+
+    @cache
+    def clamped(d, b):
+        """Value of a bank's chain; it starts anew where it has no predecessor."""
+        if not included(d, b):
+            return capped(d, b)
+        top, bottom = limits(d)
+        old = clamped(before[d], b)
+        return old * (one + sorted((bottom, capped(d, b) / old - 1, top))[1])
+
+    @cache
+    def included(d, b):
+        return capped(d, b) is not None and d in before and bool(clamped(before[d], b))
+
+    def composite(d):
+        members = [b for b in banks if included(d, b)]
+        gap = any(capped(x, b) is None for x in (d, before.get(d)) for b in banks) if d in before else True
+        prior = sum(clamped(before[d], b) for b in members)
+        if not prior or (missing == "nan" and gap):
+            return None
+        return float(sum(clamped(d, b) for b in members) / prior - 1)
+
+    chain = {(d, b): (float(clamped(d, b)), included(d, b)) for d, b in cells}
+    return ({d: tuple(map(float, limits(d))) for d in dates}, chain, {d: composite(d) for d in dates})
 
 
 def panels(k=40):

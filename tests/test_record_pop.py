@@ -1,11 +1,10 @@
-"""W13 record-level change across many (partly empty) range partitions
-against a sequential pass."""
+"""W13 record-level change across many ranges against a sequential pass."""
 
 import random
 
 import pytest
 
-from ledgerlens.operators.series import record_pop
+from ledgerlens.operators.series import attach_by_position, join_prior, positions, record_pop, with_ranges
 
 
 def brute(rows):
@@ -23,13 +22,13 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 7, 64])
-def test_record_pop_matches_sequential(spark, parts):
-    rnd = random.Random(parts)
+@pytest.mark.parametrize("size", [1000, 40, 3])
+def test_record_pop_matches_sequential(spark, size):
+    rnd = random.Random(size)
     rows = [(rnd.choice([1, 2, 2, 2, 3]), i, rnd.choice([None, 0.0, 5.0, 10.0, rnd.uniform(1, 100)]))
             for i in range(300)]                      # key 2 is a hot group
     df = spark.createDataFrame(rows, "k1 int, k2 int, x double")
-    got = {(r["k1"], r["k2"]): r["x_perc_diff"] for r in record_pop(df, ["k1", "k2"], ["x"], parts).collect()}
+    got = {(r["k1"], r["k2"]): r["x_perc_diff"] for r in record_pop(df, ["k1", "k2"], ["x"], size).collect()}
     want = brute(rows)
     assert set(got) == set(want)
     for k, w in want.items():
@@ -37,3 +36,32 @@ def test_record_pop_matches_sequential(spark, parts):
         assert (g is None) == (w is None), k
         if w is not None:
             assert g == pytest.approx(w, rel=1e-12, abs=1e-12), k
+
+
+def test_hot_period_is_split(spark):
+    rows = [(1 if i % 3 else 2, i, float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k1 int, k2 int, x double")
+    sizes = [r["count"] for r in with_ranges(df, ["k1", "k2"], 50).groupBy("_range").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 120
+
+
+def test_positions_of_a_record_level_series(spark):
+    rows = [(1 if i % 3 else 2, (i * 37) % 600) for i in range(600)]
+    got = {(r["k1"], r["k2"]): r["_pos"] for r in
+           positions(spark.createDataFrame(rows, "k1 int, k2 int"), ["k1", "k2"]).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(rows))}
+
+
+def test_attach_pads_and_cuts(spark):
+    left = spark.createDataFrame([(10,), (20,), (30,)], "d int")
+    short = spark.createDataFrame([(5, "a"), (7, "b")], "s int, v string")
+    got = [(r["d"], r["v"]) for r in attach_by_position(left, "d", short, "s", ["v"]).orderBy("d").collect()]
+    assert got == [(10, "a"), (20, "b"), (30, None)]
+    got = [(r["s"], r["d"]) for r in attach_by_position(short, "s", left, "d", ["d"]).orderBy("s").collect()]
+    assert got == [(5, 10), (7, 20)]
+
+
+def test_join_prior_keeps_the_scope_of_first_periods(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), (None, 1, 7)], "g string, ProcessingDateKey int, x int")
+    got = sorted(((r["g"], r["ProcessingDateKey"], r["xPrior"]) for r in join_prior(df, ["g"], metrics=["x"]).collect()), key=str)
+    assert got == sorted([("a", 1, None), ("a", 2, 5), (None, 1, None)], key=str)
