@@ -43,6 +43,7 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 24
 STAR_ROUNDS = 2
 BLOCK = 256
+SENT_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(0, 2**63, SYMBOLS, dtype=U64) * U64(2) + U64(1)
@@ -181,8 +182,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the full sets of the documents in ``ids``, stored."""
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """(doc_id, shingles): the full sets of the documents in ``ids``, stored.
+
+    Up to SENT_IDS ids (16 MB) go to the texts; more ids meet them in a join.
+    """
+    ids = materialize(ids, "ids")
+    wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
 
@@ -210,24 +216,29 @@ def _sizes_allow(a: str, b: str):
 def _exhaust(docs: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
     """All links between different groups that share a bucket.
 
-    Every member of a bucket with two groups or more goes to one block of
-    about BLOCK members of its largest such bucket, the bucket's main group
-    apart from the others; blocks that meet in a bucket are compared, unless
-    both hold nothing but one and the same group.
+    Every member of a bucket with two groups or more goes to a block of about
+    BLOCK members that share the smallest member of their largest such bucket,
+    that bucket's main group apart from the others; blocks that meet in a
+    bucket are compared, unless both hold nothing but one and the same group.
     """
-    by_comp = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    apart = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps"))
-             .where("comps > 1").select("key", F.col("top.comp").alias("main"), "total"))
+    by_comp = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("low"))
+    apart = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.min("low").alias("hub"), F.count("*").alias("comps"))
+             .where("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.n").alias("most"), "hub"))
     open_rows = materialize(grouped.join(apart, "key"), "open")
-    home = (open_rows.groupBy("rep", "comp").agg(F.max(F.struct("total", "key", "main")).alias("home"))
-            .select("rep", "comp", F.xxhash64("home.key", F.col("comp") == F.col("home.main"),
-                                              F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.total") / BLOCK))).alias("block")))
-    home = materialize(home.join(sig, "rep"), "home")
-    where = open_rows.select("key", "rep").join(home.select("rep", "block", "comp"), "rep")
-    meets = where.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pairs = (meets.join(meets.toDF("key", "block_b", "lo_b", "hi_b"), "key")
-             .where("block <= block_b and (lo <> lo_b or hi <> hi_b or lo <> hi)")
-             .select("block", "block_b").distinct().withColumn("pair", F.xxhash64("block", "block_b")))
+    home = (open_rows.groupBy("rep", "comp").agg(F.max(F.struct("most", -F.col("hub"), "main")).alias("home"))
+            .select("rep", "comp", (-F.col("home.col2")).alias("hub"), (F.col("comp") == F.col("home.main")).alias("is_main")))
+    count = home.groupBy("hub", "is_main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    home = materialize(home.join(count, ["hub", "is_main"]).join(sig, "rep").select(
+        "rep", "comp", "n", "sig", F.xxhash64("hub", "is_main", F.pmod(F.xxhash64("rep"), "blocks")).alias("block")), "home")
+    # the blocks that meet in a bucket; many buckets hold the same blocks
+    lists = (open_rows.select("key", "rep").join(home.select("rep", "block"), "rep")
+             .groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct())
+    pairs = (lists.select("blocks", F.posexplode("blocks").alias("at", "block"))
+             .select("block", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("block_b")).distinct())
+    span = home.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    pairs = (pairs.join(span, "block").join(span.toDF("block_b", "lo_b", "hi_b"), "block_b")
+             .where("lo <> lo_b or hi <> hi_b or lo <> hi")
+             .select("block", "block_b", F.xxhash64("block", "block_b").alias("pair")))
     sides = pairs.select("pair", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), "block"),
         F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("s"), (F.col("block") == F.col("block_b")).alias("same"))
