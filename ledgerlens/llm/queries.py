@@ -17,6 +17,7 @@ from .language_id import language_id
 from .licenses import license_scan
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .oracles import mixing_sql, revisits_sql
 from .packing import pack
 from .quality import quality
 from .quality_rules import quality_rules
@@ -95,4 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others learn models, search by MinHash or use hashes that SQL lacks.
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing_sql(MIX_SHARE, MIX_EPOCHS),
+    "op6_revisits": revisits_sql(),
+}
