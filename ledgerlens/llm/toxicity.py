@@ -1,7 +1,7 @@
 """Operator 10: toxicity by weak supervision.
 
-1. Terms: a text's letter words, and the 4- and 5-letter beginnings of its
-   longer words.  Over a sample of labelled documents Spark counts in how
+1. Terms: a text's letter words, and the 4-letter beginnings of its longer
+   words.  Over a sample of labelled documents Spark counts in how
    many toxic and clean documents each term occurs.
 2. Voters: the terms that point to toxicity are dealt to ``LEXICONS``
    lexicons, by strength; beside them stand a fixed word list and patterns
@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,43 +48,41 @@ _ADDRESS = {"you", "your", "youre", "this", "these", "such", "du", "tu", "vous",
 _SHOUT = re.compile(r"[A-Z]{4,}")
 
 
-def terms_of(words: list[str]) -> set[str]:
+def terms_of(text: str | None) -> set[str]:
     """Distinct words, and beginnings (marked ``*``) of words of six letters or more."""
-    distinct = set(words)
-    for w in list(distinct):
-        if len(w) > 5:
-            distinct.add(w[:4] + "*")
-            distinct.add(w[:5] + "*")
-    return distinct
+    parts = set(text.lower().split()) if text else set()
+    words = {w for w in parts if w.isalpha()}
+    if len(words) < len(parts):
+        words.update(words_of(" ".join(parts - words)))
+    words.update([w[:4] + "*" for w in words if len(w) > 5])
+    return words
 
 
 @dataclass
 class Voters:
     lexicons: list[frozenset[str]] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.known = frozenset().union(INSULTS, *self.lexicons)
+
     def __len__(self) -> int:
         return len(self.lexicons) + 4
 
     def votes(self, text: str) -> int:
         """Bit i is set if voter i fires."""
-        words = words_of(text)
-        terms = terms_of(words)
-        bits = 0
-        for i, lexicon in enumerate(self.lexicons):
-            if not lexicon.isdisjoint(terms):
-                bits |= 1 << i
-        at, known = len(self.lexicons), frozenset().union(INSULTS, *self.lexicons)
-        hits = terms & known
+        hits = self.known & terms_of(text)
         if not hits:
-            return bits
-        listed = sum(w in known for w in words)
-        if not terms.isdisjoint(INSULTS):
+            return 0
+        bits = sum(1 << i for i, lexicon in enumerate(self.lexicons) if not lexicon.isdisjoint(hits))
+        at, words = len(self.lexicons), words_of(text)
+        listed = [w in hits for w in words]
+        if not hits.isdisjoint(INSULTS):
             bits |= 1 << at
-        if any(w in known and (words[i - 1] in _ADDRESS if i else False) for i, w in enumerate(words)):
+        if any(x and words[i - 1] in _ADDRESS for i, x in enumerate(listed) if i):
             bits |= 1 << at + 1
-        if any(w.lower() in known for w in _SHOUT.findall(text)):
+        if any(w.lower() in hits for w in _SHOUT.findall(text)):
             bits |= 1 << at + 2
-        if listed > 1:
+        if sum(listed) > 1:
             bits |= 1 << at + 3
         return bits
 
@@ -149,7 +148,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for weight, text in zip(batch.column("weight").to_pylist(), batch.column("text"), strict=True):
-            for term in terms_of(words_of(text.as_py())):
+            for term in terms_of(text.as_py()):
                 found[0][term] += 1
                 found[1][term] += weight
         names = list(found[0])
@@ -197,7 +196,7 @@ def _vote(voters: Voters):
 def _ones(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(vocabulary[t] for t in terms_of(words_of(x.as_py())) if t in vocabulary) for x in batch.column("text")]
+            found = [sorted(vocabulary[t] for t in vocabulary.keys() & terms_of(x.as_py())) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("post"), pa.array(found, pa.list_(pa.int32()))], names=["post", "ones"])
     return run
 
@@ -249,10 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _score(model: Model):
     weights, bias = model.vocabulary, model.bias
+    known = frozenset(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = [sum([weights[t] for t in terms_of(words_of(x.as_py())) if t in weights], bias) for x in batch.column("text")]
+            margin = [bias + math.fsum(weights[t] for t in known & terms_of(x.as_py())) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sigmoid(np.array(margin, float)), pa.float64())], names=["doc_id", "score"])
     return run
