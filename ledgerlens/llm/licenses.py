@@ -108,31 +108,42 @@ def build(templates=TEMPLATES, seed: int = 8) -> Index:
         classes.setdefault(1 << (len(s) - 1).bit_length(), []).append(k)
     bands = max((bands_of(c) for c in classes), default=1)
     rng = np.random.default_rng(seed)
-    mult = rng.integers(0, 2**63, bands, dtype=U64) * U64(2) + U64(1)
-    flip = rng.integers(0, 2**63, bands, dtype=U64)
-    lows = np.array([((s[:, None] ^ flip) * mult).min(axis=0) for s in sets], dtype=U64).reshape(-1, bands)
+    mult = rng.integers(0, 2**31, bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    flip = rng.integers(0, 2**32, bands, dtype=np.uint32)
+    lows = np.array([_hashed(s, mult, flip).min(axis=0) for s in sets], dtype=np.uint32).reshape(-1, bands)
     return Index([(a, b) for a, b, _ in templates], sets, classes, lows, mult, flip)
 
 
+def _hashed(shingles: np.ndarray, mult: np.ndarray, flip: np.ndarray) -> np.ndarray:
+    """Band values (shingles x bands) from the hashes' upper halves."""
+    return ((shingles >> U64(32)).astype(np.uint32)[:, None] ^ flip) * mult
+
+
+def _halved(blocks: np.ndarray) -> np.ndarray:
+    """Minima of neighbouring blocks, two by two."""
+    if len(blocks) % 2:
+        blocks = np.concatenate([blocks, blocks[-1:]])
+    return np.minimum(blocks[::2], blocks[1::2])
+
+
 def _windows(index: Index, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(template, lo, hi): windows that share a band with the template."""
-    hashed = (shingles[:, None] ^ index.flip) * index.mult
-    for c, members in index.classes.items():
+    blocks, size = _hashed(shingles, index.mult, index.flip), 1
+    for c, members in sorted(index.classes.items()):
         (length, step), bands = window_of(c), bands_of(c)
-        lows, own = index.lows[:, :bands], hashed[:, :bands]
-        blocks = np.minimum.reduceat(own, np.arange(0, len(own), step), axis=0) if step > 1 else own
-        span = length // step
+        while size < step:
+            blocks, size = _halved(blocks), 2 * size
+        lows, span = index.lows[:, :bands], length // step
         count = max(1, len(blocks) - span + 1)
-        low = blocks[:count].copy()
+        low = blocks[:count, :bands]
         for k in range(1, min(span, len(blocks))):
-            np.minimum(low, blocks[k:k + count], out=low)
-        # most windows go at a glance at their minima's last 16 bits
-        glance = np.zeros(1 << 16, dtype=bool)
-        glance[lows[members] & U64(0xFFFF)] = True
-        some = np.flatnonzero(glance[low & U64(0xFFFF)].any(axis=1))
+            low = np.minimum(low, blocks[k:k + count, :bands])
+        low = np.ascontiguousarray(low)
         for t in members:
-            for w in some[(low[some] == lows[t]).any(axis=1)]:
-                yield t, int(w) * step, min(len(shingles), int(w) * step + length)
+            same = low == lows[t]
+            if same.any():
+                for w in np.flatnonzero(same.any(axis=1)):
+                    yield t, int(w) * step, min(len(shingles), int(w) * step + length)
 
 
 def scan(index: Index, shingles: np.ndarray) -> dict[int, tuple[float, list[tuple[int, int]]]]:
