@@ -9,8 +9,8 @@ Phases (all timed, wall clock):
             row-level ones).  The set runs twice: the first pass is reported
             as ``cold_queries`` (first use of each code path in this JVM),
             the second as ``queries``; ``value`` is the sum of the second.
-            Nothing is cached between passes - every run rebuilds its plan,
-            rescans the tape and rewrites its intermediate table.
+            Nothing is cached between passes - every run rebuilds its plan
+            and rescans the tape.
   flagship_from_tables - the flagship again, straight from the raw tables.
 Prints ONE JSON line.
 """
@@ -69,6 +69,7 @@ def main():
         ("capped_vs_uncapped_sba_nan", lambda: A.capped_vs_uncapped(
             tape, FilterSpec.of(sba=["SBA"]), A.CapConfig(missing="nan")), "collect"),
         ("run_templates_8", lambda: TP.run_templates(tape), "collect"),
+        ("run_custom", lambda: TP.run_custom(tape, {"sba_classification": "Non-SBA", "region": ["Rocky Mountain"]}), "collect"),
         ("cap_sensitivity_3", lambda: A.cap_sensitivity(tape, (0.05, 0.1, 0.2)), "collect"),
         ("detail_query_top1000", lambda: AG.detail_query(tape, spec_dq, 1000, TIE_BREAK), "collect"),
         ("grouped_query_top500", lambda: AG.grouped_query(tape, spec_gq, 500), "collect"),

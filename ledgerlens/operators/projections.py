@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SBA_LOB_ID, TAPE_COLUMNS
 
+# --- fixed values: the detail projection and the columns every result must hold ---
 DETAIL_COLUMNS = [
     "ProcessingDateKey", "CommitmentAmt", "OutstandingAmt", "Region", "NAICSGrpName",
     "CommitmentSizeGroup", "RiskGroupDesc", "LineofBusinessId", "LineofBusiness",
@@ -14,6 +15,7 @@ DETAIL_COLUMNS = [
 ]
 
 REQUIRED = ["ProcessingDateKey", "BankID", "CommitmentAmt", "OutstandingAmt"]
+# ------------------------------------------------------------------------------------
 
 
 def _resolve(df: DataFrame, name: str) -> str:

@@ -409,12 +409,24 @@ _filter_query("filter_contradiction", FilterSpec.of(sba=["SBA"], lob=["1", "2"])
               "SBA with non-SBA ids: empty by construction.")
 
 
-@register("filter_nonblank", _detail_sql(
-    "RiskGroupDesc IS NOT NULL AND RiskGroupDesc <> 'NULL' AND trim(RiskGroupDesc) <> '' AND "
-    "CommitmentSizeGroup IS NOT NULL AND CommitmentSizeGroup <> 'NULL' AND trim(CommitmentSizeGroup) <> ''"))
+# F9's input: some of the tape's risk groups made blank, NULL or the text 'NULL', by line number.
+_BLANKS = ((2, "'  '"), (3, "NULL"), (4, "'NULL'"))
+_BLANKED_SQL = ("SELECT * REPLACE (CASE " + " ".join(f"WHEN DealLineNumber = {n} THEN {v}" for n, v in _BLANKS)
+                + " ELSE RiskGroupDesc END AS RiskGroupDesc) FROM tape")
+
+
+def _blanked(tape):
+    v = F.col("RiskGroupDesc")
+    for n, text in _BLANKS:
+        v = F.when(F.col("DealLineNumber") == n, F.expr(f"CAST({text} AS STRING)")).otherwise(v)
+    return tape.withColumn("RiskGroupDesc", v)
+
+
+@register("filter_nonblank", O.with_tape(f"blanked AS ({_BLANKED_SQL})") + f"""
+SELECT {_DETAIL} FROM blanked WHERE trim(coalesce(RiskGroupDesc, '')) NOT IN ('', 'NULL')""")
 def q_filter_nonblank(spark, tape):
-    """non-blank dimension values."""
-    return P.detail_columns(tape.filter(FL.nonblank("RiskGroupDesc") & FL.nonblank("CommitmentSizeGroup")))
+    """non-blank dimension values (blanks derived from the line number)."""
+    return P.detail_columns(_blanked(tape).filter(FL.nonblank("RiskGroupDesc")))
 
 
 @register("has_amount", _detail_sql("CommitmentAmt IS NOT NULL"))
@@ -444,11 +456,10 @@ def q_with_sba(spark, tape):
     return P.with_sba(P.detail_columns(tape))
 
 
-@register("canonicalise", O.with_tape() + "\nSELECT ProcessingDateKey, BankID, CommitmentAmt FROM tape")
+@register("canonicalise", O.with_tape() + f"\nSELECT {', '.join(TAPE_COLUMNS)} FROM tape")
 def q_canonicalise(spark, tape):
-    """P5: lower-case database names mapped back to canonical names."""
-    low = tape.select(*[F.col(c).alias(c.lower()) for c in ("ProcessingDateKey", "BankID", "CommitmentAmt")])
-    return P.canonicalise(low)
+    """P5: lower-case database names of all columns mapped back to canonical names."""
+    return P.canonicalise(tape.select(*[F.col(c).alias(c.lower()) for c in TAPE_COLUMNS]))
 
 
 @register("csv_composites", O.with_tape(_TOT_A2) + "\nSELECT ProcessingDateKey, CommitmentAmt AS ca, "
@@ -499,12 +510,19 @@ def q_analytics_summary(spark, tape):
     return AG.analytics_summary(tape)
 
 
-@register("distinct_values", O.with_tape() + """
-SELECT DISTINCT Region FROM tape
-WHERE Region IS NOT NULL AND Region <> 'NULL' AND trim(Region) <> '' ORDER BY Region""")
+@register("distinct_values", O.with_tape(f"blanked AS ({_BLANKED_SQL})") + """
+SELECT DISTINCT RiskGroupDesc FROM blanked
+WHERE trim(coalesce(RiskGroupDesc, '')) NOT IN ('', 'NULL') ORDER BY RiskGroupDesc""")
 def q_distinct_values(spark, tape):
-    """Distinct regions (strict form)."""
-    return AG.distinct_values(tape, "Region")
+    """Distinct risk groups, strict form (no blanks, no 'NULL')."""
+    return AG.distinct_values(_blanked(tape), "RiskGroupDesc")
+
+
+@register("distinct_values_lenient", O.with_tape(f"blanked AS ({_BLANKED_SQL})") + """
+SELECT DISTINCT RiskGroupDesc FROM blanked WHERE RiskGroupDesc IS NOT NULL ORDER BY RiskGroupDesc""")
+def q_distinct_values_lenient(spark, tape):
+    """Distinct risk groups, lenient form (only NULLs dropped)."""
+    return AG.distinct_values(_blanked(tape), "RiskGroupDesc", strict=False)
 
 
 @register("lob_options", O.with_tape() + """
@@ -710,7 +728,7 @@ def _results_table_sql() -> str:
     return f"""SELECT m.template_name, strptime('{_RUN_TS}', '%Y%m%d_%H%M%S') AS run_timestamp, m.filter_params,
   CAST(r.ProcessingDateKey AS BIGINT) AS processingdatekey,
   CAST(r.CommitmentAmt AS DECIMAL(20,2)) AS commitmentamt, CAST(r.OutstandingAmt AS DECIMAL(20,2)) AS outstandingamt,
-  CAST(r.Deals AS INTEGER) AS deals, {ratio('ca_diff')}, {ratio('oa_diff')}, {ratio('deals_diff')},
+  CAST(r.Deals AS BIGINT) AS deals, {ratio('ca_diff')}, {ratio('oa_diff')}, {ratio('deals_diff')},
   {ratio('ca_model_diff')}, {ratio('oa_model_diff')}, {ratio('deals_model_diff')}
 FROM (\n{_E3_SQL}\n) r JOIN (VALUES {vals}) m(template_id, template_name, filter_params)
   ON r.template_id = m.template_id"""

@@ -1,13 +1,16 @@
 """Invariants on the driver tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ledgerlens.config import CapConfig
 from ledgerlens.operators import composite as C
 from ledgerlens.operators.filters import FilterSpec
 from ledgerlens.plans import templates as TP
-from ledgerlens.plans.analysis import capped_vs_uncapped
+from ledgerlens.plans.analysis import cap_sensitivity, capped_vs_uncapped
 from ledgerlens.sources.tape import tape_from_tables
 
 
@@ -86,3 +89,30 @@ def test_empty_selection(spark, tape):
     none = FilterSpec.of(sba=["SBA"], lob=["1", "2"])
     assert capped_vs_uncapped(tape, none).count() == 0
     assert TP.run_custom(tape, {"sba_classification": "SBA", "line_of_business_ids": ["1"]}).count() == 0
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_composite_spreads_over_dates_and_banks_in_one_scan(spark, tmp_path):
+    """One scan of the rows; every exchange of the panel has a date or a bank in its key."""
+    rows = [(d, f"b{b}", float(b * d % 97)) for d in range(1, 7) for b in range(300)]
+    path = str(tmp_path / "tape")
+    spark.createDataFrame(rows, "ProcessingDateKey int, BankID string, x double").selectExpr(
+        "ProcessingDateKey", "BankID", "cast(x as decimal(18,2)) as CommitmentAmt", "cast(x as decimal(18,2)) as OutstandingAmt"
+    ).write.parquet(path)
+    tape = spark.read.parquet(path)
+    for df in (capped_vs_uncapped(tape), capped_vs_uncapped(tape, None, CapConfig(missing="nan")), cap_sensitivity(tape, (0.05, 0.1))):
+        plan = _final_plan(df)
+        assert plan.count("FileScan parquet") == 1
+        for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan):
+            assert "ProcessingDateKey" in keys or "PrevDateKey" in keys or "BankID" in keys, keys
+
+
+def test_building_a_plan_runs_nothing(spark, tmp_path):
+    tape = spark.range(1).selectExpr("raise_error('evaluated') as BankID", "1 as ProcessingDateKey",
+                                     "cast(1 as decimal(18,2)) as CommitmentAmt", "cast(1 as decimal(18,2)) as OutstandingAmt")
+    capped_vs_uncapped(tape)
+    cap_sensitivity(tape, (0.1,))
