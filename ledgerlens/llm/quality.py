@@ -163,12 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """
     marks = (labels.where("quality in (0, 1)").groupBy("doc_id")
              .agg(F.min(F.col("quality").cast("int")).alias("quality")))
-    joined = docs.select("doc_id", "text", "lang", "source").join(marks, "doc_id", "left")
-    counts = {r["quality"]: r["n"] for r in joined.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    marked = docs.select("doc_id").distinct().join(marks, "doc_id")
+    counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    rows = sampled(joined.where("quality is not null"), "quality", LABELLED, 9).unionByName(
-        sampled(joined.where("quality is null").withColumn("free", F.lit(1)), "free", UNLABELLED, 9).drop("free"))
+    docs = docs.select("doc_id", "text", "lang", "source")
+    # the sampled ids (about LABELLED per class) go to the texts, which stay where they are
+    rows = docs.join(F.broadcast(sampled(marked, "quality", LABELLED, 9)), "doc_id").unionByName(
+        sampled(docs.withColumn("free", F.lit(1)), "free", UNLABELLED, 10).drop("free")
+        .join(marks, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")))
     sample = (rows.select(F.coalesce("quality", F.lit(-1)).alias("quality"), "text", "lang", "source", "doc_id")
               .select("quality", "text", "lang", "source")
               .mapInArrow(_features, "quality int, text_ones array<int>, page_ones array<int>").toPandas())
