@@ -189,7 +189,7 @@ def _vote(voters: Voters):
         for batch in batches:
             votes = [voters.votes(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(votes, pa.int64())], names=["doc_id", "toxic", "votes"])
+                [batch.column("doc_id"), pa.array(votes, pa.int64())], names=["doc_id", "votes"])
     return run
 
 
@@ -218,10 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     train = docs.where(~held_out()).select("doc_id", "text").where("text is not null")
     marks = (labels.where(~held_out()).where("toxic in (0, 1)").groupBy("doc_id")
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    known = train.join(marks, "doc_id")
-    voters = mine_voters(sampled(known, "toxic", LABELLED, 10))
-    voted = materialize(train.join(marks, "doc_id", "left").select("doc_id", "text", "toxic")
-                        .mapInArrow(_vote(voters), "doc_id long, toxic int, votes long"), "votes")
+    # sampled ids (about LABELLED per class, TRAINED per side) go to the texts, which stay where they are
+    known = train.join(F.broadcast(sampled(marks, "toxic", LABELLED, 10)), "doc_id")
+    voters = mine_voters(known)
+    votes = train.mapInArrow(_vote(voters), "doc_id long, votes long")
+    voted = materialize(votes.join(marks, "doc_id", "left"), "votes")
     seen = (voted.groupBy("votes").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"),
                                        F.count_if(F.col("toxic") == 0).alias("clean")).orderBy("votes").collect())
     columns = [np.array([r[c] for r in seen], np.int64) for c in ("votes", "n", "toxic", "clean")]
@@ -231,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(voters, model, {}, float(np.log(model.prior / (1 - model.prior))))
     table = docs.sparkSession.createDataFrame([(int(v), float(p)) for v, p in zip(columns[0], post, strict=True)], "votes long, post double")
     chosen = sampled(voted.join(F.broadcast(table), "votes").withColumn("side", F.col("post") > 0.5), "side", TRAINED, 11)
-    rows = materialize(train.join(chosen.select("doc_id", "post"), "doc_id").select("text", "post"), "posterior")
+    chosen = chosen.groupBy("doc_id").agg(F.max("post").alias("post"))
+    rows = materialize(train.join(F.broadcast(chosen), "doc_id").select("text", "post"), "posterior")
     sums = rows.agg(F.count("*").alias("n"), F.sum("post").alias("toxic")).first()
     strength = _strength(sums["toxic"] or 0.0, sums["n"] - (sums["toxic"] or 0.0))
     kept = (_terms(rows.select("text", F.col("post").alias("weight"))).where("n >= 3").withColumn("strength", strength)
