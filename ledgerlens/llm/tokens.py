@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +18,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _UNEVEN = re.compile(r"\s\s|[^\S \n]")
 _SPECIAL = "<|endoftext|>"
 
@@ -50,7 +51,8 @@ def encoder(path: str | None = None) -> Callable[[str | None], bytes]:
     special: list[Tokenizer] = []
 
     def encode(text: str) -> bytes:
-        return plain.encode_to_numpy(text).astype("<u4").tobytes()
+        found = plain.encode_ordinary(text)
+        return struct.pack(f"<{len(found)}I", *found)
 
     spaced, bare = _Words(encode, " "), _Words(encode, "")
     newline = encode("\n")
@@ -69,10 +71,10 @@ def encoder(path: str | None = None) -> Callable[[str | None], bytes]:
         for n, line in enumerate(text.split("\n")):
             if n:
                 parts.append(newline)
-            words = line.split(" ")
-            if words[0]:
-                parts.append(bare[words[0]])
-            parts.extend([spaced[w] for w in words[1:]])
+            first, *words = line.split(" ")
+            if first:
+                parts.append(bare[first])
+            parts += map(spaced.__getitem__, words)
         return b"".join(parts)
 
     return ids
