@@ -112,3 +112,26 @@ def test_fingerprints_estimate_containment(spark):
 def test_fingerprint_plan_is_native(spark):
     plan = FP.fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def ordinary(rnd, n=60):
+    """Lower-case lines, a capital at the start of each."""
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 8))) for _ in range(6 * n)]
+    return "\n".join(" ".join(words[6 * i:6 * i + 6]).capitalize() for i in range(n))
+
+
+def test_each_statistic_rejects_alone(spark):
+    rnd = random.Random(8)
+    rows = [(i, ordinary(rnd), "en", "s") for i in range(400)]
+    lines = ordinary(rnd).split("\n")
+    odd = {"long words": " ".join(lines).replace(" ", "").lower(), "capitals": "\n".join(lines).upper(),
+           "bars": "\n".join(x.replace(" ", " | ") for x in lines), "equal lines": "\n".join(x + "\nread on" for x in lines),
+           "all lines equal": "\n".join(["Read on here now and then"] * 60)}
+    odd["long words"] = " ".join(odd["long words"][i:i + 24] for i in range(0, 1400, 24))
+    words = ordinary(rnd, 265).split()                            # 19.6 % repeated, the base rule begins at 20 %
+    odd["repeats"] = " ".join(x for i in range(0, 1590, 25) for x in [*words[i:i + 25], *"read on here now and then".split()])
+    rows += [(1000 + k, t, "en", "s") for k, t in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in Q.quality_rules(frame(spark, rows)).collect()}
+    assert {name: got[1000 + k]["kept"] for k, name in enumerate(odd)} == dict.fromkeys(odd, False)
+    assert not any(got[1000 + k]["base_failed"] for k, name in enumerate(odd) if name != "all lines equal")
+    assert sum(got[i]["kept"] for i in range(400)) >= 396
