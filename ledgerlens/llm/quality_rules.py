@@ -99,16 +99,26 @@ def statistics(rows: DataFrame) -> DataFrame:
     })
 
 
-def with_group(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``: language and source, the language, or all, by support."""
-    size = (rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
-    lang = Window.partitionBy("lang")
-    size = size.withColumn("in_lang", F.sum("n").over(lang)).select(
-        F.col("lang").alias("l"), F.col("source").alias("s"),
-        F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("lang", "source")))
-        .when(F.col("in_lang") >= MIN_GROUP, F.to_json(F.struct("lang"))).otherwise(F.lit("all")).alias("grp"))
+def groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per language and source (l, s) its ``grp``: itself, its language or all,
+    the lowest with support; and every grp that its documents belong to and
+    that judges any document, so an estimate rests on its whole group."""
+    key = lambda level, *names: F.to_json(F.struct(F.lit(level).alias("level"), *names))
+    size = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    size = size.withColumn("in_lang", F.sum("n").over(Window.partitionBy("lang")))
+    size = size.withColumns({"own": key("source", "lang", "source"), "whole": key("lang", "lang"), "all": key("all")})
+    size = materialize(size.select(
+        F.col("lang").alias("l"), F.col("source").alias("s"), "own", "whole", "all",
+        F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("in_lang") >= MIN_GROUP, F.col("whole")).otherwise(F.col("all")).alias("grp")),
+        "groups")
+    fed = size.select("l", "s", F.explode(F.array("own", "whole", "all")).alias("grp"))
+    return size.select("l", "s", "grp"), fed.join(size.select("grp").distinct(), "grp", "left_semi")
+
+
+def with_group(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Adds ``grp`` of ``found`` by language and source."""
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
-    return rows.join(size, same, "left").drop("l", "s")
+    return rows.join(found, same, how).drop("l", "s")
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -207,9 +217,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     repeated rows are judged alike; an empty table gives no rows.
     """
     rows = materialize(statistics(base_counts(docs)), "counts")
-    good = materialize(with_group(rows.where("not base_failed").select("lang", "source", "base_failed", *STATS))
-                       .select("grp", *STATS), "statistics")
-    verdict = with_group(rows).join(materialize(robust_estimates(good), "mcd"), "grp", "left") \
+    judges, fed = groups(rows)
+    good = rows.where("not base_failed").select("lang", "source", *STATS)
+    good = materialize(with_group(good, fed, "inner").select("grp", *STATS), "statistics")
+    verdict = with_group(rows, judges, "left").join(materialize(robust_estimates(good), "mcd"), "grp", "left") \
         .withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return verdict.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -135,3 +135,14 @@ def test_each_statistic_rejects_alone(spark):
     assert {name: got[1000 + k]["kept"] for k, name in enumerate(odd)} == dict.fromkeys(odd, False)
     assert not any(got[1000 + k]["base_failed"] for k, name in enumerate(odd) if name != "all lines equal")
     assert sum(got[i]["kept"] for i in range(400)) >= 396
+
+
+def test_small_sources_are_judged_by_the_whole_language_or_corpus(spark):
+    rnd = random.Random(9)
+    bars = lambda: ordinary(rnd).replace(" ", " | ")
+    rows = [(i, ordinary(rnd), "en", "big") for i in range(700)]
+    rows += [(1000, bars(), "en", "lone"), (1001, ordinary(rnd), "en", "lone too"), (1002, bars(), None, "lone"), (1003, bars(), "xx", None)]
+    rows += [(2000 + i, bars(), "en", "spam") for i in range(150)]
+    got = {r["doc_id"]: r["kept"] for r in Q.quality_rules(frame(spark, rows)).collect()}
+    assert {i: k for i, k in got.items() if i >= 1000} == {1000: False, 1001: True, 1002: False, 1003: False} | {2000 + i: False for i in range(150)}
+    assert sum(got[i] for i in range(700)) >= 693
