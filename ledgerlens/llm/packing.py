@@ -5,11 +5,13 @@ full sequences, their first piece taking the remainder.  Pieces are dealt at
 random to shards of about ``SHARD`` documents; each shard is packed on its
 own by bin completion: starting from the best-fit-decreasing solution, a
 depth-first search takes the largest piece left, enumerates the undominated
-fillings of the space beside it (fullest first) and gives up a branch as soon
+fillings of the space beside it (some full ones first, then all by a subset
+search, step by step as they are needed) and gives up a branch as soon
 as the space it wasted exceeds what a solution with the sought number of
 sequences may waste.  The search of a shard ends at the lower bound
-ceil(tokens / capacity), when it is exhausted, or after ``NODES`` steps, with
-the best solution so far.  So a shard wastes less than one sequence more than
+ceil(tokens / capacity), when it is exhausted, or after ``NODES`` steps (bins
+and steps of the subset search) for a sought number of sequences, with the
+best solution so far.  So a shard wastes less than one sequence more than
 the bound in practice, whatever the number of shards.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .tokens import encoder
 CAPACITY = 2048
 SHARD = 4096
 NODES = 3_000
-WIDEST = 12                     # fillings tried at one step
+WIDEST = 12                     # leading fillings, tried before the subset search
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -73,7 +75,7 @@ class _Stock:
                 insort(self.kinds, s)
             self.count[s] += 1
 
-    def largest(self, most: int, taken: tuple[int, ...] = ()) -> int:
+    def largest(self, most: int, taken: Sequence[int] = ()) -> int:
         """The largest size up to ``most`` that is left beside ``taken`` (0: none)."""
         at = bisect_right(self.kinds, most) - 1
         while at >= 0 and self.count[self.kinds[at]] <= taken.count(self.kinds[at]):
@@ -81,13 +83,8 @@ class _Stock:
         return self.kinds[at] if at >= 0 else 0
 
 
-def fillings(stock: _Stock, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first, at most WIDEST.
-
-    A filling dominates another whose parts fit into its own parts, so one
-    exact size beats all, one larger size beats any two that fit into it, and
-    only sets that leave no room for a further size are kept.
-    """
+def leading(stock: _Stock, room: int) -> list[tuple[int, ...]]:
+    """Full fillings of ``room`` that are quick to find, fullest first, at most WIDEST."""
     first = stock.largest(room)
     if not first:
         return [()]
@@ -108,6 +105,42 @@ def fillings(stock: _Stock, room: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda p: (-found[p], len(p), [-x for x in p]))[:WIDEST]
 
 
+def _dominated(stock: _Stock, parts: list[int], left: int) -> bool:
+    """A size beside ``parts`` fits into the space ``left``, or can take the
+    place of one smaller part or of two parts that fit into it."""
+    if stock.largest(left, parts):
+        return True
+    kinds = sorted(set(parts))
+    if left and any(stock.largest(s + left, parts) > s for s in kinds):
+        return True
+    pairs = ((a, b) for k, a in enumerate(kinds) for b in kinds[k:] if a < b or parts.count(a) > 1)
+    return any(stock.largest(a + b + left, parts) >= a + b for a, b in pairs)
+
+
+def fillings(stock: _Stock, room: int, slack: int) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of ``room`` that leaves at most ``slack``, the
+    leading ones first; None for each other step of the subset search, so that
+    the caller can count it.  ``stock`` must be the same at each step."""
+    early = leading(stock, room)
+    yield from (f for f in early if room - sum(f) <= slack)
+    if early in ([()], [(room,)]):
+        return                                   # nothing fits, or one size fits exactly
+    parts: list[int] = []
+    left = most = room
+    while True:
+        size = stock.largest(min(most, left), parts)
+        if size:
+            parts.append(size)
+            left, most = left - size, size
+            yield None
+            continue
+        whole = left <= slack and tuple(parts) not in early and not _dominated(stock, parts, left)
+        yield tuple(parts) if whole else None
+        if not parts:
+            return
+        left, most = left + parts[-1], parts.pop() - 1
+
+
 def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Bins of at most ``capacity`` holding ``sizes`` (each in 1..capacity)."""
     sizes = sorted(sizes, reverse=True)
@@ -119,25 +152,35 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
         stock = _Stock(sizes)
         bins: list[tuple[int, ...]] = []
         wasted = [0]
-        choices: list[list[tuple[int, ...]]] = []
+        choices: list[tuple[int, Iterator[tuple[int, ...] | None]]] = []
         spent = 0
         while spent < nodes:
             spent += 1
             if not stock.kinds:
                 return [list(b) for b in bins]
             top = stock.kinds[-1]
-            stock.take((top,))
-            options = [(top, *f) for f in fillings(stock, capacity - top)]
-            stock.give((top,))
-            choices.append([o for o in reversed(options) if wasted[-1] + capacity - sum(o) <= allowed])
-            while choices and not choices[-1]:   # no branch left here: take back a bin
-                choices.pop()
-                if bins:
-                    stock.give(bins.pop())
-                    wasted.pop()
-            if not choices:
+            choices.append((top, fillings(stock, capacity - top, allowed - wasted[-1])))
+            pick = None
+            while choices and pick is None:
+                top, options = choices[-1]
+                stock.take((top,))
+                for found in options:
+                    if found is not None:
+                        pick = (top, *found)
+                        break
+                    spent += 1
+                    if spent >= nodes:
+                        break
+                stock.give((top,))
+                if spent >= nodes:
+                    break
+                if pick is None:                 # no branch left here: take back a bin
+                    choices.pop()
+                    if bins:
+                        stock.give(bins.pop())
+                        wasted.pop()
+            if pick is None:
                 break
-            pick = choices[-1].pop()
             stock.take(pick)
             bins.append(pick)
             wasted.append(wasted[-1] + capacity - sum(pick))

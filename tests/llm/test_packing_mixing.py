@@ -59,6 +59,15 @@ def test_completion_beats_best_fit():
     assert len(P.bin_completion(sizes, 10)) == 4
 
 
+def test_completion_tries_every_filling():
+    sizes = [50, 49, 48, 32, 30, 26, 24, 21, 20]     # 50 + 26 + 24, 49 + 30 + 21, 48 + 32 + 20
+    assert len(P.best_fit(sizes, 100)) == 4 and sorted(map(sum, P.bin_completion(sizes, 100))) == [100] * 3
+    rnd = random.Random(6)
+    for _ in range(40):                              # full bins of three large pieces
+        sizes = [x for _ in range(4) for a in [rnd.randint(35, 50)] for b in [rnd.randint(20, 40)] for x in (a, b, 100 - a - b)]
+        assert len(P.bin_completion(sizes, 100, nodes=200_000)) == 4
+
+
 def check_packing(rows, docs, capacity=2048):
     ids_of = encoder()
     want = {}
