@@ -8,7 +8,7 @@ docs.  All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import language_id, mixing, near_dedup, packing, quality
@@ -55,12 +55,32 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.mapInArrow(keep, docs.schema)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, a long in the order of doc_id, null ids last.
+
+    Rows that repeat an id and its text share a key; a row without an id, or
+    with another text under the same id, has a key of its own.
+    """
+    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row_tie")]
+    rows = materialize(docs.withColumn("row_tie", tie), "ties")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_key", F.monotonically_increasing_id())
+    first = F.min("row_key").over(Window.partitionBy("doc_id", "row_tie"))
+    return materialize(rows.withColumn("row_key", first).drop("row_tie"), "keyed")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: one document of each near-duplicate group stays, the one
-    with the smallest doc_id (repeated rows of it stay together)."""
-    gone = materialize(near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    with the smallest doc_id (repeated rows of it stay together).
+
+    Decided per row: rows without an id, and different texts under one id,
+    are documents of their own; a row with an id stays before one without.
+    """
+    rows = with_row_key(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("row_key")).distinct(), "gone")
     wanted = F.broadcast(gone) if gone.count() <= near_dedup.SENT_IDS else gone
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return rows.join(wanted, "row_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,6 +140,18 @@ def test_pipeline_awkward_tables(spark, tmp_path):
         assert {r["doc_id"] for r in out} <= {4, 7, None} and bool(out) == bool(part)
 
 
+def test_near_copies_go_by_row(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(120))
+    copied, alone, twice, other, near = (text() for _ in range(5))
+    rows = [(1, copied, "a"), (None, copied, "b"), (None, alone, "c"), (None, twice, "d"), (None, twice, "d"), (7, other, "e"), (7, other, "e"),
+            (7, near, "f"), (None, near + " end", "g"), (None, None, "i"), (9, copied, "j"), (9, text(), "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert "".join(sorted(r["source"] for r in out.collect())) == "acdeefik"
+
+
 def test_every_query_is_registered():
     for n in range(1, 11):
         assert any(q.startswith(f"op{n}_") for q in Q.QUERIES)
