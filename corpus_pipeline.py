@@ -16,6 +16,10 @@ from ledgerlens.session import materialize
 
 #: A language is accepted from this posterior on.
 SURE_LANGUAGE = 0.5
+#: ... and from this fit on: the mean over its words of 1 for a word known in
+#: the language, else its share of known n-grams.  Unlike the posterior it
+#: doesn't grow with the length (learnt languages have about 0.98, others 0.2 to 0.4).
+SURE_FIT = 0.55
 #: Share of the tokens that the mixture takes; each document once at most.
 MIX_SHARE = 0.8
 
@@ -24,13 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 7: documents without a recognisable language go.
 
     Rejected are texts without letters (null and empty ones too) and those
-    whose best language has a posterior under SURE_LANGUAGE; if no document
-    has a language to learn from, none is rejected.
+    whose best language has a posterior under SURE_LANGUAGE or a fit under
+    SURE_FIT (languages not learnt, gibberish); if no document has a language
+    to learn from, none is rejected.
     """
     model = language_id.fit(docs.where(~language_id.held_out()))
     if not model.languages:
         return docs
-    sure = language_id.accepts(model, SURE_LANGUAGE)
+    sure = language_id.accepts(model, SURE_LANGUAGE, SURE_FIT)
 
     def keep(batches):
         decide = sure()

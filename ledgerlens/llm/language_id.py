@@ -44,18 +44,20 @@ class Model:
     languages: list[str]
     words: dict[str, int]            # word -> row of word_scores
     word_scores: np.ndarray          # rows x languages, log frequencies
+    word_known: np.ndarray           # rows x languages, seen in the language
     grams: dict[str, int]
     gram_scores: np.ndarray
+    gram_known: np.ndarray
 
 
-def _log_frequencies(counts: dict[str, Counter], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _log_frequencies(counts: dict[str, Counter], languages: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     rows = {w: i for i, w in enumerate(sorted(set().union(*counts.values())))}
     table = np.zeros((len(rows), len(languages)))
     for column, lang in enumerate(languages):
         for w, n in counts[lang].items():
             table[rows[w], column] = n
     totals = table.sum(axis=0) + 0.5 * max(1, len(rows))
-    return rows, np.log((table + 0.5) / totals)
+    return rows, np.log((table + 0.5) / totals), table > 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,8 @@ def fit(docs: DataFrame, seed: int = 7) -> Model:
     words, pieces = _top(counts, "word", KEPT_WORDS), _top(grams, "gram", KEPT_GRAMS)
     languages = sorted(words)
     if not languages:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+        none = np.zeros((0, 0))
+        return Model([], {}, none, none, {}, none, none)
     return Model(languages, *_log_frequencies(words, languages),
                  *_log_frequencies({x: pieces.get(x, Counter()) for x in languages}, languages))
 
@@ -125,57 +128,69 @@ class _Rows(dict):
     def reset(self) -> None:
         self.clear()
         self.table = np.empty((CACHE_WORDS + 1, len(self.model.languages)), dtype=np.float32)
+        self.fits = np.empty_like(self.table)    # 1 for a known word, else the share of known n-grams of LONGEST
 
     def __missing__(self, word: str) -> int:
         m, at = self.model, len(self)
+        framed = f"^{word}$"
         if (row := m.words.get(word)) is not None:
             self.table[at] = m.word_scores[row]
         else:
-            framed, rows = f"^{word}$", []
+            rows = []
             for i in range(len(framed)):
                 for size in range(min(LONGEST, len(framed) - i), 0, -1):
                     if (gram := m.grams.get(framed[i:i + size])) is not None:
                         rows.append(gram)
                         break
             self.table[at] = m.gram_scores[rows].mean(axis=0) if rows else 0
+        places = len(framed) - LONGEST + 1
+        long = [m.grams[g] for i in range(places) if (g := framed[i:i + LONGEST]) in m.grams]
+        self.fits[at] = m.gram_known[long].sum(axis=0) / places if long else 0
+        if row is not None:
+            self.fits[at] = np.maximum(self.fits[at], m.word_known[row])
         self[word] = at
         return at
 
 
 def classifier(model: Model):
-    """A function text column -> (languages, scores); keeps a cache of words."""
+    """A function text column -> (languages, scores, fits); keeps a cache of
+    words.  ``fit`` (0 to 1, whatever the length) is the mean over the words
+    of 1 for one known in the language, else its share of known n-grams."""
     rows = _Rows(model)
 
-    def classify(texts: pa.Array) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def classify(texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        names, scores, fits = [], [], []
         for text in texts:
             words = words_of(text.as_py())
             if not words or not model.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                fits.append(0.0)
                 continue
-            total = np.zeros(len(model.languages))
+            total, fit = np.zeros((2, len(model.languages)))
             for lo in range(0, len(words), CACHE_WORDS // 4):
                 if len(rows) > CACHE_WORDS // 2:
                     rows.reset()
-                total += rows.table[[rows[w] for w in words[lo:lo + CACHE_WORDS // 4]]].sum(axis=0, dtype=np.float64)
+                at = [rows[w] for w in words[lo:lo + CACHE_WORDS // 4]]
+                total += rows.table[at].sum(axis=0, dtype=np.float64)
+                fit += rows.fits[at].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             names.append(model.languages[best])
             scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-        return names, scores
+            fits.append(float(fit[best] / len(words)))
+        return names, scores, fits
 
     return classify
 
 
-def accepts(model: Model, least: float):
+def accepts(model: Model, least: float, fitting: float = 0.0):
     """Makes a function text column -> list of bools: a language was
-    recognised with a score of ``least`` or more."""
+    recognised with a score of ``least`` and a fit of ``fitting`` or more."""
     def make():
         classify = classifier(model)
 
         def decide(texts: pa.Array) -> list[bool]:
-            names, scores = classify(texts)
-            return [n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+            return [n != UNKNOWN and s >= least and f >= fitting for n, s, f in zip(*classify(texts), strict=True)]
 
         return decide
     return make
@@ -185,7 +200,7 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = classifier(model)
         for batch in batches:
-            names, scores = classify(batch.column("text"))
+            names, scores, _ = classify(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "lang_pred", "score"])

@@ -1,8 +1,11 @@
 """Language, quality and toxicity: held-out accuracy and awkward rows."""
 
 import math
+import random
 
+import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import language_id as L
 from ledgerlens.llm import quality as Q
@@ -51,6 +54,19 @@ def test_unseen_words_fall_back_to_their_letters(spark):
     assert classify(pa.array(["schwarz", "thirst"]))[0] == ["de", "en"]
 
 
+def test_pipeline_rejects_unlearnt_languages_and_gibberish(spark):
+    rnd = random.Random(4)
+    some = lambda letters, n: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(n))
+    odd = [(-k, some(letters, n), None, "odd") for k, (letters, n) in enumerate(
+        ((x, n) for x in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст", "日本語文字列漢") for n in (5, 50, 500, 20_000)), 1)]
+    every = docs(spark).select("doc_id", "text", F.when(F.col("lang") != "es", F.col("lang")).alias("lang"),
+                               F.when(F.col("lang") == "es", "es").otherwise("clean").alias("source"))
+    every = every.where("text rlike '[a-z]{3}'").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"))
+    before = {r["source"]: r["count"] for r in every.groupBy("source").count().collect()}
+    after = {r["source"]: r["count"] for r in corpus_pipeline.identify_language(spark, every, SF).groupBy("source").count().collect()}
+    assert "odd" not in after and after.get("es", 0) <= 0.03 * before["es"] and after["clean"] >= 0.995 * before["clean"]
+
+
 def test_quality_separates_the_labels(spark):
     rows = Q.quality(docs(spark), labels(spark)).join(labels(spark), "doc_id").collect()
     good, bad = ([r for r in rows if r["quality"] == k] for k in (1, 0))
