@@ -6,7 +6,7 @@ canonical URL, if the validators agree; the headers a 304 may update then
 replace the stored ones.
 
 As-of join without sorting a URL in one task: captures are first reduced to
-one row per (URL, second), these are windowed per (URL, ``SPAN`` seconds), and
+one row per (URL, microsecond), these are windowed per (URL, ``SPAN`` seconds), and
 the last response of each span is carried over the spans of a URL.  A URL
 with a third of all records is added up on the map side and split over its
 spans.
@@ -54,21 +54,21 @@ def _permitted(headers: Column) -> Column:
 
 
 def latest_earlier(records: DataFrame) -> DataFrame:
-    """(url, second) of every record with ``found``: the record id of the
-    latest full response of that URL in an earlier second (of two in one
-    second, the larger id)."""
+    """(url, micros) of every record with ``found``: the record id of the
+    latest full response of that URL at an earlier time (of two at one time,
+    the larger id)."""
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
-    points = records.where("url is not null and second is not null").groupBy("url", "second").agg(
+    points = records.where("url is not null and micros is not null").groupBy("url", "micros").agg(
         F.max(F.when(full, F.col("record_id"))).alias("full"))
-    points = points.withColumn("span", F.floor(F.col("second") / SPAN))
-    inside = Window.partitionBy("url", "span").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    points = points.withColumn("span", F.floor(F.col("micros") / (SPAN * 1_000_000)))
+    inside = Window.partitionBy("url", "span").orderBy("micros").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (points.where("full is not null").groupBy("url", "span").agg(F.max_by("full", "second").alias("full"))
+    carried = (points.where("full is not null").groupBy("url", "span").agg(F.max_by("full", "micros").alias("full"))
                .unionByName(points.select("url", "span", F.lit(None).cast("long").alias("full")).distinct())
                .groupBy("url", "span").agg(F.max("full").alias("full"))
                .select("url", "span", F.last("full", ignorenulls=True).over(before).alias("carried")))
     return (points.withColumn("near", F.last("full", ignorenulls=True).over(inside)).join(carried, ["url", "span"])
-            .select("url", "second", F.coalesce("near", "carried").alias("found")))
+            .select("url", "micros", F.coalesce("near", "carried").alias("found")))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -88,13 +88,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     rows = records.select("record_id", "warc_type", "profile", "target_uri", "warc_date", "status",
                           F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload")
-    rows = rows.withColumns({"url": canonical_url(F.col("target_uri")), "second": F.col("warc_date").cast("long")})
+    rows = rows.withColumns({"url": canonical_url(F.col("target_uri")), "micros": F.unix_micros(F.col("warc_date"))})
     revisits = rows.where(F.col("warc_type") == "revisit").where(F.col("profile").endswith(PROFILE)) \
-        .select("record_id", "url", "second", "warc_date", "headers")
+        .select("record_id", "url", "micros", "warc_date", "headers")
     earlier = latest_earlier(rows)
     stored = rows.where("warc_type = 'response' and status = 200").select(
         F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    linked = (revisits.join(earlier, ["url", "second"], "left").withColumnRenamed("found", "response_id")
+    linked = (revisits.join(earlier, ["url", "micros"], "left").withColumnRenamed("found", "response_id")
               .join(stored, "response_id", "left"))
     tag, old_tag = (_opaque(F.try_element_at(c, F.lit("etag"))) for c in ("headers", "stored"))
     date, old_date = (F.trim(F.try_element_at(c, F.lit("last-modified"))) for c in ("headers", "stored"))

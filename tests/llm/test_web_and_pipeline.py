@@ -74,6 +74,17 @@ def test_revisit_awkward_rows(spark):
     assert R.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_revisits_within_a_second(spark):
+    p = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    rows = [(9, "response", None, "2023-11-14 22:13:20.25", 200, "a"), (2, "response", None, "2023-11-14 22:13:20.5", 200, "b"),
+            (3, "revisit", p, "2023-11-14 22:13:20.25", 304, None), (4, "revisit", p, "2023-11-14 22:13:20.3", 304, None),
+            (5, "revisit", p, "2023-11-14 22:13:20.75", 304, None), (6, "revisit", p, "2023-11-20 00:00:00", 304, None)]
+    df = spark.createDataFrame(rows, "record_id long, warc_type string, profile string, d string, status int, payload string")
+    df = df.withColumns({"warc_date": F.to_timestamp("d"), "target_uri": F.lit("http://a.b/"), "headers": F.create_map(F.lit("etag"), F.lit("x"))})
+    got = {r["record_id"]: (r["response_id"], r["payload"]) for r in R.resolve_revisits(df).collect()}
+    assert got == {3: (None, None), 4: (9, "a"), 5: (2, "b"), 6: (2, "b")}
+
+
 def test_license_scan_matches_containment(spark):
     rnd = random.Random(9)
     filler = lambda n: " ".join(f"x{rnd.randrange(10**6)}" for _ in range(n))
