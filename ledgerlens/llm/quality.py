@@ -1,6 +1,6 @@
 """Operator 9: quality classifier by co-training two views.
 
-The text view sees what the words look like: hashed short words without case,
+The text view sees what the words look like: hashed words without case,
 and shares of symbols, capitals, repeats, long words and table bars.  The page view sees metadata alone: source, language, length, number
 and mean length of lines.  Both start from the labelled documents.  In each
 round either view marks the unlabelled documents it is surest of, the other
@@ -62,7 +62,7 @@ def text_features(text: str | None) -> list[int]:
         "long": (sizes > 15).sum() / n, "short": (sizes < 3).sum() / n,
     }
     found = {_bucket(f"{k}={_level(v)}", TEXT_BITS) for k, v in shapes.items()}
-    found.update([_bucket(w.lower(), TEXT_BITS) for w in distinct if len(w) < 6])
+    found.update([_bucket(w.lower(), TEXT_BITS) for w in distinct])
     return sorted(found)
 
 
@@ -154,6 +154,12 @@ def cotrain(label: np.ndarray, views: list[_Ones], prior: float) -> list[View]:
     return trained
 
 
+def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """About UNLABELLED ids of ``docs`` that aren't in ``marks``, or all of them."""
+    free = docs.select("doc_id").join(marks, "doc_id", "left_anti").withColumn("free", F.lit(1))
+    return sampled(free, "free", UNLABELLED, 10).select("doc_id").distinct()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns from ``docs`` (doc_id, text, lang, source) and ``labels``
     (doc_id, quality 0/1; other values and nulls are no label).
@@ -170,8 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     docs = docs.select("doc_id", "text", "lang", "source")
     # the sampled ids (about LABELLED per class) go to the texts, which stay where they are
     rows = docs.join(F.broadcast(sampled(marked, "quality", LABELLED, 9)), "doc_id").unionByName(
-        sampled(docs.withColumn("free", F.lit(1)), "free", UNLABELLED, 10).drop("free")
-        .join(marks, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")))
+        docs.join(F.broadcast(unlabelled(docs, marks)), "doc_id").withColumn("quality", F.lit(None).cast("int")))
     sample = (rows.select(F.coalesce("quality", F.lit(-1)).alias("quality"), "text", "lang", "source", "doc_id")
               .select("quality", "text", "lang", "source")
               .mapInArrow(_features, "quality int, text_ones array<int>, page_ones array<int>").toPandas())

@@ -74,6 +74,17 @@ def test_quality_separates_the_labels(spark):
     assert sum(not r["kept"] for r in bad) >= 0.8 * len(bad)
 
 
+def test_long_words_are_evidence():
+    assert set(Q.text_features("short words")) < set(Q.text_features("short words extraordinary"))
+
+
+def test_unlabelled_sample_is_full_size(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    marks = ids.where("doc_id % 5 < 3")
+    got = {r["doc_id"] for r in Q.unlabelled(ids, marks).collect()}
+    assert abs(len(got) - Q.UNLABELLED) < 300 and all(i % 5 >= 3 for i in got)
+
+
 def test_quality_without_labels_judges_nothing(spark):
     out = Q.quality(awkward(spark), labels(spark).where("false")).collect()
     assert len(out) == len(AWKWARD) and all(r["score"] is None and r["kept"] for r in out)
