@@ -82,3 +82,65 @@ SELECT record_id, url, second, response_id, outcome, CASE WHEN outcome = 'resolv
   CASE WHEN outcome = 'resolved' THEN md5(payload) END AS payload_md5,
   CASE WHEN outcome = 'resolved' THEN CAST(length(payload) AS BIGINT) END AS payload_chars
 FROM j"""
+
+
+def lexical_sql() -> str:
+    """Every document scored for every item, from the formula alone."""
+    return r"""
+with terms as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), sizes as (
+  select row, doc_id, words, len(words)::bigint as n from terms where len(words) > 0
+), totals as (
+  select count(*)::bigint as docs, sum(n)::bigint as length from sizes
+), counts as (
+  select row, doc_id, n, word, count(*)::bigint as tf from (select row, doc_id, n, unnest(words) as word from sizes) group by all
+), weights as (
+  select word, cast(floor(1000 * ln((2.0::double * any_value(t.docs) + 2) / (2.0::double * count(*) + 1))) as bigint) as w
+  from counts, totals t group by word
+), wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as word
+  from benchmark
+), scores as (
+  select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * t.docs) // t.length))))::bigint as score
+  from wanted join counts using (word) join weights using (word), totals t group by item_id, row, doc_id
+), ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id asc nulls last) as place
+  from scores where score > 0
+)
+select item_id, place::int as rank, doc_id, score from ranked where place <= 10
+"""
+
+
+def fim_sql() -> str:
+    """Cuts by list slices of all units."""
+    return """
+with units as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u
+  from documents
+), draws as (
+  select *, len(u)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4
+  from units
+), forms as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from draws
+), parts as (
+  select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m,
+         coalesce(array_to_string(u[b + 1:n], ''), '') as s
+  from forms
+)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars,
+       case when form <> 'plain' then length(m)::bigint end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
