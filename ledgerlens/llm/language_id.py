@@ -21,43 +21,64 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Bounds of the model: labelled documents sampled per language (on average),
-#: words and n-grams kept per language, languages.
+#: Sizes of the model (parameters of ``fit``): labelled documents sampled per
+#: language (on average), commonest words and n-grams kept per language.
 SAMPLE_DOCS = 4_000
 KEPT_WORDS = 20_000
 KEPT_GRAMS = 20_000
-LANGUAGES = 256
 LONGEST = 4
+#: Bounds of a task's cache: words, and cells (words times languages).
 CACHE_WORDS = 300_000
+CACHE_CELLS = 8_000_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters (numerals such as fractions are none)."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
+class Table:
+    """Log frequencies of words or n-grams, stored for the languages that know
+    them; elsewhere ``base`` holds (the log frequency of none)."""
+
+    def __init__(self, counts: list[tuple[str, int, int]], languages: int):
+        """``counts``: (name, number of the language, times), sorted by name."""
+        names = [c[0] for c in counts]
+        times = np.array([c[2] for c in counts], float)
+        self.langs = np.array([c[1] for c in counts], np.int32)
+        first = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+        self.rows = {names[k]: r for r, k in enumerate(first)}
+        self.offsets = np.array([*first, len(names)], np.int64)
+        totals = np.bincount(self.langs, weights=times, minlength=languages) + 0.5 * max(1, len(first))
+        self.base = np.log(0.5 / totals)
+        self.gains = (np.log((times + 0.5) / totals[self.langs]) - self.base[self.langs]) if len(names) else np.zeros(0)
+
+    def add(self, found: list[int], scores: np.ndarray | None, known: np.ndarray | None) -> None:
+        """Adds the log frequencies of some rows to ``scores`` and the number
+        of rows that each language knows to ``known``."""
+        if scores is not None:
+            scores += len(found) * self.base
+        for row in found:
+            cut = slice(self.offsets[row], self.offsets[row + 1])
+            if scores is not None:
+                scores[self.langs[cut]] += self.gains[cut]
+            if known is not None:
+                known[self.langs[cut]] += 1
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]            # word -> row of word_scores
-    word_scores: np.ndarray          # rows x languages, log frequencies
-    word_known: np.ndarray           # rows x languages, seen in the language
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    gram_known: np.ndarray
-
-
-def _log_frequencies(counts: dict[str, Counter], languages: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    rows = {w: i for i, w in enumerate(sorted(set().union(*counts.values())))}
-    table = np.zeros((len(rows), len(languages)))
-    for column, lang in enumerate(languages):
-        for w, n in counts[lang].items():
-            table[rows[w], column] = n
-    totals = table.sum(axis=0) + 0.5 * max(1, len(rows))
-    return rows, np.log((table + 0.5) / totals), table > 0
+    words: Table
+    grams: Table
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,112 +93,129 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["lang", "word", "n"])
 
 
-def sampled(labelled: DataFrame, label: str, size: int, seed: int, most: int = LANGUAGES) -> DataFrame:
-    """About ``size`` rows of each value of ``label``, chosen by a hash of doc_id."""
-    totals = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most).collect()
+def sampled(labelled: DataFrame, label: str, size: int, seed: int, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """About ``size`` rows of each value of ``label``, chosen by a hash of ``key``."""
+    totals = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).collect()
     parts = 1_000_003
     if not totals:
         return labelled.limit(0)
     limits = F.create_map(*[x for r in totals for x in (F.lit(r[label]), F.lit(-(-parts * size // r["n"])))])
-    return labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < limits[F.col(label)])
+    return labelled.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(parts)) < limits[F.col(label)])
 
 
-def _top(counts: DataFrame, key: str, kept: int) -> dict[str, Counter]:
-    """The commonest ``kept`` values of ``key`` per language, on the driver."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
-    found: dict[str, Counter] = {}
-    for r in counts.withColumn("place", place).where(F.col("place") <= kept).collect():
-        found.setdefault(r["lang"], Counter())[r[key]] = r["n"]
-    return found
+def _top(counts: DataFrame, name: str, kept: int | None, languages: list[str] | None) -> tuple[list[str], Table]:
+    """The commonest ``kept`` values of ``name`` per language (all, if None)."""
+    if kept is not None:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
+        counts = counts.withColumn("place", place).where(F.col("place") <= kept)
+    found = counts.select(name, "lang", "n").orderBy(name, "lang").toArrow()       # by columns: no object per row
+    languages = sorted(set(found.column("lang").unique().to_pylist())) if languages is None else languages
+    number = {x: k for k, x in enumerate(languages)}
+    langs = [number[x] for x in found.column("lang").to_pylist()]
+    rows = list(zip(found.column(name).to_pylist(), langs, found.column("n").to_pylist(), strict=True))
+    return languages, Table(rows, len(languages))
 
 
-def fit(docs: DataFrame, seed: int = 7) -> Model:
+def fit(docs: DataFrame, seed: int = 7, sample: int = SAMPLE_DOCS, words: int | None = KEPT_WORDS,
+        grams: int | None = KEPT_GRAMS) -> Model:
     """Learns from rows (doc_id, text, lang) with a text and a language.
 
-    At most LANGUAGES languages, about SAMPLE_DOCS documents of each, whole
-    texts; KEPT_WORDS words and KEPT_GRAMS n-grams per language are kept.  No
-    such row gives a model without languages.
+    Every language is learnt, from about ``sample`` of its rows, whole texts;
+    rows are drawn by a hash of doc_id and text, so those without an id or
+    with a shared one are drawn one by one.  The commonest ``words`` words and
+    ``grams`` n-grams per language are kept, None keeps all of the sample
+    (what isn't kept counts as unseen).  No such row gives a model without
+    languages.
     """
     rows = sampled(docs.where("text is not null and lang is not null").select("doc_id", "text", "lang"),
-                   "lang", SAMPLE_DOCS, seed)
+                   "lang", sample, seed, ("doc_id", "text"))
     counts = materialize(rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
                          .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     framed = F.concat(F.lit("^"), "word", F.lit("$"))
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - size + 1, F.lit(1))),
-                       lambda i, size=size: F.substring(framed, i, F.lit(size)))
-           for size in range(1, LONGEST + 1)]
-    grams = counts.select("lang", "n", F.explode(F.flatten(F.array(*cut))).alias("gram")) \
+
+    def cut(size: int) -> Column:        # a word that is shorter gives itself
+        first = F.sequence(F.lit(1), F.greatest(F.length(framed) - size + 1, F.lit(1)))
+        return F.transform(first, lambda i: F.substring(framed, i, F.lit(size)))
+
+    pieces = counts.select("lang", "n", F.explode(F.flatten(F.array(*[cut(size) for size in range(1, LONGEST + 1)]))).alias("gram")) \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    words, pieces = _top(counts, "word", KEPT_WORDS), _top(grams, "gram", KEPT_GRAMS)
-    languages = sorted(words)
-    if not languages:
-        none = np.zeros((0, 0))
-        return Model([], {}, none, none, {}, none, none)
-    return Model(languages, *_log_frequencies(words, languages),
-                 *_log_frequencies({x: pieces.get(x, Counter()) for x in languages}, languages))
+    languages, known = _top(counts, "word", words, None)
+    return Model(languages, known, _top(pieces, "gram", grams, languages)[1])
 
 
 class _Rows(dict):
-    """Word -> row of a growing score table; emptied when full."""
+    """Word -> row of a growing score table; emptied when full.
 
-    def __init__(self, model: Model):
+    ``fits`` (only if asked for) has 1 for a word known in the language, else
+    the share of its n-grams of LONGEST that are.
+    """
+
+    def __init__(self, model: Model, fits: bool):
         super().__init__()
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.table = np.empty((CACHE_WORDS + 1, len(self.model.languages)), dtype=np.float32)
-        self.fits = np.empty_like(self.table)    # 1 for a known word, else the share of known n-grams of LONGEST
+        width = len(model.languages)
+        self.most = max(1_000, min(CACHE_WORDS, CACHE_CELLS // max(1, width)))
+        self.table = np.zeros((self.most + 1, width), dtype=np.float32)
+        self.fits = np.zeros_like(self.table) if fits else None
 
     def __missing__(self, word: str) -> int:
         m, at = self.model, len(self)
         framed = f"^{word}$"
-        if (row := m.words.get(word)) is not None:
-            self.table[at] = m.word_scores[row]
+        score = np.zeros(len(m.languages))
+        if (row := m.words.rows.get(word)) is not None:
+            m.words.add([row], score, None)
         else:
-            rows = []
+            grams, found = m.grams.rows, []
             for i in range(len(framed)):
                 for size in range(min(LONGEST, len(framed) - i), 0, -1):
-                    if (gram := m.grams.get(framed[i:i + size])) is not None:
-                        rows.append(gram)
+                    if (gram := grams.get(framed[i:i + size])) is not None:
+                        found.append(gram)
                         break
-            self.table[at] = m.gram_scores[rows].mean(axis=0) if rows else 0
-        places = len(framed) - LONGEST + 1
-        long = [m.grams[g] for i in range(places) if (g := framed[i:i + LONGEST]) in m.grams]
-        self.fits[at] = m.gram_known[long].sum(axis=0) / places if long else 0
-        if row is not None:
-            self.fits[at] = np.maximum(self.fits[at], m.word_known[row])
+            if found:
+                m.grams.add(found, score, None)
+                score /= len(found)
+        self.table[at] = score
+        if self.fits is not None:
+            places = len(framed) - LONGEST + 1
+            share = np.zeros(len(m.languages))
+            m.grams.add([m.grams.rows[g] for i in range(places) if (g := framed[i:i + LONGEST]) in m.grams.rows], None, share)
+            share /= max(1, places)
+            if row is not None:
+                m.words.add([row], None, share)
+            self.fits[at] = np.minimum(share, 1)
         self[word] = at
         return at
 
 
-def classifier(model: Model):
+def classifier(model: Model, with_fits: bool = False):
     """A function text column -> (languages, scores, fits); keeps a cache of
-    words.  ``fit`` (0 to 1, whatever the length) is the mean over the words
-    of 1 for one known in the language, else its share of known n-grams."""
-    rows = _Rows(model)
+    words.  ``fit`` (0 to 1, whatever the length; None unless asked for) is
+    the mean over the words of 1 for one known in the language, else its share
+    of known n-grams."""
+    rows = _Rows(model, with_fits)
 
-    def classify(texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    def classify(texts: pa.Array) -> tuple[list[str], list[float], list[float | None]]:
         names, scores, fits = [], [], []
         for text in texts:
             words = words_of(text.as_py())
             if not words or not model.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
-                fits.append(0.0)
+                fits.append(0.0 if with_fits else None)
                 continue
             total, fit = np.zeros((2, len(model.languages)))
-            for lo in range(0, len(words), CACHE_WORDS // 4):
-                if len(rows) > CACHE_WORDS // 2:
-                    rows.reset()
-                at = [rows[w] for w in words[lo:lo + CACHE_WORDS // 4]]
+            step = max(1, rows.most // 4)
+            for lo in range(0, len(words), step):
+                if len(rows) > rows.most // 2:
+                    rows.clear()
+                at = list(map(rows.__getitem__, words[lo:lo + step]))
                 total += rows.table[at].sum(axis=0, dtype=np.float64)
-                fit += rows.fits[at].sum(axis=0, dtype=np.float64)
+                if with_fits:
+                    fit += rows.fits[at].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             names.append(model.languages[best])
             scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            fits.append(float(fit[best] / len(words)))
+            fits.append(float(fit[best] / len(words)) if with_fits else None)
         return names, scores, fits
 
     return classify
@@ -187,10 +225,10 @@ def accepts(model: Model, least: float, fitting: float = 0.0):
     """Makes a function text column -> list of bools: a language was
     recognised with a score of ``least`` and a fit of ``fitting`` or more."""
     def make():
-        classify = classifier(model)
+        classify = classifier(model, with_fits=fitting > 0)
 
         def decide(texts: pa.Array) -> list[bool]:
-            return [n != UNKNOWN and s >= least and f >= fitting for n, s, f in zip(*classify(texts), strict=True)]
+            return [n != UNKNOWN and s >= least and (not fitting or f >= fitting) for n, s, f in zip(*classify(texts), strict=True)]
 
         return decide
     return make

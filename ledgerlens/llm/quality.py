@@ -14,19 +14,21 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import sampled
+from ..session import materialize
 from .linear import logistic, margins, platt, sigmoid
 
-#: Rows the classifier is fitted on (on average): labelled per class, unlabelled.
+#: Rows the classifier is fitted on (on average): labelled per class, and the
+#: pool of unlabelled ones that the views mark for each other.
 LABELLED = 6_000
-UNLABELLED = 4_000
+POOL = 4_000
+PARTS = 1_000_003
 ROUNDS = 3
 PER_ROUND = 0.1                  # share of the unlabelled rows either view marks in a round
 SURE = 0.9                       # least calibrated probability of a mark
@@ -37,7 +39,6 @@ KEEP = 0.5
 _SYMBOLS = list(b"#*$%&|<>@^~=+\\/{}[]")
 
 
-@lru_cache(maxsize=200_000)
 def _bucket(name: str, bits: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
@@ -62,7 +63,7 @@ def text_features(text: str | None) -> list[int]:
         "long": (sizes > 15).sum() / n, "short": (sizes < 3).sum() / n,
     }
     found = {_bucket(f"{k}={_level(v)}", TEXT_BITS) for k, v in shapes.items()}
-    found.update([_bucket(w.lower(), TEXT_BITS) for w in distinct])
+    found.update({_bucket(w, TEXT_BITS) for w in set(map(str.lower, distinct))})
     return sorted(found)
 
 
@@ -104,25 +105,27 @@ class Model:
 
 
 class _Ones:
-    """Feature lists of some examples, flattened for the trainer."""
+    """The features of some examples: one list of numbers for all, kept once.
 
-    def __init__(self, lists: list[np.ndarray], features: int):
-        self.lists = [np.asarray(x, np.int64) for x in lists]
-        self.features = features
+    A fit runs over all examples and gives those that aren't chosen no weight.
+    """
 
-    def flat(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        picked = [self.lists[i] for i in chosen]
-        rows = np.repeat(np.arange(len(picked)), [len(x) for x in picked])
-        return rows, np.concatenate(picked) if picked else np.zeros(0, np.int64)
+    def __init__(self, lists: pa.ChunkedArray, features: int):
+        self.columns = pc.list_flatten(lists).to_numpy().astype(np.int32)
+        sizes = pc.list_value_length(lists).to_numpy()
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.size, self.features = len(sizes), features
 
     def fit(self, chosen: np.ndarray, target: np.ndarray) -> View:
         good = max(1e-9, float(target.sum()))
         bad = max(1e-9, float(len(target) - target.sum()))
-        importance = np.where(target > 0.5, len(target) / (2 * good), len(target) / (2 * bad))
-        return View(*logistic(*self.flat(chosen), target, importance, self.features, l2=0.3, steps=120))
+        importance, wanted = np.zeros(self.size), np.zeros(self.size)
+        importance[chosen] = np.where(target > 0.5, len(target) / (2 * good), len(target) / (2 * bad))
+        wanted[chosen] = target
+        return View(*logistic(self.rows, self.columns, wanted, importance, self.features, l2=0.3, steps=120))
 
     def margins(self, chosen: np.ndarray, view: View) -> np.ndarray:
-        return margins(*self.flat(chosen), len(chosen), view.weights, view.bias)
+        return margins(self.rows, self.columns, self.size, view.weights, view.bias)[chosen]
 
 
 def cotrain(label: np.ndarray, views: list[_Ones], prior: float) -> list[View]:
@@ -154,37 +157,46 @@ def cotrain(label: np.ndarray, views: list[_Ones], prior: float) -> list[View]:
     return trained
 
 
-def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """About UNLABELLED ids of ``docs`` that aren't in ``marks``, or all of them."""
-    free = docs.select("doc_id").join(marks, "doc_id", "left_anti").withColumn("free", F.lit(1))
-    return sampled(free, "free", UNLABELLED, 10).select("doc_id").distinct()
-
+def _sample(docs: DataFrame, marks: DataFrame, labelled: int, pool: int) -> tuple[DataFrame, dict[int, int]]:
+    """Different rows of ``docs`` with their quality (-1: none), and the number
+    of all rows by quality.
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    About ``labelled`` rows of each class and ``pool`` rows without a label
+    are drawn by a hash of the row, so that rows which share an id, or have
+    none, are drawn one by one; exact repeats count once.
+    """
+    quality = F.coalesce("quality", F.lit(-1)).alias("quality")
+    counts = {r["quality"]: r["n"] for r in docs.select("doc_id").join(marks, "doc_id", "left").select(quality)
+              .groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    parts = {k: -(-PARTS * (pool if k < 0 else labelled) // n) for k, n in counts.items()}
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(PARTS)))
+    limit = F.create_map(*[F.lit(x) for k in sorted(parts) for x in (k, parts[k])]) if parts else F.lit(None)
+    drawn = docs.where(F.col("part") < max(parts.values(), default=0)).join(marks, "doc_id", "left") \
+        .select(quality, "text", "lang", "source", "part")
+    return (drawn.where(F.col("part") < limit[F.col("quality")]) if parts else drawn).drop("part").distinct(), counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """Learns from ``docs`` (doc_id, text, lang, source) and ``labels``
     (doc_id, quality 0/1; other values and nulls are no label).
 
-    A document labelled twice takes the lower label.  Without both classes
-    there is no model (None): nothing can be judged.
+    ``labelled`` bounds the rows of each class, ``pool`` the unlabelled rows
+    that the views may mark (the method works on such a pool), both on
+    average.  A document labelled twice takes the lower label.  Without both
+    classes there is no model (None): nothing can be judged.
     """
-    marks = (labels.where("quality in (0, 1)").groupBy("doc_id")
+    marks = (labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg(F.min(F.col("quality").cast("int")).alias("quality")))
-    marked = docs.select("doc_id").distinct().join(marks, "doc_id")
-    counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    rows, counts = _sample(docs.select("doc_id", "text", "lang", "source"), marks, labelled, pool)
     if not counts.get(0) or not counts.get(1):
         return None
-    docs = docs.select("doc_id", "text", "lang", "source")
-    # the sampled ids (about LABELLED per class) go to the texts, which stay where they are
-    rows = docs.join(F.broadcast(sampled(marked, "quality", LABELLED, 9)), "doc_id").unionByName(
-        docs.join(F.broadcast(unlabelled(docs, marks)), "doc_id").withColumn("quality", F.lit(None).cast("int")))
-    sample = (rows.select(F.coalesce("quality", F.lit(-1)).alias("quality"), "text", "lang", "source", "doc_id")
-              .select("quality", "text", "lang", "source")
-              .mapInArrow(_features, "quality int, text_ones array<int>, page_ones array<int>").toPandas())
-    order = np.lexsort([[zlib.crc32(np.asarray(x, np.int32).tobytes()) for x in sample["text_ones"]]])
-    sample = sample.iloc[order]
-    label = sample["quality"].to_numpy()
+    # written, so that the driver only reads numbers, in small batches
+    numbers = materialize(rows.mapInArrow(_features, "quality int, text_ones array<int>, page_ones array<int>")
+                          .withColumn("key", F.xxhash64("text_ones", "page_ones")), "features").orderBy("key", "quality").toArrow()
+    label = numbers.column("quality").to_numpy()
     good = counts[1] / (counts[0] + counts[1])
-    views = [_Ones(list(sample["text_ones"]), 1 << TEXT_BITS), _Ones(list(sample["page_ones"]), 1 << PAGE_BITS)]
+    views = [_Ones(numbers.column("text_ones"), 1 << TEXT_BITS), _Ones(numbers.column("page_ones"), 1 << PAGE_BITS)]
+    del numbers
     text, page = cotrain(label, views, good)
     # the calibration saw the sampled balance of the classes; the score is to show the real one
     seen = label[label >= 0]

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SPAN = 86_400
 PROFILE = "server-not-modified"
 
@@ -54,19 +56,17 @@ def _permitted(headers: Column) -> Column:
 
 
 def latest_earlier(records: DataFrame) -> DataFrame:
-    """(url, micros) of every record with ``found``: the record id of the
+    """(url, micros) of every record with ``found``: (record_id, row) of the
     latest full response of that URL at an earlier time (of two at one time,
-    the larger id)."""
+    the larger id).  Rows without a URL or a date are left out."""
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     points = records.where("url is not null and micros is not null").groupBy("url", "micros").agg(
-        F.max(F.when(full, F.col("record_id"))).alias("full"))
+        F.max(F.when(full, F.struct("record_id", "row"))).alias("full"))
     points = points.withColumn("span", F.floor(F.col("micros") / (SPAN * 1_000_000)))
     inside = Window.partitionBy("url", "span").orderBy("micros").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (points.where("full is not null").groupBy("url", "span").agg(F.max_by("full", "micros").alias("full"))
-               .unionByName(points.select("url", "span", F.lit(None).cast("long").alias("full")).distinct())
-               .groupBy("url", "span").agg(F.max("full").alias("full"))
-               .select("url", "span", F.last("full", ignorenulls=True).over(before).alias("carried")))
+    carried = points.groupBy("url", "span").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.col("micros"))).alias("full")) \
+        .select("url", "span", F.last("full", ignorenulls=True).over(before).alias("carried"))
     return (points.withColumn("near", F.last("full", ignorenulls=True).over(inside)).join(carried, ["url", "span"])
             .select("url", "micros", F.coalesce("near", "carried").alias("found")))
 
@@ -74,9 +74,9 @@ def latest_earlier(records: DataFrame) -> DataFrame:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolves the not-modified revisits among ``records``.
 
-    ``records``: record_id long (unique), warc_type, profile, target_uri,
-    warc_date timestamp, status int, headers map<string,string> (lower-case
-    names), payload string; other columns are ignored.
+    ``records``: record_id long, warc_type, profile, target_uri, warc_date
+    timestamp, status int, headers map<string,string> (lower-case names),
+    payload string; other columns are ignored.
 
     Returns one row per revisit of the profile: record_id, url (canonical),
     warc_date, response_id (the latest earlier full response, null without
@@ -84,26 +84,40 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Outcomes: ``resolved``; ``no_response``; ``changed`` (the entity tags
     differ, or, without two tags, the Last-Modified dates); ``unverified``
     (no validator in common).  A null URL or date has no response; a null
-    header map counts as empty; an empty table gives no rows.
+    header map counts as empty; an empty table gives no rows.  Records that
+    repeat an id are records of their own: each revisit row gives one row, and
+    takes one response row (of several at one time with one id, any).
+
+    The records are read once and stored with their canonical URL, for the
+    as-of join to read its few columns.  Revisits without a response, whose
+    keys are null, go round the joins; the payload comes last, by the row of
+    the response, for resolved revisits only.
     """
-    rows = records.select("record_id", "warc_type", "profile", "target_uri", "warc_date", "status",
-                          F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload")
-    rows = rows.withColumns({"url": canonical_url(F.col("target_uri")), "micros": F.unix_micros(F.col("warc_date"))})
+    rows = materialize(records.select(
+        F.monotonically_increasing_id().alias("row"), "record_id", "warc_type", "profile", "warc_date", "status",
+        F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload",
+        canonical_url(F.col("target_uri")).alias("url"), F.unix_micros("warc_date").alias("micros")), "records")
     revisits = rows.where(F.col("warc_type") == "revisit").where(F.col("profile").endswith(PROFILE)) \
         .select("record_id", "url", "micros", "warc_date", "headers")
-    earlier = latest_earlier(rows)
-    stored = rows.where("warc_type = 'response' and status = 200").select(
-        F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    linked = (revisits.join(earlier, ["url", "micros"], "left").withColumnRenamed("found", "response_id")
-              .join(stored, "response_id", "left"))
+    dated = F.col("url").isNotNull() & F.col("micros").isNotNull()
+    linked = materialize(revisits.where(dated).join(latest_earlier(rows), ["url", "micros"], "left").unionByName(
+        revisits.where(~dated), allowMissingColumns=True).drop("micros"), "linked")
+    stored = rows.where("warc_type = 'response' and status = 200").select("row", F.col("headers").alias("stored"))
     tag, old_tag = (_opaque(F.try_element_at(c, F.lit("etag"))) for c in ("headers", "stored"))
     date, old_date = (F.trim(F.try_element_at(c, F.lit("last-modified"))) for c in ("headers", "stored"))
     agrees = F.coalesce(tag == old_tag, date == old_date)
-    outcome = (F.when(F.col("response_id").isNull(), "no_response").when(agrees.isNull(), "unverified")
-               .when(agrees, "resolved").otherwise("changed"))
+    outcome = F.when(agrees.isNull(), "unverified").when(agrees, "resolved").otherwise("changed")
     fresh = _permitted(F.col("headers"))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
-    done = F.col("outcome") == "resolved"
-    return linked.withColumn("outcome", outcome).select(
-        "record_id", "url", "warc_date", "response_id", "outcome",
-        F.when(done, merged).alias("headers"), F.when(done, F.col("body")).alias("payload"))
+    judged = materialize(linked.where("found is not null").select(
+        "record_id", "url", "warc_date", "headers", F.col("found.record_id").alias("response_id"), F.col("found.row").alias("row"))
+        .join(stored, "row").select("row", "record_id", "url", "warc_date", "response_id", outcome.alias("outcome"),
+                                    F.when(outcome == "resolved", merged).alias("headers")), "judged")
+    bodies = rows.where("warc_type = 'response' and status = 200").select("row", "payload")
+    nothing = [F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("payload")]
+    columns = ["record_id", "url", "warc_date", "response_id", "outcome"]
+    alone = linked.where("found is null").select("record_id", "url", "warc_date", F.lit(None).cast("long").alias("response_id"),
+                                                 F.lit("no_response").alias("outcome"), *nothing)
+    other = judged.where("outcome <> 'resolved'").select(*columns, *nothing)
+    resolved = judged.where("outcome = 'resolved'").join(bodies, "row").select(*columns, "headers", "payload")
+    return resolved.unionByName(other).unionByName(alone)

@@ -78,11 +78,98 @@ def test_long_words_are_evidence():
     assert set(Q.text_features("short words")) < set(Q.text_features("short words extraordinary"))
 
 
-def test_unlabelled_sample_is_full_size(spark):
+def test_quality_sample_is_full_size_and_drawn_by_row(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    marks = ids.where("doc_id % 5 < 3")
-    got = {r["doc_id"] for r in Q.unlabelled(ids, marks).collect()}
-    assert abs(len(got) - Q.UNLABELLED) < 300 and all(i % 5 >= 3 for i in got)
+    rows = ids.select("doc_id", F.concat(F.lit("text "), "doc_id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    marks = ids.where("doc_id % 5 < 3").select("doc_id", (F.col("doc_id") % 5 % 2).cast("int").alias("quality"))
+    found, counts = Q._sample(rows, marks, 2_000, 4_000)
+    sizes = {r["quality"]: r["count"] for r in found.groupBy("quality").count().collect()}
+    assert counts == {0: 8_000, 1: 4_000, -1: 8_000}
+    assert all(abs(sizes[k] - n) < 300 for k, n in ((0, 2_000), (1, 2_000), (-1, 4_000)))
+    shared = rows.withColumn("doc_id", F.lit(2).cast("long")).unionAll(rows.withColumn("doc_id", F.lit(None).cast("long")))
+    found, _ = Q._sample(shared.unionAll(shared), marks, 2_000, 4_000)                # one hot id, no ids, everything twice
+    sizes = {r["quality"]: r["count"] for r in found.groupBy("quality").count().collect()}
+    assert all(abs(sizes[k] - n / 2) < 300 for k, n in ((0, 2_000), (-1, 4_000)))
+
+
+def brute_language(text, samples):
+    """Scores of a text from all counts of the sample, by the definition."""
+    words, grams = {}, {}
+    for lang, sample in samples:
+        for w in L.words_of(sample):
+            words[lang, w] = words.get((lang, w), 0) + 1
+            framed = f"^{w}$"
+            for size in range(1, 5):
+                for i in range(max(1, len(framed) - size + 1)):
+                    grams[lang, framed[i:i + size]] = grams.get((lang, framed[i:i + size]), 0) + 1
+    langs = sorted({x for x, _ in samples})
+
+    def logs(counts, name, lang):
+        total = sum(n for (x, _), n in counts.items() if x == lang) + 0.5 * len({w for _, w in counts})
+        return math.log((counts.get((lang, name), 0) + 0.5) / total)
+
+    scores = dict.fromkeys(langs, 0.0)
+    for w in L.words_of(text):
+        if any((x, w) in words for x in langs):
+            for x in langs:
+                scores[x] += logs(words, w, x)
+            continue
+        framed, found = f"^{w}$", []
+        for i in range(len(framed)):
+            found += next(([framed[i:i + k]] for k in range(min(4, len(framed) - i), 0, -1)
+                           if any((x, framed[i:i + k]) in grams for x in langs)), [])
+        for x in langs:
+            scores[x] += sum(logs(grams, g, x) for g in found) / max(1, len(found))
+    top = max(scores.values())
+    best = next(x for x in langs if scores[x] == top)
+    return best, 1 / sum(math.exp(max(-700, v - top)) for v in scores.values())
+
+
+def test_language_scores_equal_the_definition(spark):
+    rnd = random.Random(8)
+    pools = {"aa": "abcd", "bb": "cdef", "cc": "efgé"}
+    make = lambda letters, n: " ".join("".join(rnd.choices(letters, k=rnd.randint(1, 4))) for _ in range(n))
+    samples = [(x, make(p, 25)) for x, p in pools.items() for _ in range(4)]
+    train = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(samples)], "doc_id long, text string, lang string")
+    asked = [make(p, n) for p in (*pools.values(), "abcdefgé", "xyz") for n in (1, 3, 12)]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    model = L.fit(train, words=None, grams=None)
+    for r in L.identify(rows, model).collect():
+        lang, score = brute_language(asked[r["doc_id"]], samples)
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-4)
+
+
+def test_numerals_are_no_letters(spark):
+    train = spark.createDataFrame([(4, "der die und", "de"), (6, "the and of", "en")], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ"), (3, "٣ 12"), (4, "the²and½")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in L.identify(rows, L.fit(train)).collect()] == ["und", "und", "und", "en"]
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """The functions of the tasks can be unpickled where the package is missing."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from ledgerlens.llm import fim, lexical, personal
+    view = Q.View(np.zeros(1 << Q.TEXT_BITS), 0.0)
+    quality = Q._score(Q.Model(view, Q.View(np.zeros(1 << Q.PAGE_BITS), 0.0), 0.0))
+    none = L.Table([], 0)
+    functions = [Q._features, quality, L._count, L._predict(L.Model([], none, none)), L.accepts(L.Model([], none, none), 0.5, 0.5),
+                 fim._transform(1, 90, 20), lexical._count({b"a": 0}), lexical._find([(1, np.array([0]))], np.array([1]), 1, 1, 10),
+                 personal._find(personal.Model({}, [[0.0] * 4] * 4)), personal._samples, T._vote if hasattr(T, "_vote") else Q._features]
+    (tmp_path / "tasks").write_bytes(cloudpickle.dumps(functions))
+    code = ("import pickle, sys, pyarrow as pa\n"
+            "f = pickle.load(open(sys.argv[1], 'rb'))\n"
+            "b = pa.RecordBatch.from_pydict({'doc_id': [1], 'text': ['some text'], 'lang': ['en'], 'source': ['s'], 'quality': [1]})\n"
+            "print([len(list(f[k](iter([b])))) for k in (0, 1, 2, 3, 5, 6, 8, 9)])\n"
+            "assert 'ledgerlens' not in sys.modules\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "tasks")], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip().endswith(str([1] * 8))
 
 
 def test_quality_without_labels_judges_nothing(spark):

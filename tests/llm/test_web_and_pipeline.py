@@ -85,6 +85,22 @@ def test_revisits_within_a_second(spark):
     assert got == {3: (None, None), 4: (9, "a"), 5: (2, "b"), 6: (2, "b")}
 
 
+def test_repeated_responses_resolve_a_revisit_once(spark):
+    from ledgerlens.llm.revisits import resolve_revisits
+    schema = ("record_id long, warc_type string, profile string, target_uri string, warc_date timestamp, status int, "
+              "headers map<string,string>, payload string, row int, found string")
+    from datetime import datetime
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    profile = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    response = (1, "response", "", "http://a.b/", at(1), 200, {"etag": '"x"'}, "body " * 100_000, 0, "f")
+    revisit = (2, "revisit", profile, "http://A.b", at(5), 304, {"etag": '"x"', "age": "1"}, None, 0, "f")
+    alone = (3, "revisit", profile, None, None, 304, None, None, 0, "f")
+    got = resolve_revisits(spark.createDataFrame([response, response, revisit, revisit, alone], schema)).collect()
+    assert sorted((r["record_id"], r["response_id"], r["outcome"], len(r["payload"] or "")) for r in got if r["record_id"] == 2) == \
+        [(2, 1, "resolved", 500_000)] * 2
+    assert [(r["response_id"], r["outcome"], r["headers"]) for r in got if r["record_id"] == 3] == [(None, "no_response", None)]
+
+
 def test_license_scan_matches_containment(spark):
     rnd = random.Random(9)
     filler = lambda n: " ".join(f"x{rnd.randrange(10**6)}" for _ in range(n))
