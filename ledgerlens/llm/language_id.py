@@ -61,17 +61,19 @@ class Table:
         self.base = np.log(0.5 / totals)
         self.gains = (np.log((times + 0.5) / totals[self.langs]) - self.base[self.langs]) if len(names) else np.zeros(0)
 
-    def add(self, found: list[int], scores: np.ndarray | None, known: np.ndarray | None) -> None:
-        """Adds the log frequencies of some rows to ``scores`` and the number
-        of rows that each language knows to ``known``."""
-        if scores is not None:
-            scores += len(found) * self.base
-        for row in found:
-            cut = slice(self.offsets[row], self.offsets[row + 1])
-            if scores is not None:
-                scores[self.langs[cut]] += self.gains[cut]
-            if known is not None:
-                known[self.langs[cut]] += 1
+    def sums(self, found: list[int], sizes: list[int], languages: int, known: bool) -> np.ndarray:
+        """Per group of rows (``found`` one after another, ``sizes`` long) the
+        sums of the log frequencies, or the numbers of rows each language knows."""
+        out = np.zeros(len(sizes) * languages)
+        rows = np.array(found, np.int64)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        spans = self.offsets[rows + 1] - self.offsets[rows]
+        cells = np.repeat(self.offsets[rows] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+        if len(cells):
+            gains = None if known else self.gains[cells]
+            out = np.bincount(np.repeat(group, spans) * languages + self.langs[cells], weights=gains, minlength=len(out)).astype(float)
+        out = out.reshape(len(sizes), languages)
+        return out if known else out + np.array(sizes, float)[:, None] * self.base
 
 
 @dataclass
@@ -158,33 +160,38 @@ class _Rows(dict):
         self.table = np.zeros((self.most + 1, width), dtype=np.float32)
         self.fits = np.zeros_like(self.table) if fits else None
 
-    def __missing__(self, word: str) -> int:
-        m, at = self.model, len(self)
-        framed = f"^{word}$"
-        score = np.zeros(len(m.languages))
-        if (row := m.words.rows.get(word)) is not None:
-            m.words.add([row], score, None)
-        else:
-            grams, found = m.grams.rows, []
-            for i in range(len(framed)):
-                for size in range(min(LONGEST, len(framed) - i), 0, -1):
-                    if (gram := grams.get(framed[i:i + size])) is not None:
-                        found.append(gram)
-                        break
-            if found:
-                m.grams.add(found, score, None)
-                score /= len(found)
-        self.table[at] = score
+    def learn(self, words: list[str]) -> None:
+        """Adds rows for new words, all at once."""
+        m, width, start = self.model, len(self.model.languages), len(self)
+        grams, known = m.grams.rows.get, m.words.rows.get
+        seen = [known(w) for w in words]
+        found, sizes, long, longs, places = [], [], [], [], []
+        for word, row in zip(words, seen, strict=True):
+            framed = f"^{word}$"
+            last = len(framed)
+            if row is None:
+                before = len(found)
+                for i in range(last):
+                    for end in range(min(i + LONGEST, last), i, -1):
+                        if (gram := grams(framed[i:end])) is not None:
+                            found.append(gram)
+                            break
+                sizes.append(len(found) - before)
+            if self.fits is not None:
+                before = len(long)
+                long += [g for i in range(last - LONGEST + 1) if (g := grams(framed[i:i + LONGEST])) is not None]
+                longs.append(len(long) - before)
+                places.append(max(1, last - LONGEST + 1))
+        at = np.arange(start, start + len(words))
+        old = np.array([row is not None for row in seen], bool)
+        rows = [row for row in seen if row is not None]
+        self.table[at[old]] = m.words.sums(rows, [1] * len(rows), width, False)
+        self.table[at[~old]] = m.grams.sums(found, sizes, width, False) / np.maximum(1, np.array(sizes))[:, None]
         if self.fits is not None:
-            places = len(framed) - LONGEST + 1
-            share = np.zeros(len(m.languages))
-            m.grams.add([m.grams.rows[g] for i in range(places) if (g := framed[i:i + LONGEST]) in m.grams.rows], None, share)
-            share /= max(1, places)
-            if row is not None:
-                m.words.add([row], None, share)
+            share = m.grams.sums(long, longs, width, True) / np.array(places)[:, None]
+            share[old] += m.words.sums(rows, [1] * len(rows), width, True)
             self.fits[at] = np.minimum(share, 1)
-        self[word] = at
-        return at
+        self.update(zip(words, at.tolist(), strict=True))
 
 
 def classifier(model: Model, with_fits: bool = False):
@@ -208,7 +215,10 @@ def classifier(model: Model, with_fits: bool = False):
             for lo in range(0, len(words), step):
                 if len(rows) > rows.most // 2:
                     rows.clear()
-                at = list(map(rows.__getitem__, words[lo:lo + step]))
+                here = words[lo:lo + step]
+                if new := [w for w in dict.fromkeys(here) if w not in rows]:
+                    rows.learn(new)
+                at = list(map(rows.__getitem__, here))
                 total += rows.table[at].sum(axis=0, dtype=np.float64)
                 if with_fits:
                     fit += rows.fits[at].sum(axis=0, dtype=np.float64)
