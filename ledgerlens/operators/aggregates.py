@@ -194,13 +194,13 @@ def detail_query(df: DataFrame, spec: FilterSpec | None = None, limit: int | Non
 
     PostgreSQL puts NULLs first in DESC order; that is spelled out.  A
     request's limit is a distributed top-k (each task keeps ``limit`` rows);
-    without one all rows are returned.
+    without one, or with 0, all rows are returned.
     """
     f = apply_filters(df, spec)
     order = [F.col(DATE).desc_nulls_first(), F.col("CommitmentAmt").desc_nulls_first(),
              *[F.col(c).asc_nulls_last() for c in tie_break]]
     out = f.orderBy(*order)
-    out = out if limit is None else out.limit(limit)
+    out = out.limit(limit) if limit else out
     return out.select(*DETAIL_COLUMNS)
 
 
@@ -211,5 +211,6 @@ def latest_periods(series: DataFrame, n: int = 3) -> DataFrame:
 
 # ------------------------------------------------------------------------ O3
 def analytics_series(series: DataFrame, limit: int | None = None) -> DataFrame:
+    """The series by period, the first ``limit`` rows of it (all without one, or with 0)."""
     s = series.orderBy(F.col(DATE).asc())
-    return s if limit is None else s.limit(limit)
+    return s.limit(limit) if limit else s

@@ -35,7 +35,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import AMOUNT, METRICS, TOTAL, CapConfig
 
