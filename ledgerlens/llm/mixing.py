@@ -140,16 +140,18 @@ def mix(docs: DataFrame, share: float, epochs: int, weights: Mapping[str, Mappin
     Whole documents are returned; those without tokens never are.  A null
     language or source is a branch of its own with the default weight.
     Repeated rows of a doc_id are taken or left together.  A leaf of weight 0
-    gives nothing; an empty table gives an empty mixture.
+    gives nothing; an empty table gives an empty mixture.  Columns of ``docs``
+    named mix_domain, mix_epoch, mix_tokens or mix_take are overwritten, names
+    that start with ``__mix_`` are reserved; any other column is kept.
     """
     leaf = plan(docs, share, epochs, weights, seed, tokens)
-    d = docs.withColumns({"mix_domain": domain_of(), "mix_tokens": F.expr(tokens)})
-    same = (F.col("d.mix_domain") == F.col("p.domain")) & F.col("d.lang").eqNullSafe(F.col("p.lang")) & F.col("d.source").eqNullSafe(F.col("p.source"))
-    rows = (d.alias("d").join(leaf.select(*LEVELS, "whole", "cut", "cut_take").alias("p"), same)
-            .select("d.*", "whole", "cut", "cut_take").where("mix_tokens > 0")
-            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), "whole")))
-            .withColumn("mix_digest", _digest(seed, "mix_epoch")))
-    full = F.col("mix_epoch") < F.col("whole")
-    return (rows.where(full | (F.col("mix_digest") <= F.col("cut")))
-            .withColumn("mix_take", F.when(full | (F.col("mix_digest") < F.col("cut")), F.col("mix_tokens")).otherwise(F.col("cut_take")))
-            .drop("whole", "cut", "cut_take", "mix_digest"))
+    # reserved names: the documents may have columns called like the plan's
+    leaf = leaf.select(*[F.col(c).alias(f"__mix_{c}") for c in (*LEVELS, "whole", "cut", "cut_take")])
+    same = (F.col("mix_domain") == F.col("__mix_domain")) & F.col("lang").eqNullSafe(F.col("__mix_lang")) & F.col("source").eqNullSafe(F.col("__mix_source"))
+    rows = (docs.withColumns({"mix_domain": domain_of(), "mix_tokens": F.expr(tokens)}).join(leaf, same).where("mix_tokens > 0")
+            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), "__mix_whole")))
+            .withColumn("__mix_digest", _digest(seed, "mix_epoch")))
+    full = F.col("mix_epoch") < F.col("__mix_whole")
+    return (rows.where(full | (F.col("__mix_digest") <= F.col("__mix_cut")))
+            .withColumn("mix_take", F.when(full | (F.col("__mix_digest") < F.col("__mix_cut")), F.col("mix_tokens")).otherwise(F.col("__mix_cut_take")))
+            .drop(*leaf.columns, "__mix_digest"))

@@ -43,7 +43,8 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 24
 STAR_ROUNDS = 2
 BLOCK = 256
-SENT_IDS = 2_000_000
+#: Up to so many ids (or classes) are broadcast, more are joined.
+SENT_IDS = 500_000
 
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(0, 2**63, SYMBOLS, dtype=U64) * U64(2) + U64(1)
@@ -86,8 +87,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             signs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "sig"])
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+             pa.array(signs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_key", "sig"])
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,22 +182,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the full sets of the documents in ``ids``, stored.
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles): the full sets of the classes in ``wanted``, stored.
 
-    Up to SENT_IDS ids (16 MB) go to the texts; more ids meet them in a join.
+    A class is read from the text that stands for it, found by doc_id and text
+    hash (an id alone may carry several texts).  Up to SENT_IDS classes go to
+    the texts; more meet them in a join.
     """
-    ids = materialize(ids, "ids")
-    wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-
-
-def confirm_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of document ids whose full shingle sets reach the threshold."""
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    ids = materialize(wanted.join(reps, "rep").select("rep", F.col("low.doc_id").alias("doc_id"),
+                                                      F.col("low.text_hash").alias("text_hash")), "ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    texts = docs.join(ids, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"])
+    return materialize(texts.mapInArrow(_sets, "rep long, shingles binary"), "sets")
+
+
+def confirm_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
+    sets = full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    return (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
 
 
@@ -213,7 +217,7 @@ def _sizes_allow(a: str, b: str):
     return 100 * F.least(a, b) >= 85 * F.greatest(a, b)
 
 
-def _exhaust(docs: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
+def _exhaust(docs: DataFrame, reps: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
     """All links between different groups that share a bucket.
 
     Every member of a bucket with two groups or more goes to a block of about
@@ -243,7 +247,7 @@ def _exhaust(docs: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), "block"),
         F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("s"), (F.col("block") == F.col("block_b")).alias("same"))
     sides = sides.where("s.side = 0 or not same").select("pair", "s.side", "s.block")
-    sets = full_sets(docs, home.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    sets = full_sets(docs, reps, home.select("rep"))
     rows = sides.join(home.join(sets, "rep"), "block").select("pair", "side", "rep", "comp", "n", "sig", "shingles")
     return rows.groupBy("pair").applyInArrow(_compare_blocks, "a long, b long")
 
@@ -254,18 +258,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Returns one row per input row: doc_id, n_shingles, component_id (the
     smallest doc_id reachable over links, itself included), kept (doc_id is
     component_id).  A null, empty or wordless text has n_shingles 0 and is
-    linked with nothing.  Equal sets form one class from the start and only
-    its smallest doc_id takes part in the search.  Repeated rows of one
-    doc_id come out alike; a null doc_id takes part in its class alone and
-    has a null component_id only if the class has no other id.  An empty
-    table gives an empty result.
+    linked with nothing.  Equal sets form one class from the start, and only
+    the row of its smallest doc_id takes part in the search.  Links are
+    between texts: rows with one doc_id and one text come out alike, different
+    texts under one doc_id are documents of their own, each with the component
+    of its text.  A null doc_id takes part in its class alone and has a null
+    component_id only if the class has no other id.  An empty table gives an
+    empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = materialize(docs.mapInArrow(
-        _sign, "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
-    classes = (signed.where("set_key is not null").groupBy("set_key")
-               .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")))
-    reps = materialize(classes.where("rep is not null"), "reps")
+        _sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "signed")
+    classes = (signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
+               .agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")))
+    # classes are numbered, since one doc_id may stand for several of them
+    reps = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "reps")
     postings = reps.select("rep", "sig").mapInArrow(_post, "key long, slot byte, rep long")
     shared = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(postings.join(shared, "key").select("key", "slot", "rep"), "postings")
@@ -282,15 +289,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 .where(_sizes_allow("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
                 .mapInArrow(_near, "a long, b long, d int").where(F.col("d") <= MAX_DISTANCE)
                 .groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
-        found = confirm_links(docs, materialize(near, "near"))
+        found = confirm_links(docs, reps, materialize(near, "near"))
         links = materialize(found if links is None else links.unionByName(found), "links")
 
-    rest = _exhaust(docs, materialize(_grouped(members, links), "grouped"), sig)
+    rest = _exhaust(docs, reps, materialize(_grouped(members, links), "grouped"), sig)
     links = materialize(links.unionByName(rest), "links")
 
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = (classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("set_key", F.coalesce("component", "rep").alias("label")))
+    named = reps.select("set_key", "rep", F.col("low.doc_id").alias("doc_id"))
+    found = materialize(named.select("rep", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep"), "found")
+    least = materialize(found.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    least = F.broadcast(least) if least.count() <= SENT_IDS else least
+    labels = (named.join(found.join(least, "component").select("rep", "least"), "rep", "left")
+              .select("set_key", F.coalesce("least", "doc_id").alias("label")))
     return (signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))

@@ -85,6 +85,21 @@ def test_awkward_rows(spark):
         [(7, 3, False), (7, 3, False), (-1, 3, False), (9, 9, True), (3, 3, True), (-1, -1, True)])
 
 
+def test_different_texts_under_one_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (3, one + " end"), (2, two + " end"), (8, two), (5, "solo text")]
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == [
+        (2, 57, 2, True), (3, 57, 3, True), (5, 1, 5, True), (5, 56, 2, False), (5, 56, 3, False), (8, 56, 2, False)]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(200_000))
+    out = N.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end"), (3, text[:900_000])], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(
+        [(1, 199_996, 1), (2, 199_997, 1), (3, len(text[:900_000].split()) - 4, brute([(1, text), (3, text[:900_000])])[3][1])])
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -166,3 +166,12 @@ def test_mixing_awkward_rows(spark):
     out = M.mix(spark.createDataFrame(rows, schema), 1.0, 1)
     assert sorted((r["doc_id"] or 0, r["mix_take"]) for r in out.collect()) == [(0, 2), (2, 3), (4, 50), (4, 50)]
     assert M.mix(spark.createDataFrame([], schema), 1.0, 1).count() == 0
+
+
+def test_mixing_keeps_columns_named_like_the_plans(spark):
+    rows = [(i, "a b c", "en", "src1", f"w{i}", f"c{i}", i, "own", i) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, whole string, cut string, tokens int, domain string, mix_digest int"
+    out = M.mix(spark.createDataFrame(rows, schema), 0.5, 1)
+    got = out.collect()
+    assert out.columns == [c.split()[0] for c in schema.split(", ")] + ["mix_domain", "mix_tokens", "mix_epoch", "mix_take"]
+    assert sum(r["mix_take"] for r in got) == 60 and {tuple(r)[:9] for r in got} <= set(rows)
