@@ -374,3 +374,22 @@ def wide_panel(parts: dict, banks: Sequence[str], metric: str = "ca",
     wide = ch.groupBy(*scope, DATE).agg(*aggs)
     comp = parts["composite"].filter(F.col("metric") == metric).select(*scope, DATE, "perc_diff")
     return join_on(join_on(wide, limits, [*scope, DATE]), comp, [*scope, DATE])
+
+
+def panel_long(parts: dict, scope: Sequence[str] = ()) -> DataFrame:
+    """W12 without a column per bank: one row per metric, period and bank
+    with the bank's values of ``wide_panel``, its place in that frame
+    (``bank_pos``, from 1, by length and text) and the period's limits and
+    composite.
+
+    The plan has the same size for any number of banks and nothing runs while
+    it is built.  A bank without a cell in a period has no row there; a null
+    bank has a null place.
+    """
+    keys = [*scope, "metric", DATE]
+    limits = parts["limited"].groupBy(*keys).agg(F.max("lim_max").alias("lim_max"), F.max("lim_min").alias("lim_min"))
+    comp = parts["composite"].select(*keys, F.col("perc_diff").alias("composite"))
+    banks = parts["chain"].where(F.col(BANK).isNotNull()).groupBy(BANK).agg(F.length(BANK).alias("_len"))
+    places = banks.select(BANK, F.row_number().over(Window.orderBy("_len", BANK)).alias("bank_pos"))     # one row per bank
+    cells = parts["chain"].select(*keys, BANK, "value", "perc_diff_raw", "inc", "perc_diff", "mod")
+    return join_on(join_on(join_on(cells, places, [BANK], "left"), limits, keys), comp, keys)

@@ -8,6 +8,7 @@ because floating-point sums depend on evaluation order.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from ..config import TAPE_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators.filters import FilterSpec, apply_filters
+from ..session import ensure_checkpoint_dir
+from ..sources import period_table as PT
 from ..sources.tape import tape_from_tables
 from . import analysis as A
 from . import oracle_sql as O
@@ -666,6 +669,18 @@ def q_analytics_series(spark, tape):
     return AG.analytics_series(FS.aggregated_analytics(tape))
 
 
+@register("stored_periods", O.with_tape(_TOT_VIEW, _LAGS) + _VIEW_SELECT, _VIEW_DBL)
+def q_stored_periods(spark, tape):
+    """The stored period table, built without the SBA rows, which arrive
+    later for all months; the latest month is then counted again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-stored-periods-{uuid.uuid4().hex}"
+    late = F.coalesce(F.col("LineofBusinessId") == "12", F.lit(False))
+    PT.build_periods(tape.where(~late), path)
+    months = PT.add_rows(tape.where(late), path)
+    PT.reload_months(tape, [m for m in months if m is not None][-1:], path)
+    return PT.read_periods(spark, path).drop(PT.PERIOD)
+
+
 @register("latest_periods", O.with_tape(_TOT_VIEW, _LAGS) + _VIEW_SELECT + "\nORDER BY ProcessingDateKey DESC LIMIT 3",
           _VIEW_DBL)
 def q_latest_periods(spark, tape):
@@ -786,6 +801,20 @@ def q_wide_panel(spark, tape):
     return C.wide_panel(C.composite_parts(cells), C.bank_ids(tape), "ca")
 
 
+@register("panel_long", O.with_tape(_filtered_sql(), O.composite_ctes("src"), recursive=True) + """,
+places AS (SELECT BankID, ROW_NUMBER() OVER (ORDER BY length(BankID), BankID) AS bank_pos
+           FROM (SELECT DISTINCT BankID FROM chain WHERE BankID IS NOT NULL) b)
+SELECT h.metric, h.ProcessingDateKey, h.BankID, h.value, h.perc_diff_raw, h.inc, h.perc_diff, h.mod_v AS mod,
+  CAST(p.bank_pos AS INTEGER) AS bank_pos, l.lim_max, l.lim_min, c.perc_diff AS composite
+FROM chain h LEFT JOIN places p ON p.BankID = h.BankID
+JOIN lims l ON l.metric = h.metric AND l.ProcessingDateKey = h.ProcessingDateKey
+JOIN comp c ON c.metric = h.metric AND c.ProcessingDateKey = h.ProcessingDateKey""",
+          ("value", "perc_diff_raw", "perc_diff", "mod", "lim_max", "lim_min", "composite"))
+def q_panel_long(spark, tape):
+    """W12 for all three metrics, one row per metric, period and bank."""
+    return C.panel_long(C.composite_parts(A.reduced_cells(tape)))
+
+
 # ============================================================ record-level change
 _RP_ORDER = ["ProcessingDateKey", *TIE_BREAK]
 
