@@ -8,9 +8,10 @@ rows over many tasks instead of one window.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOTAL
@@ -122,24 +123,25 @@ def pop_change(totals: DataFrame, variant: str = "core", scope: Sequence[str] =
 
 
 # ------------------------------------------------------------------------ J3
-def positions(df: DataFrame, order: str | Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+def positions(df: DataFrame, order: str | Sequence[str], scope: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Adds ``_pos``: 1, 2, ... in ``order`` within the scope.
 
-    Rows are numbered inside a group of the first order column's value (a
-    period) and the sizes of the earlier groups are added, so no task sees
-    more than a period.  A further order column (record-level series) splits
-    the periods too, at its quantiles.
+    Rows are numbered inside a range of (scope, order) and the sizes of the
+    scope's earlier ranges are added, so no task sees more than about ``rows``
+    rows (default ``RANGE_ROWS``), one row per range when the sizes are summed.
+    Rows equal in ``order`` are numbered by a hash of the whole row, which
+    splits a hot period too; only repeated rows stay together.
     """
     order = [order] if isinstance(order, str) else list(order)
-    groups = order[:1]
-    if len(order) > 1:
-        df, groups = with_ranges(df, order), ["_range"]
-    inside = Window.partitionBy(*scope, *groups).orderBy(*order)
-    earlier = Window.partitionBy(*scope).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*scope, *groups).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(*scope, *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    out = join_on(df.withColumn("_in", F.row_number().over(inside)), sizes, [*scope, *groups])
-    return out.withColumn("_pos", F.col("_before") + F.col("_in")).drop("_before", "_in", "_range")
+    hashed = [f.name for f in df.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+    ranged = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    ranged = with_ranges(ranged, [*scope, *order, "_tie"], rows or RANGE_ROWS)
+    inside = Window.partitionBy(*scope, "_range").orderBy(*order, "_tie")
+    earlier = Window.partitionBy(*scope).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*scope, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*scope, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = join_on(ranged.withColumn("_in", F.row_number().over(inside)), sizes, [*scope, "_range"])
+    return out.withColumn("_pos", F.col("_before") + F.col("_in")).drop("_before", "_in", "_range", "_tie")
 
 
 def attach_by_position(df: DataFrame, order: str | Sequence[str], series: DataFrame, series_order: str | Sequence[str],
@@ -193,34 +195,39 @@ def metric_summary(df: DataFrame, metrics: str | Sequence[str], scope: Sequence[
 
 
 # ------------------------------------------------------------------------ W13
-#: Rows of a range, and ranges a single period is cut into at most.
+#: Rows of a range on average, and sampled keys for each cut point kept.
 RANGE_ROWS = 1_000_000
-MOST_CUTS = 255
+OVERSAMPLE = 8
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds ``_range``: a number that rises with ``order``, about ``rows`` rows
-    each (a period is cut at quantiles of the second, numeric column).
-
-    One aggregation over two columns reads the size and the quantiles of
-    every period (driver: one row per period); the range is an expression of
-    the row.  NULLs come first, as in Spark's ascending order.
+    """Adds ``_range``: a number that rises with ``order``, about ``rows`` rows each.
+
+    The cut points are whole keys of any orderable types, so a hot period is
+    split by the next column, a hot (period, key) pair by the one after it;
+    only rows equal in all of ``order`` can't be separated.  Keys are drawn by
+    their hash, so every use of the result sees the same ranges whatever the
+    layout of the rows.  All of it is part of the plan (a scalar subquery; no
+    job runs here): its task holds ``OVERSAMPLE`` keys for every ``rows`` rows,
+    and one key for every ``rows`` rows is searched in halves for each row.
+    NULLs come first, as in Spark's ascending order.
     """
-    period, inner = order[0], order[1]
-    grid = [k / (MOST_CUTS + 1) for k in range(1, MOST_CUTS + 1)]
-    sizes = df.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(inner, grid, 10_000).alias("q")).collect()
-    table, start = [], 0
-    for r in sorted(sizes, key=lambda r: (r[period] is not None, r[period])):
-        pieces = min(MOST_CUTS + 1, -(-r["n"] // rows))
-        step = (MOST_CUTS + 1) / pieces
-        cuts = sorted({float(r["q"][round(k * step) - 1]) for k in range(1, pieces)}) if r["q"] else []
-        table.append((r[period], start, cuts))
-        start += len(cuts) + 1
-    key = df.schema[period].dataType.simpleString()
-    ranges = df.sparkSession.createDataFrame(table, f"`{period}` {key}, _start long, _cuts array<double>")
-    x = F.col(inner).cast("double")
-    number = F.col("_start") + F.coalesce(F.size(F.filter("_cuts", lambda c: c < x)), F.lit(0))
-    return join_on(df, F.broadcast(ranges), [period]).withColumn("_range", number).drop("_start", "_cuts")
+    every = max(1, min(OVERSAMPLE, rows))
+    drawn = df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // every))) == 0)
+    cuts = F.filter(F.sort_array(F.collect_set(F.struct(*order))), lambda c, i: (i + 1) % every == 0)
+    # the subquery is named once, so the projections merge and no row carries the cut points
+    search = F.struct(F.col("_cuts").alias("cuts"), F.struct(*order).alias("key"))
+    return (df.withColumn("_cuts", drawn.agg(cuts).scalar())
+              .withColumn("_range", F.transform(F.array(search), _cuts_below)[0]).drop("_cuts"))
+
+
+def _cuts_below(search: Column) -> Column:
+    """How many of the ascending ``search.cuts`` lie below ``search.key``."""
+    widest = F.floor(F.log2(F.size(search["cuts"]) + 1)).cast("int") + 1
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.reduce(
+        F.sequence(widest, F.lit(0), F.lit(-1)), F.lit(0),
+        lambda found, k: F.when(F.get(search["cuts"], found + power(k) - 1) < search["key"], found + power(k)).otherwise(found))
 
 
 def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "OutstandingAmt"),
@@ -228,18 +235,19 @@ def record_pop(df: DataFrame, order: Sequence[str], metrics=("CommitmentAmt", "O
     """Record-level change against the previous record in ``order``.
 
     ``(x_i - x_{i-1}) / x_{i-1}``, 0 for the first record and for a zero
-    prior; NULL when either value is NULL.  No single-task window and no
-    stored copy: the rows are shuffled once by their range (``with_ranges``;
-    a hot period spans many), the previous row is found inside the range, and
-    a range's first row takes the last row of the range before it from the
-    same shuffle (one row per range).
+    prior; NULL when either value is NULL.  Rows equal in ``order`` follow
+    each other by their metrics.  No single-task window, no stored copy and no
+    job while the plan is built: the rows are shuffled once by their range
+    (``with_ranges``; a hot period spans many), the previous row is found
+    inside the range, and a range's first row takes the last row of the range
+    before it from the same shuffle (one row per range).
     """
     cols = list(dict.fromkeys([*order, *metrics]))
-    ranged = with_ranges(df.select(*cols), order, rows).repartition("_range")
-    w = Window.partitionBy("_range").orderBy(*order)
+    ranged = with_ranges(df.select(*cols), cols, rows).repartition("_range")
+    w = Window.partitionBy("_range").orderBy(*cols)
     inside = ranged.select("*", F.row_number().over(w).alias("_rn"),
                            *[F.lag(m).over(w).alias(f"_p_{m}") for m in metrics])
-    last = ranged.groupBy("_range").agg(F.max(F.struct(*order, *metrics)).alias("_last"))
+    last = ranged.groupBy("_range").agg(F.max(F.struct(*cols)).alias("_last"))
     by_range = Window.orderBy("_range")          # one row per range
     carry = last.select("_range", *[F.lag(F.col(f"_last.{m}")).over(by_range).alias(f"_c_{m}") for m in metrics],
                         F.lag("_range").over(by_range).alias("_before"))
