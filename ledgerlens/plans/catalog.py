@@ -19,6 +19,7 @@ from ..config import TAPE_COLUMNS, CapConfig
 from ..operators import composite as C
 from ..operators.filters import FilterSpec, apply_filters
 from ..session import ensure_checkpoint_dir
+from ..sources import period_sketches as PS
 from ..sources import period_table as PT
 from ..sources.tape import tape_from_tables
 from . import analysis as A
@@ -578,6 +579,28 @@ def q_summary_stats(spark, tape):
     return AG.summary_stats(tape)
 
 
+@register("summary_stats_sketched", O.with_tape() + """
+SELECT COUNT(*) AS total_records, COUNT(DISTINCT ProcessingDateKey) AS unique_months,
+  MIN(ProcessingDateKey) AS earliest_date, MAX(ProcessingDateKey) AS latest_date,
+  CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
+  CAST(SUM(CommitmentAmt) AS DOUBLE) / CAST(COUNT(CommitmentAmt) AS DOUBLE) AS avg_commitment,
+  TRUE AS unique_regions_close, TRUE AS unique_lobs_close, TRUE AS unique_banks_close
+FROM tape WHERE CommitmentAmt IS NOT NULL""", ("avg_commitment",))
+def q_summary_stats_sketched(spark, tape):
+    """A11 from stored partials: built without the SBA rows, which arrive later
+    for all months.  ``..._close``: the estimate lies within four standard
+    errors of the exact count (``summary_stats``)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-stored-partials-{uuid.uuid4().hex}"
+    late = F.coalesce(F.col("LineofBusinessId") == "12", F.lit(False))
+    PS.build_partials(tape.where(~late), path)
+    PS.add_rows(tape.where(late), path)
+    found = PS.stats(PS.read_partials(spark, path))
+    exact = AG.summary_stats(tape)
+    close = [(F.abs(F.col(c) - exact.select(c).scalar()) <= 4 * PS.standard_error() * exact.select(c).scalar()).alias(f"{c}_close")
+             for c in PS.SKETCHED]
+    return found.select(*[c for c in found.columns if c not in PS.SKETCHED], *close)
+
+
 @register("latest_month_stats", O.with_tape() + """
 SELECT ProcessingDateKey, COUNT(*) AS deals, CAST(SUM(CommitmentAmt) AS DECIMAL(38,2)) AS total_commitment,
   CAST(SUM(OutstandingAmt) AS DOUBLE) AS total_outstanding
