@@ -2,21 +2,22 @@
 
 A document's ids end with one separator id.  Longer documents are cut into
 full sequences, their first piece taking the remainder.  Pieces are dealt at
-random to shards of about ``SHARD`` documents; each shard is packed on its
-own by bin completion: starting from the best-fit-decreasing solution, a
+random, repeated rows too, to shards of about ``SHARD`` pieces; each shard is
+packed on its own by bin completion: starting from the best-fit-decreasing solution, a
 depth-first search takes the largest piece left, enumerates the undominated
 fillings of the space beside it (some full ones first, then all by a subset
 search, step by step as they are needed) and gives up a branch as soon
 as the space it wasted exceeds what a solution with the sought number of
 sequences may waste.  The search of a shard ends at the lower bound
-ceil(tokens / capacity), when it is exhausted, or after ``NODES`` steps (bins
-and steps of the subset search) for a sought number of sequences, with the
-best solution so far.  So a shard wastes less than one sequence more than
-the bound in practice, whatever the number of shards.
+(``lower_bound``: no fewer sequences can hold the pieces), when it is
+exhausted, or after ``nodes`` steps (bins and steps of the subset search) for
+a sought number of sequences, with the best solution so far; with
+``nodes=None`` it runs to the end, and the shard's number is the least.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
@@ -141,12 +142,34 @@ def fillings(stock: _Stock, room: int, slack: int) -> Iterator[tuple[int, ...] |
         left, most = left + parts[-1], parts.pop() - 1
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def lower_bound(sizes: Sequence[int], capacity: int) -> int:
+    """No packing has fewer bins: the tokens' bound, raised for every small size
+    k by what the pieces over capacity / 2 leave unusable.
+
+    Pieces over half take a bin each; one over capacity - k shares it with no
+    piece of k or more, the others leave their space to the pieces from k to
+    half, and what that space can't take needs bins of its own.
+    """
+    order = np.sort(np.asarray(sizes, np.int64))
+    if not len(order):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(order)])
+    half = int(np.searchsorted(order, capacity // 2, side="right"))       # pieces up to half come before
+    small = np.concatenate([[0], np.unique(order[:half])])
+    start = np.searchsorted(order, small, side="left")
+    wide = np.searchsorted(order, capacity - small, side="right")         # pieces over capacity - k come from here
+    space = (wide - half) * capacity - (sums[wide] - sums[half])
+    over = np.maximum(sums[half] - sums[start] - space, 0)
+    return int((len(order) - half + -(-over // capacity)).max())
+
+
+def bin_completion(sizes: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
     """Bins of at most ``capacity`` holding ``sizes`` (each in 1..capacity)."""
     sizes = sorted(sizes, reverse=True)
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = -(-total // capacity)
+    bound = lower_bound(sizes, capacity)
+    nodes = math.inf if nodes is None else nodes
     for goal in range(bound, len(best)):
         allowed = goal * capacity - total
         stock = _Stock(sizes)
@@ -205,12 +228,12 @@ def _pieces(capacity: int, separator: int, path: str | None):
     return run
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, nodes: int | None):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_numpy()
         full = int(np.searchsorted(-lengths, -capacity, side="right"))
-        bins = bin_completion(lengths[full:].tolist(), capacity)
+        bins = bin_completion(lengths[full:].tolist(), capacity, nodes)
         place: dict[int, list[tuple[int, int]]] = {}
         for k, sizes in enumerate(bins):
             at = 0
@@ -230,7 +253,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path:
     return docs.select("doc_id", "text").mapInArrow(_pieces(capacity, separator, path), PIECES)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path: str | None = None,
+         nodes: int | None = NODES) -> DataFrame:
     """Packs all ``docs`` (doc_id, text, any other columns) into sequences.
 
     Returns one row per piece: doc_id, piece, start (ids before it in its
@@ -238,9 +262,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path: st
     sequence_id and offset (its place; the pieces of a sequence follow each
     other without gaps from 0).  A null or empty text is the separator alone;
     repeated rows and null ids are packed like any other; an empty table
-    gives no rows.  ``path`` names the vocabulary file.
+    gives no rows.  ``path`` names the vocabulary file, ``nodes`` the steps of
+    the search (None: to the end).
     """
     cut = materialize(pieces(docs, capacity, separator, path), "pieces")
     shards = max(1, -(-cut.count() // SHARD))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(capacity), PACKED)
+    row = F.monotonically_increasing_id()        # of a written table: the same for a repeated task
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", row), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(_pack(capacity, nodes), PACKED)

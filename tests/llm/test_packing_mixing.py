@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -28,23 +29,24 @@ def test_ids_are_those_of_the_vocabulary(spark):
     assert ids(None) == b""
 
 
-def test_bin_completion_is_optimal_on_small_cases():
-    def optimum(sizes, cap):
-        best = [len(sizes)]
-
-        def go(rest, rooms):
-            if len(rooms) >= best[0]:
-                return
-            if not rest:
-                best[0] = len(rooms)
-                return
-            for i, room in enumerate(rooms):
-                if room >= rest[0]:
-                    go(rest[1:], rooms[:i] + [room - rest[0]] + rooms[i + 1:])
-            go(rest[1:], rooms + [cap - rest[0]])
-        go(sorted(sizes, reverse=True), [])
-        return best[0]
+def optimum(sizes, cap):
+    best = [len(sizes)]
+
+    def go(rest, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if room >= rest[0]:
+                go(rest[1:], rooms[:i] + [room - rest[0]] + rooms[i + 1:])
+        go(rest[1:], rooms + [cap - rest[0]])
+    go(sorted(sizes, reverse=True), [])
+    return best[0]
 
+
+def test_bin_completion_is_optimal_on_small_cases():
     rnd = random.Random(1)
     for _ in range(60):
         sizes = [rnd.randint(1, 20) for _ in range(rnd.randint(0, 9))]
@@ -68,6 +70,37 @@ def test_completion_tries_every_filling():
         assert len(P.bin_completion(sizes, 100, nodes=200_000)) == 4
 
 
+def test_lower_bound():
+    """Never over the least number of bins, never under the tokens' bound."""
+    rnd = random.Random(11)
+    above = 0
+    for _ in range(150):
+        sizes = [rnd.randint(1, 20) for _ in range(rnd.randint(0, 9))]
+        bound = P.lower_bound(sizes, 20)
+        least = optimum(sizes, 20)
+        assert -(-sum(sizes) // 20) <= bound <= least
+        above += bound > -(-sum(sizes) // 20)
+    assert above > 10
+    assert P.lower_bound([11] * 7, 20) == 7 and P.lower_bound([11] * 3 + [10, 10, 9, 9, 9], 20) == 4
+    assert P.lower_bound([15, 14, 12, 9, 9, 9], 20) == 5
+
+
+def test_search_to_the_end_is_optimal():
+    rnd = random.Random(12)
+    for _ in range(40):
+        sizes = [rnd.randint(3, 14) for _ in range(rnd.randint(1, 8))]
+        assert len(P.bin_completion(sizes, 20, nodes=None)) == optimum(sizes, 20), sizes
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 100)
+    rows = [(7, "one and the same text")] * 900 + [(None, None)] * 300
+    out = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), nodes=100).collect()
+    check_packing(out, rows)
+    pieces = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(pieces) == 12 and max(pieces.values()) < 170
+
+
 def check_packing(rows, docs, capacity=2048):
     ids_of = encoder()
     want = {}
