@@ -1,11 +1,13 @@
 """Operator 3: threshold-scaled document fingerprints, native.
 
 A fingerprint keeps every 5-word shingle hash below 1 / 2**SCALE of the hash
-range (in ascending order, 16 hex digits each); a text whose hashes are all
-above the line keeps its least one.  The line is the same for all texts, so
-the fingerprint of two texts together is the union of theirs, and the share
-of a small text's hashes found in a large one's estimates containment however
-unequal they are.  Likeness here is that containment of the smaller one.
+range (in ascending order, 16 hex digits each).  The line is the same for all
+texts, so the share of a small text's hashes found in a large one's estimates
+containment however unequal they are; likeness here is that containment of
+the smaller one.  A text whose hashes are all above the line keeps its least
+one, so that short texts can be told apart; ``merge`` gives the fingerprint
+of two texts' shingles together exactly: the union of what lies below the
+line, and only where nothing does the lesser of the least hashes.
 
 The next document in descending doc_id order comes from a window per range of
 doc_id (``operators.ranges``); each range gets a copy of the first row of the
@@ -32,12 +34,23 @@ def with_sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn(words, F.array_remove(F.split(text, BLANK), ""))
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
     rows = rows.withColumn(hashes, F.when(F.size(words) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, 5))))).drop(words)
-    low = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - SCALE) == 0)
-    rows = rows.withColumn(out, low)
+    rows = rows.withColumn(out, below_line(hashes))
     kept = F.when(F.size(out) > 0, F.sort_array(F.array_distinct(out))).when(F.size(hashes) > 0, F.array(F.array_min(hashes)))
     return rows.withColumn(out, F.coalesce(kept, F.array().cast("array<long>"))).drop(hashes)
 
 
+def below_line(hashes: str | Column) -> Column:
+    return F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - SCALE) == 0)
+
+
+def merge(a: str, b: str) -> Column:
+    """The sketch of both texts' shingles together (columns of ``with_sketch``)."""
+    both = F.array_union(a, b)
+    low = below_line(both)
+    return (F.when(F.size(low) > 0, F.sort_array(low)).when(F.size(both) > 0, F.array(F.array_min(both)))
+            .otherwise(F.array().cast("array<long>")))
+
+
 def as_text(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 

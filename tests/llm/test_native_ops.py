@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from ledgerlens.llm import fingerprints as FP
 from ledgerlens.llm import quality_rules as Q
@@ -109,6 +110,57 @@ def test_fingerprints_estimate_containment(spark):
     assert hashes == sorted(set(hashes)) and 850 < len(hashes) < 1150 and all(h < "4" for h in hashes)
 
 
+def shingle_hashes(text):
+    """Spark's xxhash64 of the words of every shingle, one after another."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    found = set()
+    for k in range(max(len(words) - 4, 1) if words else 0):
+        h = 42
+        for w in words[k:k + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        found.add(h)
+    return found
+
+
+def brute_sketch(hashes):
+    return {h for h in hashes if h < 2 ** (64 - FP.SCALE)} or set([min(hashes, key=signed)] if hashes else [])
+
+
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_text(sketch):
+    return "".join(f"{h:016X}" for h in sorted(sketch, key=signed))
+
+
+def brute_likeness(a, b):
+    return 1.0 if not a and not b else 0.0 if not a or not b else len(a & b) / min(len(a), len(b))
+
+
+@pytest.mark.parametrize("table", ["awkward", "documents"])
+def test_fingerprints_and_likenesses_against_brute_force(spark, table):
+    docs = frame(spark) if table == "awkward" else spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], None, None) for r in docs.select("doc_id", "text").collect()]
+    want = collections.Counter()
+    for i, t, e, n in edited(rows):
+        own, other, after = (brute_sketch(shingle_hashes(x)) for x in (t, e, n))
+        want[(i, brute_text(own), brute_text(other), brute_likeness(own, other), brute_likeness(own, after))] += 1
+    columns = ["doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert collections.Counter(map(tuple, FP.fingerprints(docs).select(*columns).collect())) == want
+
+
+def test_merged_sketches_are_those_of_both_texts(spark):
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(60)}"
+    texts = ["", "one", "two words", "a b c d e", "a b c d f"] + [" ".join(word() for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    pairs = [(a, b) for a, b in zip(texts, texts[1:] + texts[:1])] + [("", ""), ("one", "one"), ("x", "")]
+    df = FP.with_sketch(FP.with_sketch(spark.createDataFrame(pairs, "a string, b string"), "a", "s"), "b", "t")
+    for r in df.withColumn("m", FP.merge("s", "t")).withColumn("n", FP.merge("t", "s")).collect():
+        both = brute_sketch(shingle_hashes(r["a"]) | shingle_hashes(r["b"]))
+        assert r["m"] == r["n"] == sorted(map(signed, both))
+
+
 def test_fingerprint_plan_is_native(spark):
     plan = FP.fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
