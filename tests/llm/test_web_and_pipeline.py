@@ -4,6 +4,7 @@ import random
 import time
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,42 @@ def test_license_scan_matches_containment(spark):
             assert any(set(L._shingles(span).tolist()) == set(index.sets[k].tolist()) for k, n in enumerate(index.names) if n[0] == license_id)
 
 
+def test_band_index_retrieves_what_direct_comparison_does():
+    rng = np.random.default_rng(4)
+    for members, bands in ((1, 1), (3, 9), (700, 27)):
+        lows = rng.integers(0, 2**32, (members, bands), dtype=np.uint32)
+        lows[members // 2] = lows[0]                                # equal values: both are retrieved
+        low = rng.integers(0, 2**32, (500, bands), dtype=np.uint32)
+        for w in range(0, 500, 7):
+            low[w, rng.integers(bands)] = 0 if w % 2 else lows[rng.integers(members), 0]
+            k = rng.integers(bands)
+            low[w, k] = lows[rng.integers(members), k]
+        got = L.band_index(lows, list(range(members)), bands).retrieve(low)
+        want = {w: [t for t in range(members) if (low[w] == lows[t]).any()] for w in range(500)}
+        assert {w: sorted(t) for w, t in got.items()} == {w: t for w, t in want.items() if t}
+
+
+def test_license_in_typographic_dress(spark):
+    """Curly quotes, dashes, no-break spaces and guillemets separate words like their plain forms."""
+    _, _, terms = next(t for t in TEMPLATES if t[:2] == ("MIT", "terms"))
+    dressed = terms.replace('"Software"', "\u201cSoftware\u201d").replace(", free of charge,", "\u2014free of charge\u2014").replace(" to use", "\u00a0to\u2009use")
+    rows = [(1, "\u00e9t\u00e9 " + dressed + " \u00ab fin \u00bb"), (2, "\u00ab\u2026\u00bb \u201cReleased under the MIT License\u201d\u2026"), (3, "\u00c2\u00a0 \u201c \u2030 \u20ac")]
+    out = sorted((r["doc_id"], r["template"], r["containment"], r["start"], r["end"]) for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(1, "terms", 1.0, 4, 4 + len(dressed) - 1), (2, "released", 1.0, 5, 35)]
+
+
+def test_license_templates_of_any_number(spark):
+    """Hundreds of templates beside the known ones don't change what is found."""
+    rnd = random.Random(13)
+    more = tuple((f"L{k}", "own", " ".join(f"t{rnd.randrange(5000)}" for _ in range(rnd.choice([6, 30, 90])))) for k in range(600))
+    rows = [(k, f"{more[k][2]} and {TEMPLATES[k % len(TEMPLATES)][2]}") for k in range(0, 600, 9)]
+    out = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), TEMPLATES + more).collect()
+    for k, _ in rows:
+        mine = {(r["license"], r["template"]) for r in out if r["doc_id"] == k and r["containment"] == 1.0}
+        assert {(f"L{k}", "own"), TEMPLATES[k % len(TEMPLATES)][:2]} <= mine
+    assert {r["license"] for r in out if r["license"].startswith("L") and r["license"][1:].isdigit()} == {f"L{k}" for k, _ in rows}
+
+
 def test_license_awkward_rows(spark):
     notice = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, "MIT"), (None, notice), (5, "é " * 40_000 + notice + " é" * 40_000 + " " + notice), (6, notice), (6, notice)]
