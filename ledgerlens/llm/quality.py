@@ -75,10 +75,15 @@ def page_features(text: str | None, lang: str | None, source: str | None) -> lis
     return sorted({_bucket(x, PAGE_BITS) for x in names})
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str | None, str | None]]:
+    """(text, lang, source), one text at a time: a batch may hold very long ones."""
+    for row in zip(*(batch.column(c) for c in ("text", "lang", "source")), strict=True):
+        yield tuple(x.as_py() for x in row)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True)
-        pairs = [(text_features(t), page_features(t, g, s)) for t, g, s in rows]
+        pairs = [(text_features(t), page_features(t, g, s)) for t, g, s in _rows(batch)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("quality"), pa.array([p[0] for p in pairs], pa.list_(pa.int32())),
              pa.array([p[1] for p in pairs], pa.list_(pa.int32()))], names=["quality", "text_ones", "page_ones"])
@@ -208,8 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
     """Text, page and combined score (3 x rows) of columns text, lang, source."""
-    rows = zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True)
-    odds = np.array([(model.text.odds(text_features(t)), model.page.odds(page_features(t, g, s))) for t, g, s in rows], float).reshape(-1, 2)
+    odds = np.array([(model.text.odds(text_features(t)), model.page.odds(page_features(t, g, s))) for t, g, s in _rows(batch)], float).reshape(-1, 2)
     a, b = odds.T
     return sigmoid(np.stack([a, b, a + b - model.prior]))
 
