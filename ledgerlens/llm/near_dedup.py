@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import arrow_batches, materialize
 from .components import components
 from .textops import U64, mix, shingle_sets
 
@@ -43,6 +43,10 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DISTANCE = 24
 STAR_ROUNDS = 2
 BLOCK = 256
+#: Shingles a block may hold on average; long texts make smaller blocks.
+BLOCK_SHINGLES = 1 << 18
+#: Bytes of texts or sets sent to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Up to so many ids (or classes) are broadcast, more are joined.
 SENT_IDS = 500_000
 
@@ -221,7 +225,7 @@ def _exhaust(docs: DataFrame, reps: DataFrame, grouped: DataFrame, sig: DataFram
     """All links between different groups that share a bucket.
 
     Every member of a bucket with two groups or more goes to a block of about
-    BLOCK members that share the smallest member of their largest such bucket,
+    BLOCK members (fewer long ones) that share the smallest member of their largest such bucket,
     that bucket's main group apart from the others; blocks that meet in a
     bucket are compared, unless both hold nothing but one and the same group.
     """
@@ -231,7 +235,8 @@ def _exhaust(docs: DataFrame, reps: DataFrame, grouped: DataFrame, sig: DataFram
     open_rows = materialize(grouped.join(apart, "key"), "open")
     home = (open_rows.groupBy("rep", "comp").agg(F.max(F.struct("most", -F.col("hub"), "main")).alias("home"))
             .select("rep", "comp", (-F.col("home.col2")).alias("hub"), (F.col("comp") == F.col("home.main")).alias("is_main")))
-    count = home.groupBy("hub", "is_main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    count = (home.join(sig.select("rep", "n"), "rep").groupBy("hub", "is_main")
+             .agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
     home = materialize(home.join(count, ["hub", "is_main"]).join(sig, "rep").select(
         "rep", "comp", "n", "sig", F.xxhash64("hub", "is_main", F.pmod(F.xxhash64("rep"), "blocks")).alias("block")), "home")
     # the blocks that meet in a bucket; many buckets hold the same blocks
@@ -266,6 +271,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id only if the class has no other id.  An empty table gives an
     empty result.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = materialize(docs.mapInArrow(
         _sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "signed")

@@ -15,6 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 1 << 20          # text hashed at once, so scratch arrays stay small
 SHINGLE = 5
+SHINGLE_BYTES = 1 << 18        # ... for shingles: scratch is about 30 times this
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,7 +118,7 @@ def shingle_hashes(words: np.ndarray, lo: int, hi: int) -> np.ndarray:
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Per row the sorted distinct shingle hashes of its whole text."""
     raw, offsets = text_bytes(column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, SHINGLE_BYTES):
         words, at = word_hashes(raw, offsets[lo:hi + 1])
         for i in range(hi - lo):
             yield np.unique(shingle_hashes(words, int(at[i]), int(at[i + 1])))

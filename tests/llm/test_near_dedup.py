@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import near_dedup as N
+from ledgerlens.llm.textops import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -107,3 +110,63 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("n", [1, 5])
 def test_signature_of_few_shingles(n):
     assert N.signature(np.arange(1, n + 1, dtype=np.uint64)).shape == (N.SYMBOLS,)
+
+
+def test_workers_get_bounded_batches(spark, monkeypatch):
+    """A partition of long texts comes in parts, in every step that reads texts or sets."""
+    limit, key = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def bounded(step):
+        def check(batches):
+            for batch in batches:
+                assert batch.nbytes <= limit, batch.nbytes
+                yield from step(iter([batch]))
+        return check
+
+    for name in ("_sign", "_sets", "_confirm"):
+        monkeypatch.setattr(N, name, bounded(getattr(N, name)))
+    rows = [(i, " ".join(f"{i // 2}w{j}" for j in range(12_000)) + " end" * (i % 2)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    own = spark.conf.get(key)
+    got = N.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i, _ in rows}
+    assert spark.conf.get(key) == own
+
+
+def test_session_limit_returns_after_an_error(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(N, "_near_duplicates", lambda docs: 1 // 0)
+    spark.conf.set(key, "5m")
+    try:
+        with pytest.raises(ZeroDivisionError):
+            N.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_blocks_are_bounded_by_their_shingles(spark, monkeypatch):
+    """Texts that share a passage, and so buckets, but no link: all are compared, in small blocks."""
+    compare = N._compare_blocks
+
+    def checked(table):
+        assert sum(len(v) // 8 for v in table.column("shingles").to_pylist()) <= 6400
+        return compare(table)
+
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 800, raising=False)
+    monkeypatch.setattr(N, "_compare_blocks", checked)
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, passage + "".join(f" {i}w{j}" for j in range(30))) for i in range(200)]
+    rows += [(i + 200, t + " end") for i, t in rows[::20]]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+
+
+def test_scratch_of_shingle_sets_is_small():
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(300)) for i in range(2000)])
+    tracemalloc.start()
+    for _ in shingle_sets(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20, peak
