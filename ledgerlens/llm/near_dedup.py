@@ -13,13 +13,18 @@ Buckets are joined without listing their pairs:
 1. two star rounds tie each member to one member of its bucket that belongs
    to another group so far; a member takes its nearest candidate by
    signature, and the link is confirmed on the full sets;
-2. what is still apart is compared exhaustively: members of buckets with
-   several groups are packed into blocks with their full sets, and blocks
-   that meet in a bucket are compared by numpy (never two blocks of one and
-   the same group); only links come out.
+2. members of buckets that still hold several groups meet anew by what their
+   full sets share: of the shingles found in several groups, rarest first, a
+   linked pair has one in common among the first few of both (see
+   ``_prefixes``), so texts that share a passage but no link part here; a
+   star round ties each of the new buckets to the member that lacks least;
+3. members that may still link with another group of their bucket, by an
+   upper bound of the similarity, are packed into blocks with their full
+   sets, and blocks that meet in a bucket are compared by numpy (never two
+   blocks of one and the same group); only links come out.
 
 Pairs inside one group are skipped because their link can't change the
-result; no pair between two groups is.
+result; a pair between two groups is only skipped if its sets can't link.
 """
 
 from __future__ import annotations
@@ -130,9 +135,8 @@ def _linked(s: np.ndarray, t: np.ndarray) -> bool:
 def _compare_blocks(table: pa.Table) -> pa.Table:
     """Links between members of a block pair that lie in different groups.
 
-    Candidates share a bucket (a chunk with at most one error) within
-    MAX_DISTANCE; the nearest are confirmed first, and what a found link
-    joins needs no second link.
+    Candidates lie within MAX_DISTANCE; the nearest are confirmed first, and
+    what a found link joins needs no second link.
     """
     table = table.sort_by("side")
     rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
@@ -159,9 +163,8 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
             ok &= i[:, None] < right[None]
         p, q = np.nonzero(ok)
         p, q = i[p], right[q]
-        off = (sig[p] != sig[q]).reshape(len(p), CHUNKS, WIDTH).sum(axis=2)
-        far = off.sum(axis=1)
-        near = np.flatnonzero((off.min(axis=1, initial=WIDTH) <= 1) & (far <= MAX_DISTANCE))
+        far = distances(sig[p], sig[q])
+        near = np.flatnonzero(far <= MAX_DISTANCE)
         for k in near[np.argsort(far[near], kind="stable")]:
             x, y = int(p[k]), int(q[k])
             cx, cy = root(int(comp[x])), root(int(comp[y]))
@@ -178,6 +181,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of a set: (rep, comp, n, key), n the set's size."""
+    for batch in batches:
+        sets = batch.column("shingles").to_pylist()
+        n = np.array([len(v) // 8 for v in sets], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column("rep").to_numpy(), n)), pa.array(np.repeat(batch.column("comp").to_numpy(), n)),
+             pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(sets), np.int64))], names=["rep", "comp", "n", "key"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose full sets have 100 * intersection >= 85 * union."""
     for batch in batches:
@@ -202,7 +215,10 @@ def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def confirm_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
-    sets = full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    return _confirmed(pairs, full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"))
@@ -221,7 +237,68 @@ def _sizes_allow(a: str, b: str):
     return 100 * F.least(a, b) >= 85 * F.greatest(a, b)
 
 
-def _exhaust(docs: DataFrame, reps: DataFrame, grouped: DataFrame, sig: DataFrame) -> DataFrame:
+def _nearest(stars: DataFrame, sig: DataFrame) -> DataFrame:
+    """The nearest by signature of each member's hubs: (a, b) of the rows (a, b)."""
+    return (stars.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
+            .where(_sizes_allow("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
+            .mapInArrow(_near, "a long, b long, d int").where(F.col("d") <= MAX_DISTANCE)
+            .groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
+
+
+def _prefixes(sets: DataFrame, apart: DataFrame) -> DataFrame:
+    """(key, rep, comp, slack, rest): buckets by shingles that lose no link
+    between two groups of ``apart`` (rep, comp).
+
+    A set of n shingles linked with another shares at least 85 % of n with it,
+    all of them found in two groups or more.  In one order of all shingles
+    (rarest first) the first shingle shared is thus followed by the others,
+    so it comes early; a set with too few shingles of two groups has no link.
+    ``rest`` counts a set's shingles of two groups from this one on, ``slack``
+    is n less that: what the set can't share with a set first met here.
+    """
+    each = materialize(sets.join(apart, "rep").select("rep", "comp", "shingles")
+                       .mapInArrow(_listed, "rep long, comp long, n long, key long"), "listed")
+    shared = (each.groupBy("key").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+              .where("lo <> hi").select("key", "df"))
+    order = (each.join(shared, "key").groupBy("rep", "comp", "n")
+             .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared")))
+    spare = F.expr("cast(size(shared) - (85 * n + 99) div 100 as int)")          # shared shingles a link may lack
+    order = order.withColumn("spare", spare).where("spare >= 0")
+    return (order.select("rep", "comp", "n", F.size("shared").cast("long").alias("size"),
+                         F.posexplode(F.slice("shared", F.lit(1), F.col("spare") + 1)).alias("at", "shingle"))
+            .select(F.col("shingle.key").alias("key"), "rep", "comp",
+                    (F.col("n") - F.col("size") + F.col("at")).alias("slack"), (F.col("size") - F.col("at")).alias("rest")))
+
+
+def _may_link(slack_a: str, rest_a: str, slack_b: str, rest_b: str):
+    """Whether two sets first met in a bucket can reach 85 %: they share m = the
+    lesser rest at most, and their union holds m and what either lacks."""
+    return 17 * (F.col(slack_a) + F.col(slack_b)) <= 3 * F.least(rest_a, rest_b)
+
+
+def _least_lacking(rows: DataFrame) -> DataFrame:
+    """Each member of a mixed bucket of ``_prefixes`` with the bucket's hub, the
+    member of least slack, where they may link: (a, b)."""
+    hub = (rows.groupBy("key").agg(F.min(F.struct("slack", "rep", "comp", "rest")).alias("hub"),
+                                   F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+           .where("lo <> hi").select("key", "hub.*").toDF("key", "slack_b", "b", "comp_b", "rest_b"))
+    return (rows.join(hub, "key").where("comp <> comp_b").where(_may_link("slack", "rest", "slack_b", "rest_b"))
+            .select(F.col("rep").alias("a"), "b").distinct())
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, rep, comp): members of buckets of ``_prefixes`` that may link with
+    another group there, by the least that a member of one lacks."""
+    by_comp = rows.groupBy("key", "comp").agg(F.min("slack").alias("least"))
+    first = by_comp.groupBy("key").agg(F.min(F.struct("least", "comp")).alias("first")).select(
+        "key", F.col("first.least").alias("first"), F.col("first.comp").alias("whose"))
+    others = (by_comp.join(first, "key").where("comp <> whose").groupBy("key", "first", "whose")
+              .agg(F.min("least").alias("second")))
+    other = F.when(F.col("comp") == F.col("whose"), F.col("second")).otherwise(F.col("first"))
+    return rows.join(others, "key").where(17 * (F.col("slack") + other) <= 3 * F.col("rest")).select("key", "rep", "comp")
+
+
+def _exhaust(grouped: DataFrame, sets: DataFrame, sig: DataFrame) -> DataFrame:
     """All links between different groups that share a bucket.
 
     Every member of a bucket with two groups or more goes to a block of about
@@ -252,7 +329,6 @@ def _exhaust(docs: DataFrame, reps: DataFrame, grouped: DataFrame, sig: DataFram
         F.struct(F.lit(0).alias("side"), "block"),
         F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("s"), (F.col("block") == F.col("block_b")).alias("same"))
     sides = sides.where("s.side = 0 or not same").select("pair", "s.side", "s.block")
-    sets = full_sets(docs, reps, home.select("rep"))
     rows = sides.join(home.join(sets, "rep"), "block").select("pair", "side", "rep", "comp", "n", "sig", "shingles")
     return rows.groupBy("pair").applyInArrow(_compare_blocks, "a long, b long")
 
@@ -295,15 +371,18 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         apart = (grouped.groupBy("key").agg(F.min(order).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .where("lo <> hi").select("key", "hub.rep", "hub.comp").toDF("key", "b", "comp_b"))
         stars = grouped.join(apart, "key").where("comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
-        near = (stars.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
-                .where(_sizes_allow("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
-                .mapInArrow(_near, "a long, b long, d int").where(F.col("d") <= MAX_DISTANCE)
-                .groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
-        found = confirm_links(docs, reps, materialize(near, "near"))
+        found = confirm_links(docs, reps, materialize(_nearest(stars, sig), "near"))
         links = materialize(found if links is None else links.unionByName(found), "links")
 
-    rest = _exhaust(docs, reps, materialize(_grouped(members, links), "grouped"), sig)
-    links = materialize(links.unionByName(rest), "links")
+    grouped = materialize(_grouped(members, links), "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = materialize(grouped.join(mixed, "key").select("rep", "comp").distinct(), "apart")
+    sets = full_sets(docs, reps, apart.select("rep"))
+    alike = materialize(_prefixes(sets, apart), "alike")
+    found = _confirmed(materialize(_nearest(_least_lacking(alike), sig), "near"), sets)
+    links = materialize(links.unionByName(found), "links")
+    alike = materialize(_grouped(alike.drop("comp"), links), "alike")
+    links = materialize(links.unionByName(_exhaust(_open(alike), sets, sig)), "links")
 
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = reps.select("set_key", "rep", F.col("low.doc_id").alias("doc_id"))

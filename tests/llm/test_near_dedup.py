@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,49 @@ def test_blocks_are_bounded_by_their_shingles(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
 
 
+def test_compared_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, tmp_path):
+    """Large groups whose members share buckets but few links: a passage in texts of their
+    own, and copies that each link with their base alone."""
+    compare, folder = N._compare_blocks, str(tmp_path)
+
+    def counted(table):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(table.num_rows))
+        return compare(table)
+
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "_compare_blocks", counted)
+    passage, base = " ".join(f"p{j}" for j in range(60)), [f"b{j}" for j in range(100)]
+    texts = [passage + "".join(f" {i}w{j}" for j in range(30)) for i in range(250)]
+    texts += [" ".join(base[:4 + i % 91] + [f"new{i}"] + base[5 + i % 91:]) for i in range(250)]
+    rows = [(i, t) for i, t in enumerate([*texts, " ".join(base)])]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * len(rows)
+
+
+def test_prefixes_keep_every_link_between_groups(spark):
+    """Linked sets of two groups meet in a bucket whose bounds allow the link."""
+    rnd = random.Random(4)
+    sets = []
+    for _ in range(20):
+        base = [rnd.getrandbits(62) for _ in range(rnd.choice([1, 3, 7, 20, 60, 101]))]
+        sets += [set(rnd.sample(base, rnd.randint(-(-8 * len(base) // 10), len(base)))) | {rnd.getrandbits(62) for _ in range(rnd.randint(0, 1 + len(base) // 20))}
+                 for _ in range(12)]
+    frame = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "rep long, shingles binary")
+    comp = {i: i - i % 3 for i in range(len(sets))}
+    rows = N._prefixes(frame, spark.createDataFrame(list(comp.items()), "rep long, comp long")).cache()
+    open_rows = {(r["key"], r["rep"]) for r in N._open(rows).collect()}
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["rep"], {})[r["key"]] = r
+    links = [(a, b) for a in comp for b in range(a) if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 100
+    for a, b in links:
+        met = [k for k in by[a].keys() & by[b].keys() if 17 * (by[a][k]["slack"] + by[b][k]["slack"]) <= 3 * min(by[a][k]["rest"], by[b][k]["rest"])]
+        assert any((k, a) in open_rows and (k, b) in open_rows for k in met), (a, b)
+
+
 def test_scratch_of_shingle_sets_is_small():
     texts = pa.array([" ".join(f"w{i}x{j}" for j in range(300)) for i in range(2000)])
     tracemalloc.start()
